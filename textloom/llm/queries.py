@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, mixing
 
 QUERIES = {
+    "op3_mixing": mixing.op3_mixing,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
 ORACLES = {
+    "op3_mixing": mixing.OP3_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
 }
