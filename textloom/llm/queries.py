@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, secrets
 
 QUERIES = {
+    "op1_secret_scans": secrets.op1_secret_scans,
     "op3_mixing": mixing.op3_mixing,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
 ORACLES = {
+    "op1_secret_scans": secrets.OP1_SQL,
     "op3_mixing": mixing.OP3_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
 }
