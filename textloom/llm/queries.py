@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, secrets
+from . import bpe, exact_dedup, mixing, secrets
 
 QUERIES = {
+    "op9_byte_bpe": bpe.op9_byte_bpe,
     "op1_secret_scans": secrets.op1_secret_scans,
     "op3_mixing": mixing.op3_mixing,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
