@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, secrets
+from . import bpe, exact_dedup, license_scan, mixing, secrets
 
 QUERIES = {
+    "op2_license_scan": license_scan.op2_license_scan,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op1_secret_scans": secrets.op1_secret_scans,
     "op3_mixing": mixing.op3_mixing,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_license_scan": license_scan.OP2_SQL,
     "op1_secret_scans": secrets.OP1_SQL,
     "op3_mixing": mixing.OP3_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
