@@ -35,7 +35,10 @@ def keyed_state(spark: SparkSession, index_path: str, checkpoint: str) -> DataFr
     """Bring the state up to date with all files of the index; return (digest, win(id, locator), n)."""
     schema = "id bigint, digest binary, locator bigint"
     state = spark.readStream.schema(schema).parquet(index_path).groupBy("digest").agg(F.max(F.struct("id", "locator")).alias("win"), F.count(F.lit(1)).alias("n"))
-    with conf(spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB):
+    store = "spark__sql__streaming__stateStore__"
+    # stores of few keys must not reserve megabytes each for logs, nor upload whole files for each batch
+    small = {f"{store}rocksdb__allowFAllocate": "false", f"{store}rocksdb__changelogCheckpointing__enabled": "true"}
+    with conf(spark, **{f"{store}providerClass": ROCKSDB}, **small):
         run = state.writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         try:
             run.awaitTermination()
