@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, license_scan, mixing, secrets
+from . import bpe, exact_dedup, license_scan, mixing, quality, secrets
 
 QUERIES = {
+    "op7_quality_rules": quality.op7_quality_rules,
     "op2_license_scan": license_scan.op2_license_scan,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op1_secret_scans": secrets.op1_secret_scans,
