@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, license_scan, mixing, quality, secrets
+from . import bpe, exact_dedup, license_scan, minhash, mixing, quality, secrets
 
 QUERIES = {
+    "op4_minhash": minhash.op4_minhash,
     "op7_quality_rules": quality.op7_quality_rules,
     "op2_license_scan": license_scan.op2_license_scan,
     "op9_byte_bpe": bpe.op9_byte_bpe,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_minhash": minhash.OP4_SQL,
     "op2_license_scan": license_scan.OP2_SQL,
     "op1_secret_scans": secrets.OP1_SQL,
     "op3_mixing": mixing.OP3_SQL,
