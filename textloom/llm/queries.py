@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, katz, license_scan, minhash, mixing, quality, secrets
+from . import bpe, exact_dedup, katz, license_scan, minhash, mixing, quality, secrets, toxicity
 
 QUERIES = {
+    "op6_toxicity": toxicity.op6_toxicity,
     "op8_katz": katz.op8_katz,
     "op4_minhash": minhash.op4_minhash,
     "op7_quality_rules": quality.op7_quality_rules,
