@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, katz, license_scan, minhash, mixing, quality, secrets, toxicity
+from . import bpe, exact_dedup, html_extract, katz, license_scan, minhash, mixing, quality, secrets, toxicity
 
 QUERIES = {
+    "op5_html_extraction": html_extract.op5_html_extraction,
     "op6_toxicity": toxicity.op6_toxicity,
     "op8_katz": katz.op8_katz,
     "op4_minhash": minhash.op4_minhash,
