@@ -69,7 +69,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
     names: Counter[str] = Counter()  # of open_
     last = page.rfind(">") + 1
 
-    def close(i: int) -> int:
+    def end_from(i: int) -> int:
         """End the open elements from i on; return the zone around them."""
         around = open_[i][1]
         names.subtract(n for n, _ in open_[i:])
@@ -105,7 +105,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
                 i = next(i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == name)
                 if open_[i][1] != zone:
                     flush()
-                zone = close(i)
+                zone = end_from(i)
             continue
         if name in _BLOCK or name in _OUT:
             flush()
@@ -125,7 +125,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
         if name in ("p", "li", "td", "th", "tr", "dt", "dd", "option"):  # a new one ends the last
             for i in range(len(open_) - 1, -1, -1):
                 if open_[i][0] == name:
-                    zone = close(i)
+                    zone = end_from(i)
                     break
                 if open_[i][0] in _BLOCK:
                     break
