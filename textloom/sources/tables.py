@@ -68,3 +68,8 @@ def append(df: DataFrame, path: str) -> None:
 
 def export_json(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").json(path)
+
+
+def stream(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A table's files as a stream, whether the path is a folder or a single file (as a pattern it may be either)."""
+    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
