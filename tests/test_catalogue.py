@@ -1,6 +1,7 @@
 import pytest
 
 from tests.conftest import DATA, plain
+from textloom.plans import more  # noqa: F401  registers its queries
 from textloom.plans.catalogue import ORACLES, QUERIES
 
 SF = str(DATA / "sf0.001")

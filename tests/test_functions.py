@@ -130,3 +130,32 @@ def test_streams_end_as_batches(spark, tmp_path):
     stream = io.stream(spark, path, batch.schema)
     got = st.drained(spark, st.status(stream), "update", f"file://{tmp_path}/s", ["user_id"])
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, st.status(batch).collect()))
+
+
+def test_walk_finds_the_edges():
+    from textloom.operators.detect import walk
+
+    quote = "in the beginning there was a word and the word was good".split()
+    words = [*"some prose of the author before it".split(), *quote, *"and prose that follows after".split()]
+    a, b, score = walk(words, 10, 16, " ".join(quote))
+    assert words[a:b] == quote and score == 1.0
+
+
+def test_freeze_and_thaw():
+    from textloom.operators.rewrite import mask, split_long, unmask
+
+    masked, held = mask("the quote “a b” and a b", ["a b", "“a b”"])
+    assert held == ["“a b”", "a b"] and "a b" not in masked
+    assert unmask(masked, held) == "the quote “a b” and a b"
+    assert unmask(masked.replace("", "", 1), held) is None
+    long = "one two three four five six seven eight, and nine ten eleven twelve thirteen fourteen"
+    assert split_long(long, 10, 4) == "one two three four five six seven eight. And nine ten eleven twelve thirteen fourteen"
+    assert split_long("if " + long, 10, 4) == "if " + long
+
+
+def test_words_in_ranges(spark):
+    from textloom.operators.rewrite import words_at
+
+    docs = spark.createDataFrame([(1, "  one two  three")], "doc_id long, text string")
+    ranges = spark.createDataFrame([(1, 3, 7)], "doc_id long, from int, to int")
+    assert [r["nth"] for r in words_at(docs, ranges).collect()] == [1]
