@@ -4,12 +4,16 @@
    band keys, and into an odd sketch (a bitmap in which each sample flips a bit, so that the XOR of two sketches holds the
    samples on which they differ, and its population count estimates the similarity).
 2. Texts with equal sets become one node, so copies of any number cost a row each and nothing more.
-3. Nodes that share a band key are in one bucket. Not all pairs of a bucket are made: a hub is chosen (the node that meets
-   most others over all bands), and all others are compared with it only. Pairs go through the odd sketch, those that may
-   reach the threshold are verified on full shingle sets, and verified links are joined to components.
-4. Buckets in which nodes that were no hub yet lie in several components go into the next round with new hubs, until there
-   are none. Any two nodes of a bucket have then been compared or are connected, so components are those of all links
-   between nodes that meet in a band. At the threshold, two nodes meet in none of the bands with a chance below 1e-6.
+3. Nodes that share a band key meet in a bucket; nodes that buckets join, over any number of steps, are a neighbourhood. A
+   neighbourhood of bounded size is searched in one task: from a node to all that were not reached yet, first by odd
+   sketches, then on full shingle sets.
+4. A larger neighbourhood is searched by all tasks. Not all pairs of a bucket are made: a hub is chosen (the node that
+   meets most others over all bands), and all others are compared with it only: odd sketches first, then full sets. Links
+   are joined to components. Buckets in which nodes that were no hub yet lie in several components go into the next
+   round with new hubs, until there are none; any two nodes of a bucket have then been compared or are connected.
+
+Links are thus those between nodes that meet in a band (or a neighbourhood), confirmed on full sets. At the threshold, two
+nodes meet in none of the bands with a chance below 1e-6.
 
 Tables between the steps are written in the shared folder. Nothing but counts reaches the driver.
 """
@@ -35,8 +39,9 @@ _rng = np.random.Generator(np.random.PCG64(86028121))
 _A = _rng.integers(1, 1 << 64, _K, dtype=U) | U(1)
 _B = _rng.integers(1, 1 << 64, _K, dtype=U)
 _IN_BAND = _rng.integers(1, 1 << 64, (BANDS, ROWS), dtype=U) | U(1)
-#: Hubs a bucket gets in each round after the first.
-HUBS = 16
+#: A neighbourhood up to these sizes is the work of one task (8 bytes a shingle); beyond, buckets get so many hubs in each
+#: round after the first.
+GROUP_NODES, GROUP_SHINGLES, HUBS = 4000, 4_000_000, 64
 
 
 def widest_xor(percent: int = PERCENT, samples: int = _K, bits: int = SKETCH_BITS) -> int:
@@ -83,10 +88,10 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     np.multiply(hashes, _A[k], out=held)
                     np.add(held, _B[k], out=held)
                     least[:, k] = np.minimum.reduceat(held, first[full])
-                bands = mix((least.reshape(-1, BANDS, ROWS) * _IN_BAND).sum(axis=2, dtype=U) + np.arange(BANDS, dtype=U))
+                bands = mix((least.reshape(len(full), BANDS, ROWS) * _IN_BAND).sum(axis=2, dtype=U) + np.arange(BANDS, dtype=U))
                 bit = (mix(least ^ _B) % U(SKETCH_BITS)).astype(np.int64) + np.arange(len(full))[:, None] * SKETCH_BITS
                 odd = (np.bincount(bit.ravel(), minlength=len(full) * SKETCH_BITS) & 1).astype(np.uint8)
-                sketch = np.packbits(odd).view(np.int64).reshape(len(full), -1)
+                sketch = np.packbits(odd).view(np.int64).reshape(len(full), SKETCH_BITS // 64)
                 made = np.zeros(size + 1, np.int64)
                 made[full + 1] = 1
                 lists = lambda x: pa.ListArray.from_arrays(pa.array((np.cumsum(made) * x.shape[1]).astype(np.int32)), pa.array(np.ascontiguousarray(x).view(np.int64).ravel()))
@@ -155,7 +160,6 @@ class _Rounds:
 
     def compare(self, pairs: DataFrame) -> DataFrame | None:
         """pairs (a, b), repeats allowed. Returns all links so far, or None if there was nothing new to compare."""
-        spark = self.docs.sparkSession
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
@@ -165,25 +169,112 @@ class _Rounds:
         self.tested = pairs if self.tested is None else self.tested.union(pairs)
         one, two = (self.nodes.select(F.col("node").alias(k), F.col("sketch").alias(f"s{k}")) for k in "ab")
         close = written(pairs.join(one, "a").join(two, "b").where(_xor_bits(F.col("sa"), F.col("sb")) <= widest_xor(self.percent)).select("a", "b"), "near-close")
-        wanted = close.select(F.col("a").alias("node")).union(close.select("b")).distinct().join(self.nodes, "node").select("node", "fp")
-        wanted = written(wanted.withColumn("asked", F.lit(True)), "near-wanted").where("asked")
-        with conf(spark, spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold="0", spark__sql__optimizer__runtime__bloomFilter__creationSideThreshold="1g"):
-            text = text_of(self.text_col)
-            texts = self.docs.select(F.unhex(F.sha2(text, 256)).alias("fp"), text.alias("text")).join(wanted.select("node", "fp"), "fp")
-            sets = written(full_sets(texts.dropDuplicates(["node"])), "near-sets")
+        wanted = close.select(F.col("a").alias("node")).union(close.select("b")).distinct().join(self.nodes, "node")
+        sets = written(full_sets(texts_of(self.docs, wanted, self.text_col)), "near-sets")
         x, y = (sets.select(F.col("node").alias(k), F.col("hashes").alias(h)) for k, h in (("b", "x"), ("a", "y")))
         found = written(linked(close.join(x, "b").join(y, "a"), self.percent), "near-links")
         self.links = found if self.links is None else self.links.union(found)
         return self.links
 
 
-def near_components(docs: DataFrame, nodes: DataFrame, text_col: str, percent: int) -> DataFrame | None:
-    """nodes: (node, fp, bands, sketch). Returns (node, label) of nodes with links, or None without any."""
+def met_in_buckets(nodes: DataFrame) -> DataFrame:
+    """(node, key, size): the buckets with more than one node."""
     buckets = nodes.select("node", F.explode("bands").alias("key"))
-    sizes = written(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "near-sizes")
-    met = written(buckets.join(sizes, "key"), "near-met")
+    sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return written(buckets.join(sizes, "key").select("node", "key", "size"), "near-met")
+
+
+def near_components(docs: DataFrame, nodes: DataFrame, text_col: str, percent: int, most_nodes: int = GROUP_NODES, most_shingles: int = GROUP_SHINGLES) -> DataFrame | None:
+    """nodes: (node, fp, n, bands, sketch). Returns (node, label) of nodes that meet others in buckets, or None without any.
+
+    Nodes joined by buckets, links or not, are a neighbourhood; links never leave it. A neighbourhood within both limits is
+    one task's work; larger ones go round by round over all tasks."""
+    met = met_in_buckets(nodes)
     if met.isEmpty():
         return None
+    least = met.groupBy("key").agg(F.min("node").alias("hub"))
+    around = components(met.join(least, "key").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    own = written(nodes.join(around.withColumnRenamed("label", "around"), "node"), "near-around")
+    sizes = written(own.groupBy("around").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("m")), "near-sizes")
+    fits = (F.col("k") <= most_nodes) & (F.col("m") <= most_shingles)
+    small = own.join(sizes.where(fits), "around", "left_semi")
+    labels = written(within(texts_of(docs, small, text_col, "around", "sketch"), percent), "near-within")
+    large = sizes.where(~fits)
+    if large.isEmpty():
+        return labels
+    rest = written(own.join(large, "around", "left_semi").drop("around"), "near-large")
+    found = by_rounds(docs, rest, met.join(rest.select("node"), "node", "left_semi"), text_col, percent)
+    return labels if found is None else labels.unionByName(found)
+
+
+def texts_of(docs: DataFrame, nodes: DataFrame, text_col: str, *columns: str) -> DataFrame:
+    """(node, columns, text): a text for each node, found by its digest. Only texts asked for are shuffled: Spark puts a Bloom
+    filter of the digests before the shuffle."""
+    spark = docs.sparkSession
+    wanted = written(nodes.select("node", "fp", *columns, F.lit(1).alias("asked")), "near-wanted").where("asked = 1")
+    text = text_of(text_col)
+    with conf(spark, spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold="0", spark__sql__optimizer__runtime__bloomFilter__creationSideThreshold="1g"):
+        met = docs.select(F.unhex(F.sha2(text, 256)).alias("fp"), text.alias("text")).join(wanted.select("node", "fp", *columns), "fp")
+        return written(met.dropDuplicates(["node"]).select("node", *columns, "text"), "near-texts")
+
+
+def within(texts: DataFrame, percent: int) -> DataFrame:
+    """(node, around, sketch, text) -> (node, label): components of each neighbourhood, by breadth: each node is compared with
+    those not reached yet, first by sketches, then by full sets."""
+    widest = widest_xor(percent)
+
+    def split(nodes: list[int], sketches: list, sets: list[np.ndarray]) -> np.ndarray:
+        ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        cut = np.cumsum([0, *map(len, sets)])
+        size, sketch = np.diff(cut), np.array(sketches, np.int64).view(U)
+        label, mark = np.full(len(nodes), -1, np.int64), np.zeros(int(ids.max()) + 1, bool)
+        for seed in np.argsort(nodes):
+            if label[seed] >= 0:
+                continue
+            label[seed], queue = nodes[seed], [seed]
+            while queue:
+                u = queue.pop()
+                rest = np.flatnonzero(label < 0)
+                rest = rest[np.bitwise_count(sketch[rest] ^ sketch[u]).sum(axis=1) <= widest]
+                if len(rest):
+                    mark[ids[cut[u] : cut[u + 1]]] = True
+                    if len(rest) < 32:
+                        same = np.array([mark[ids[cut[i] : cut[i + 1]]].sum() for i in rest])
+                    else:
+                        same = np.add.reduceat(mark[ids].astype(np.int64), cut[:-1])[rest]
+                    mark[ids[cut[u] : cut[u + 1]]] = False
+                    near = rest[100 * same >= percent * (size[u] + size[rest] - same)]
+                    label[near] = nodes[seed]
+                    queue.extend(near.tolist())
+        return label
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        around, nodes, sketches, sets = None, [], [], []
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(split(nodes, sketches, sets), pa.int64())], names=["node", "label"])
+
+        for batch in batches:
+            for a, b, data, bounds in text_batches(batch.column(3)):
+                hashes, first = shingle_sets(data, bounds)
+                part = batch.slice(a, b - a)
+                for t, (node, group, sketch) in enumerate(zip(*(part.column(i).to_pylist() for i in range(3)), strict=True)):
+                    if group != around and nodes:
+                        yield out()
+                        nodes, sketches, sets = [], [], []
+                    around = group
+                    nodes.append(node)
+                    sketches.append(sketch)
+                    sets.append(np.unique(hashes[first[t] : first[t + 1]]))
+        if nodes:
+            yield out()
+
+    dealt = texts.select("node", "around", "sketch", "text").repartition("around").sortWithinPartitions("around", "node")
+    return dealt.mapInArrow(run, "node bigint, label bigint")
+
+
+def by_rounds(docs: DataFrame, nodes: DataFrame, met: DataFrame, text_col: str, percent: int) -> DataFrame | None:
+    """(node, label) of nodes with links, or None without any: hubs against their buckets, round by round."""
     central = met.groupBy("node").agg(F.sum("size").alias("central"))
     open_ = written(met.select("key", "node").join(central, "node"), "near-open")
     rounds, labels = _Rounds(docs, nodes, text_col, percent), None
@@ -214,7 +305,7 @@ def near_components(docs: DataFrame, nodes: DataFrame, text_col: str, percent: i
         hubs = others.groupBy("key", F.pmod(F.xxhash64("label"), F.lit(HUBS)).alias("_")).agg(F.max(F.struct("n", "hub", "label")).alias("h")).select("key", "h.hub", "h.label")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, most_nodes: int = GROUP_NODES) -> DataFrame:
     """A row for each row of docs: doc_id, fp (SHA-256 of the text), n_shingles, component_id, kept.
 
     Texts without words (null, empty, white space) have no shingles, are linked with nothing and kept. component_id is
@@ -223,8 +314,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     signed = written(signatures(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "near-signed")
     classes = written(signed.where("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("low")), "near-classes")
-    nodes = written(classes.select("node").join(signed, F.col("node") == F.col("row")).select("node", "fp", "bands", "sketch"), "near-nodes")
-    labels = near_components(docs, nodes, text_col, percent)
+    nodes = written(classes.select("node").join(signed, F.col("node") == F.col("row")).select("node", "fp", "n", "bands", "sketch"), "near-nodes")
+    labels = near_components(docs, nodes, text_col, percent, most_nodes)
     if labels is not None:
         told = classes.join(labels, "node")
         lows = told.groupBy("label").agg(F.min("low").alias("lowest"))
