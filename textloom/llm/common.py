@@ -39,15 +39,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(*tables: DataFrame) -> None:
-    """Delete tables of written() that nothing reads any more."""
-    for t in tables:
-        spark = t.sparkSession
-        folders = {f.rsplit("/", 1)[0] for f in t.inputFiles()}
-        for folder in folders:
+def drop_written(table: DataFrame) -> None:
+    """Delete a table of written() that nothing reads any more; other tables are left alone."""
+    spark = table.sparkSession
+    own = f"{shared_dir(spark)}/textloom/".removeprefix("file://").replace("file:", "")
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        if folder.replace("file://", "").replace("file:", "").startswith(own):
             p = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            if "/textloom/" in folder:
-                p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 @contextlib.contextmanager

@@ -41,6 +41,8 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 #: Words in class names and ids of what is no article.
 _MARKS = frozenset("ad ads adsense advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted related replies reply share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets".split())
+#: Words that make a class name tell of the layout around something (has-sidebar).
+_LAYOUT = frozenset("has no with without".split())
 _ROLES = frozenset("banner complementary contentinfo dialog alert form navigation search menu menubar toolbar".split())
 OPEN, ARTICLE, MARKED = 0, 1, 2
 
@@ -55,7 +57,7 @@ def _kind(name: str, attributes: str) -> int:
                 role = value
             else:
                 names.update(_NAME.findall(value))
-    if name in _OUT or role in _ROLES or (name not in ("html", "body") and names & _MARKS):
+    if name in _OUT or role in _ROLES or (name not in ("html", "body") and names & _MARKS and not names & _LAYOUT):
         return MARKED
     return ARTICLE if name in ("article", "main") or role == "main" else OPEN
 
