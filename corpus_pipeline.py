@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm import bpe, exact_dedup, minhash, mixing, toxicity
-from textloom.llm.common import documents, written
+from textloom.llm.common import documents, drop_written, written
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,8 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for i, (_, stage) in enumerate(STAGES):
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{i}")
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"pipeline-{i}")
+        drop_written(before)  # the source table is none of ours and stays
     return docs
 
 
