@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import conf, documents, lower_ascii, text_of, work_path, written
 
+#: A digest with more than one part in HOT of all rows is hot.
+HOT = 1000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -50,10 +52,15 @@ def keyed_state(spark: SparkSession, index_path: str, checkpoint: str) -> DataFr
 
 
 def differing(docs: DataFrame, groups: DataFrame, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
-    """Digests whose texts are not all equal, by comparing whole texts of hits."""
+    """Digests whose texts are not all equal, by comparing whole texts of hits. Each task hands on the least and the largest
+    text of a digest. Hot digests are looked up where the texts are, so their rows meet only as such pairs; for the
+    others Spark puts a Bloom filter of the digests with several rows before the shuffle."""
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    hits = groups.where("n > 1")
+    hot = F.col("n") * HOT > total  # fewer than HOT digests can hold one part in HOT of all rows
     texts = docs.select(lower_ascii(text_of(text_col)).alias("t")).select(digest(F.col("t")).alias("digest"), "t")
-    hits = texts.join(groups.where("n > 1").select("digest"), "digest", "left_semi")
-    return hits.groupBy("digest").agg(F.min("t").alias("least"), F.max("t").alias("most")).where("least <> most").select("digest")
+    met = texts.join(F.broadcast(hits.where(hot).select("digest")), "digest", "left_semi").union(texts.join(hits.where(~hot).select("digest"), "digest", "left_semi"))
+    return met.groupBy("digest").agg(F.min("t").alias("least"), F.max("t").alias("most")).where("least <> most").select("digest")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
