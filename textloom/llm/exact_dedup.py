@@ -88,7 +88,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _by_text(docs: DataFrame, odd: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
     texts = docs.select(F.col(id_col).cast("long").alias("id"), lower_ascii(text_of(text_col)).alias("t"))
-    keyed = written(texts.select("id", digest(F.col("t")).alias("digest"), F.sha2("t", 256).alias("sha"), "t", F.monotonically_increasing_id().alias("locator")).join(odd.withColumn("split", F.lit(True)), "digest", "left").withColumn("t", F.when("split", F.col("t")).otherwise("")).drop("split"), "dedup-texts")
+    keyed = written(texts.select("id", digest(F.col("t")).alias("digest"), F.sha2("t", 256).alias("sha"), "t", F.monotonically_increasing_id().alias("locator")).join(odd.withColumn("split", F.lit(True)), "digest", "left").withColumn("t", F.when(F.col("split"), F.col("t")).otherwise("")).drop("split"), "dedup-texts")
     groups = keyed.groupBy("digest", "t").agg(F.max(F.struct("id", "locator")).alias("win"), F.count(F.lit(1)).alias("n"))
     return keyed.join(groups, ["digest", "t"])
 
