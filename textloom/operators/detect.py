@@ -102,3 +102,57 @@ def check(docs: DataFrame, rend: DataFrame) -> DataFrame:
 def control(docs: DataFrame, rend: DataFrame) -> DataFrame:
     """Findings and verdicts of whole documents: one row a document."""
     return ps.verdicts(docs, check(docs, rend))
+
+
+def free_regions(docs: DataFrame, walls: DataFrame) -> DataFrame:
+    """(doc_id, start, end): the largest stretch of a document's words between walls (doc_id, start, end), the earliest of
+    equals. Documents without walls are left out."""
+    n = ps.words_of(docs, "doc_id").select("doc_id", F.size("w").cast("long").alias("all"))
+    merged = ps.merged_intervals(walls, ["doc_id"]).join(n, "doc_id")
+    w = Window.partitionBy("doc_id").orderBy("start")
+    before = merged.select("doc_id", F.coalesce(F.lag("end").over(w), F.lit(0)).alias("start"), F.col("start").alias("end"))
+    last = merged.groupBy("doc_id").agg(F.max("end").alias("start"), F.first("all").alias("end"))
+    gaps = before.unionByName(last).where("end > start")
+    best = gaps.groupBy("doc_id").agg(F.max(F.struct((F.col("end") - F.col("start")).alias("len"), (-F.col("start")).alias("s"))).alias("b"))
+    return best.select("doc_id", (-F.col("b.s")).alias("start"), (F.col("b.len") - F.col("b.s")).alias("end"))
+
+
+def excerpt(quote: list[str], approved: list[str]) -> tuple[int, int, float]:
+    """The stretch of the approved words that is most like a shorter quote: near where the longest common run puts it, with
+    0.8 to 1.25 of its length; the first of equals."""
+    from difflib import SequenceMatcher
+
+    run = SequenceMatcher(None, quote, approved, autojunk=False).find_longest_match()
+    at, text, n = run.b - run.a, " ".join(quote), len(quote)
+    tried = [(a, a + k) for a in range(max(0, at - 3), max(0, at) + 4) for k in range(max(1, int(0.8 * n)), int(1.25 * n) + 2) if a + k <= len(approved)]
+    scored = [(sm.similarity(text, " ".join(approved[a:b])), -i, a, b) for i, (a, b) in enumerate(tried)]
+    if not scored:
+        return 0, len(approved), sm.similarity(text, " ".join(approved))
+    best = max(scored)
+    return best[2], best[3], best[0]
+
+
+def excerpts(quotes: DataFrame, rend: DataFrame) -> DataFrame:
+    """(key, item_id, edition, start, end, score) for quotes (key, item_id, quote: words) of eight words or more that are less
+    than 0.85 of a rendering."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for r in part.itertuples(index=False):
+                a, b, s = excerpt(list(r.quote), list(r.approved))
+                out.append((r.key, r.item_id, r.edition, a, b, round(s, 6)))
+            yield pd.DataFrame(out, columns=["key", "item_id", "edition", "start", "end", "score"])
+
+    rows = quotes.join(rend.select("item_id", "edition", tx.tokens(F.col("text")).alias("approved")), "item_id").where((F.size("quote") >= 8) & (F.size("quote") < 0.85 * F.size("approved")))
+    return rows.select("key", "item_id", "edition", "quote", "approved").mapInPandas(run, "key bigint, item_id bigint, edition int, start bigint, end bigint, score double")
+
+
+def not_aliases(missing: DataFrame, placed: DataFrame, least: int = 3) -> DataFrame:
+    """Missing passages (item_id, words) of `least` words or more that lie within no placed one (item_id, words) are really
+    missing; pairs are those that share their first `least` words."""
+    key = lambda w: F.array_join(F.slice(w, 1, least), " ")
+    m = missing.where(F.size("words") >= least).select("item_id", F.array_join("words", " ").alias("text"), key(F.col("words")).alias("g"))
+    p = placed.select(F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")).alias("whole"), F.explode(tx.shingles(F.col("words"), least)).alias("g"))
+    inside = m.join(p, "g").where(F.contains("whole", F.concat(F.lit(" "), F.col("text"), F.lit(" ")))).select("item_id").distinct()
+    return missing.join(inside, "item_id", "left_anti")

@@ -182,3 +182,52 @@ def lines_with_theme(s, d):
     rows = table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).withColumn("i", F.col("i") + 1)
     theme = F.last(F.when(F.length("line") < 60, F.col("line")), ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
     return rows.select("doc_id", "i", F.sha2("line", 256).alias("line"), theme.alias("theme"))
+
+
+@query(f"""{c._PAIRS}, {c._ISLANDS}, {c._HITS}, m0 AS (SELECT *, max("end") OVER (PARTITION BY doc_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM hits),
+m1 AS (SELECT *, sum(CASE WHEN far IS NULL OR start > far THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS g FROM m0), m AS (SELECT doc_id, min(start) AS a, max("end") AS b FROM m1 GROUP BY doc_id, g),
+gap AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS start, a AS "end" FROM m UNION ALL SELECT doc_id, max(b), any_value(len(w)) FROM m JOIN dw USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(start AS BIGINT) AS start, CAST("end" AS BIGINT) AS "end" FROM gap WHERE "end" > start QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY "end" - start DESC, start) = 1""")
+def free_regions(s, d):
+    return dt.free_regions(table(s, d, "documents"), c._run_spans(s, d))
+
+
+@query()
+def best_excerpts(s, d):
+    """The first twenty words of each passage, placed in its renderings."""
+    q = table(s, d, "benchmark").select(F.col("item_id").alias("key"), "item_id", F.slice(tx.tokens(F.col("text")), 1, 20).alias("quote"))
+    return dt.excerpts(q, c._rend(s, d))
+
+
+@query(f"WITH {c._DW}, {c._PW}, {c._runs(ps.RUN)}, q AS (SELECT DISTINCT doc_id FROM sh{ps.RUN}) SELECT lang, count(*) AS n, CAST(sum(CASE WHEN q.doc_id IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS hits, round(100.0 * sum(CASE WHEN q.doc_id IS NOT NULL THEN 1 ELSE 0 END) / count(*), 4) AS rate FROM documents d LEFT JOIN q USING (doc_id) GROUP BY ROLLUP (lang)")
+def detection_rollup(s, d):
+    """Share of documents that quote a passage, by language and in all."""
+    docs = table(s, d, "documents")
+    hit = ps.shared_runs(docs, table(s, d, "benchmark"), ps.RUN).select("doc_id").distinct().withColumn("hit", F.lit(True))
+    return ev.rates(docs.join(hit, "doc_id", "left"), "lang", F.coalesce("hit", F.lit(False)))
+
+
+@query(f"""WITH {c._PARA}, {c._PW}, dw AS (SELECT page_id * 100000 + nth AS doc_id, 'x' AS lang, {tx.tokens_sql('text')} AS w FROM para WHERE length(text) >= 180 AND kind = 'prose'), {c._runs(ps.RUN)}
+SELECT count(*) AS paragraphs, count(DISTINCT s.doc_id) AS with_finding FROM dw LEFT JOIN (SELECT DISTINCT doc_id FROM sh{ps.RUN}) s USING (doc_id)""")
+def prose_findings(s, d):
+    """Paragraphs of prose in pages, and those in which something is found."""
+    p = c._paras(s, d).where((F.length("text") >= 180) & (F.col("kind") == "prose")).select((F.col("page_id") * 100000 + F.col("nth")).alias("doc_id"), "text")
+    hit = ps.shared_runs(p, table(s, d, "benchmark"), ps.RUN).select("doc_id").distinct().withColumn("hit", F.lit(1))
+    return p.join(hit, "doc_id", "left").agg(F.count(F.lit(1)).alias("paragraphs"), F.count("hit").alias("with_finding"))
+
+
+@query(f"WITH {c._DW}, {c._PW}, {c._runs(ps.SMALL_RUN)}, {c._runs(ps.RUN)} SELECT count(*) AS seeds, count(b.doc_id) AS survive FROM sh{ps.SMALL_RUN} a LEFT JOIN sh{ps.RUN} b USING (doc_id, item_id)")
+def tier_survival(s, d):
+    """Pairs that a short run proposes, and those that a long one confirms."""
+    docs, p = table(s, d, "documents"), table(s, d, "benchmark")
+    long = ps.shared_runs(docs, p, ps.RUN).select("doc_id", "item_id", F.lit(1).alias("ok"))
+    return ps.shared_runs(docs, p, ps.SMALL_RUN).join(long, ["doc_id", "item_id"], "left").agg(F.count(F.lit(1)).alias("seeds"), F.count("ok").alias("survive"))
+
+
+@query("""WITH p AS (SELECT item_id, text FROM benchmark WHERE item_id % 2 = 0), m AS (SELECT item_id + 1000 AS item_id, array_to_string(string_split(text, ' ')[3:9], ' ') AS text FROM benchmark)
+SELECT item_id FROM m WHERE NOT EXISTS (SELECT 1 FROM p WHERE contains(' ' || p.text || ' ', ' ' || m.text || ' '))""")
+def alias_suppression(s, d):
+    """Pieces of all passages against the even ones: what lies within one of these is not missing."""
+    w = table(s, d, "benchmark").select("item_id", F.split("text", " ").alias("words"))
+    pieces = w.select((F.col("item_id") + 1000).alias("item_id"), F.slice("words", 3, 7).alias("words"))
+    return dt.not_aliases(pieces, w.where("item_id % 2 = 0")).select("item_id")
