@@ -142,7 +142,7 @@ class Codec:
         return b"".join(map(self.bytes_of, np.frombuffer(packed, "<u4").tolist()))
 
 
-_codecs: dict[tuple, Codec] = {}
+_codecs: list[tuple[Vocabulary, str, Codec]] = []
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -165,11 +165,10 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_i
     schema = ", ".join([f"doc_id {kind.simpleString()}", *(f"{o} {OUTPUTS[o]}" for o in outputs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (held.id, pattern)
-        if key not in _codecs:
-            _codecs.clear()
-            _codecs[key] = Codec(held.value, pattern)
-        codec = _codecs[key]
+        codec = next((c for v, p, c in _codecs if v is held.value and p == pattern), None)
+        if codec is None:  # a worker keeps the last one, with its memo
+            codec = Codec(held.value, pattern)
+            _codecs[:] = [(held.value, pattern, codec)]
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
