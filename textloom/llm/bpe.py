@@ -12,8 +12,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
+import struct
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from pathlib import Path
 
 import numpy as np
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import documents
 
-#: Entries of the memo, and the longest piece in characters that it keeps.
-MEMO, MEMO_CHARS = 200_000, 48
+#: Entries of a generation of the memo, and the longest piece in characters that it keeps.
+MEMO, MEMO_CHARS = 300_000, 48
 _K1, _K2, _M = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, (1 << 64) - 1
 
 
@@ -81,6 +82,7 @@ class Vocabulary:
         self.keys = [keys[i] for i in self.hash.slots]
         self.ids = [ranks[k] for k in self.keys]
         self.bytes_of = {i: k for k, i in ranks.items()}
+        self.ranks = dict(ranks)  # for pairs within a miss
 
     def find(self, piece: bytes) -> int | None:
         s = self.hash.slot(piece)
@@ -91,35 +93,46 @@ class Vocabulary:
         return [whole] if whole is not None else self.merge(piece)
 
     def merge(self, piece: bytes) -> list[int]:
-        """Nodes are named by their first byte; to[i] is where node i ends, which is its right neighbour's name."""
-        n, find = len(piece), self.find
-        to, back, alive = list(range(1, n + 1)), list(range(-1, n)), [True] * n
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := find(piece[i : i + 2])) is not None]
-        heapq.heapify(heap)
+        """Nodes are named by their first byte; to[i] is where node i ends, which is its right neighbour's name, and 0 once it is
+        merged into another; back[i] is the name of the node that ends at i."""
+        n, rank = len(piece), self.ranks.get
+        to, back = list(range(1, n + 1)), list(range(-1, n))
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
+        heapify(heap)
         while heap:
-            _, i, end = heapq.heappop(heap)
-            j = to[i] if alive[i] else n
-            if j >= n or to[j] != end:  # a neighbour has changed since
+            _, i, end = heappop(heap)
+            j = to[i]
+            if not j or j == n or to[j] != end:  # a neighbour has changed since
                 continue
-            to[i], alive[j], back[end] = end, False, i
-            if (p := back[i]) >= 0 and (r := find(piece[p:end])) is not None:
-                heapq.heappush(heap, (r, p, end))
-            if end < n and (r := find(piece[i : to[end]])) is not None:
-                heapq.heappush(heap, (r, i, to[end]))
-        return [find(piece[i : to[i]]) for i in range(n) if alive[i]]
+            to[i], to[j], back[end] = end, 0, i
+            p = back[i]
+            if p >= 0 and (r := rank(piece[p:end])) is not None:
+                heappush(heap, (r, p, end))
+            if end < n and (r := rank(piece[i : to[end]])) is not None:
+                heappush(heap, (r, i, to[end]))
+        ranks, out, i = self.ranks, [], 0
+        while i < n:
+            out.append(ranks[piece[i : to[i]]])
+            i = to[i]
+        return out
 
 
 class Memo(dict):
-    """Piece -> its ids as little-endian unsigned 32-bit integers."""
+    """Piece -> its ids as little-endian unsigned 32-bit integers. When it is full it becomes the older generation, and pieces
+    that are asked for again come over from there."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.vocabulary, self.older = vocabulary, {}
 
     def __missing__(self, piece: str) -> bytes:
-        packed = np.array(self.vocabulary.encode_piece(piece.encode()), "<u4").tobytes()
+        packed = self.older.get(piece)
+        if packed is None:
+            ids = self.vocabulary.encode_piece(piece.encode())
+            packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= MEMO_CHARS:
             if len(self) >= MEMO:
+                self.older = dict(self)
                 self.clear()
             self[piece] = packed
         return packed
