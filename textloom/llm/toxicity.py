@@ -19,6 +19,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from math import ceil
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -43,24 +45,38 @@ def features_of(word: str) -> set[str]:
     return {word, *(word[:k] + "~" for k in BEGINNINGS if len(word) > k)}
 
 
-def choose(toxic: list[set[str]], clean: list[set[str]]) -> list[str]:
-    """Features by greedy cover, until COVER of them explain a document; toxic and clean: the features in each document."""
-    in_clean = Counter(f for d in clean for f in d)
+def features_in(text: str) -> set[str]:
+    return {f for w in {w.lower() for w in _WORD.findall(text)} for f in features_of(w)}
+
+
+def choose(toxic: list[str], clean: list[str]) -> list[str]:
+    """Features by greedy cover of the texts, until COVER of them explain a text. A first pass counts hashes of features, and
+    just those features are held that occur often enough by that count."""
+    least = max(3, ceil(GAIN * len(toxic)))
+    rough = np.zeros(1 << 22, np.int32)
+    spot = lambda f: crc32(f.encode()) & (1 << 22) - 1
+    for t in toxic:
+        rough[np.unique(np.fromiter(map(spot, features_in(t)), np.int64))] += 1
     holders: dict[str, set[int]] = {}
-    for i, d in enumerate(toxic):
-        for f in d:
-            holders.setdefault(f, set()).add(i)
-    left = {f: (h, AGAINST * in_clean[f] / len(clean)) for f, h in holders.items() if len(h) > 2 and len(h) / len(toxic) - AGAINST * in_clean[f] / len(clean) >= GAIN}
+    for i, t in enumerate(toxic):
+        for f in features_in(t):
+            if rough[spot(f)] >= least:
+                holders.setdefault(f, set()).add(i)
+    in_clean: Counter[str] = Counter()
+    for t in clean:
+        in_clean.update(f for f in features_in(t) if f in holders)
+    cost = {f: AGAINST * in_clean[f] / len(clean) for f in holders}
+    left = {f: h for f, h in holders.items() if len(h) >= least and len(h) / len(toxic) - cost[f] >= GAIN}
     found, times, covered = [], Counter(), set()
     while left and len(found) < FEATURES:
-        gains = {f: len(h - covered) / len(toxic) - cost for f, (h, cost) in left.items()}
+        gains = {f: len(h - covered) / len(toxic) - cost[f] for f, h in left.items()}
         best = max(gains, key=lambda f: (gains[f], f))
         if gains[best] < GAIN:
             break
         found.append(best)
-        times.update(left.pop(best)[0])
+        times.update(left.pop(best))
         covered = {i for i, k in times.items() if k >= COVER}
-        left = {f: v for f, v in left.items() if gains[f] >= GAIN}  # gains only fall
+        left = {f: h for f, h in left.items() if gains[f] >= GAIN}  # gains only fall
     return found
 
 
@@ -160,45 +176,41 @@ class Tagger:
         return out
 
 
-def _windows(tagger: Tagger, texts: list[str], toxic: bool) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(features by word, labels) of windows around hits; of a text without, its first words."""
-    k, out = len(tagger.features), []
+Windows = list[tuple[list[tuple[int, ...]], list[int], list[int]]]
+
+
+def _windows(tagger: Tagger, texts: list[str], toxic: bool) -> Windows:
+    """(features, neighbours with features, labels) by word, of windows around hits; of a text without, its first words."""
+    out: Windows = []
     for text in texts:
         n, at, got = tagger.hits(text)
         where = dict(zip(at, got, strict=True))
         done = -1
         for i in at[:40] or [0] * (n > 0):
-            if i < done:
-                continue
-            a, b = max(0, i - AROUND), min(n, i + AROUND + 1)
-            done = b
-            x = np.zeros((b - a, 2 + k))
-            x[:, 0] = 1
-            for j in range(a - 1, b + 1):
-                for f in where.get(j, ()):
-                    if a <= j < b:
-                        x[j - a, 2 + f] = 1
-                if j in where:
-                    for m in (j - 1, j + 1):
-                        if a <= m < b:
-                            x[m - a, 1] += 1
-            y = np.array([int(toxic and j in where) for j in range(a, b)])
-            out.append((x, y))
+            if i >= done:
+                a, done = max(0, i - AROUND), min(n, i + AROUND + 1)
+                span = range(a, done)
+                out.append(([where.get(j, ()) for j in span], [(j - 1 in where) + (j + 1 in where) for j in span], [int(toxic and j in where) for j in span]))
     return out
 
 
-def fit_chain(tagger: Tagger, windows: list[tuple[np.ndarray, np.ndarray]], rounds: int = 120, rate: float = 0.15, ridge: float = 1e-3) -> None:
-    """Adam on the log-likelihood of the windows, all at once: shorter ones are padded behind, where steps do nothing."""
-    width = 2 * AROUND + 1
-    k = windows[0][0].shape[1]
-    x, y, real = np.zeros((len(windows), width, k)), np.zeros((len(windows), width), int), np.zeros((len(windows), width))
-    for i, (a, b) in enumerate(windows):
-        x[i, : len(b)], y[i, : len(b)], real[i, : len(b)] = a, b, 1
-    order = np.r_[0, 1, 7 : 7 + k - 2]  # weights of the columns of x
+def fit_chain(tagger: Tagger, windows: Windows, rounds: int = 120, rate: float = 0.15, ridge: float = 1e-3) -> None:
+    """Adam on the log-likelihood of the windows, all at once: shorter ones are padded behind, where steps do nothing. Words
+    with the same features are of one kind, so a word is a small number here."""
+    width, size = 2 * AROUND + 1, len(windows)
+    kinds: dict[tuple[int, ...], int] = {(): 0}
+    kind, beside, y, real = (np.zeros((size, width), t) for t in (np.int32, np.int8, np.int8, np.float32))
+    for i, (features, around, labels) in enumerate(windows):
+        n = len(labels)
+        kind[i, :n], beside[i, :n], y[i, :n], real[i, :n] = [kinds.setdefault(f, len(kinds)) for f in features], around, labels, 1
+    held = np.zeros((len(kinds), len(tagger.features)))
+    for f, k in kinds.items():
+        held[k, list(f)] = 1
     w, m, v = tagger.weights, np.zeros_like(tagger.weights), np.zeros_like(tagger.weights)
     both = real[:, 1:]
     for t in range(1, rounds + 1):
-        score = np.stack([np.zeros_like(real), x @ w[order]], axis=2)
+        score = np.zeros((size, width, 2))
+        score[..., 1] = w[0] + (held @ w[7:])[kind] + w[1] * beside
         score[:, 0, 1] += w[2]
         step = w[3:7].reshape(2, 2)
         fore, back = score.copy(), np.zeros_like(score)
@@ -209,15 +221,15 @@ def fit_chain(tagger: Tagger, windows: list[tuple[np.ndarray, np.ndarray]], roun
             new = np.logaddexp(*((step[:, s] + (score[:, i + 1, s] + back[:, i + 1, s])[:, None]) for s in (0, 1)))
             back[:, i] = np.where(real[:, i + 1, None] > 0, new, 0)
         z = np.logaddexp(fore[:, -1, 0], fore[:, -1, 1])
-        p = np.exp(fore[..., 1] + back[..., 1] - z[:, None]) * real
+        off = (y - np.exp(fore[..., 1] + back[..., 1] - z[:, None])) * real
         grad = np.zeros_like(w)
-        grad[order] = np.einsum("it,itk->k", y - p, x)
-        grad[2] = (y[:, 0] - p[:, 0]).sum()
+        grad[0], grad[1], grad[2] = off.sum(), (off * beside).sum(), off[:, 0].sum()
+        grad[7:] = held.T @ np.bincount(kind.ravel(), weights=off.ravel(), minlength=len(kinds))
         for a in (0, 1):
             for b in (0, 1):
                 pair = np.exp(fore[:, :-1, a] + step[a, b] + score[:, 1:, b] + back[:, 1:, b] - z[:, None]) * both
                 grad[3 + 2 * a + b] = (((y[:, :-1] == a) & (y[:, 1:] == b)) * both).sum() - pair.sum()
-        grad = grad / len(windows) - ridge * w
+        grad = grad / size - ridge * w
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         w += rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
 
@@ -253,8 +265,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     toxic, clean = ([t for y, t in sample if y == k] for k in (1, 0))
     if not toxic or not clean:
         return Tagger([])
-    told = lambda texts: [{f for w in set(_WORD.findall(t)) for f in features_of(w.lower())} for t in texts]
-    tagger = Tagger(choose(told(toxic), told(clean)))
+    tagger = Tagger(choose(toxic, clean))
     windows = _windows(tagger, toxic, True) + _windows(tagger, clean, False)
     if windows and tagger.features:
         fit_chain(tagger, windows)
