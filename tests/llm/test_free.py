@@ -198,6 +198,15 @@ def test_quality_lines(spark):
     assert all(got[200 + i]["kept"] and got[200 + i]["n_removed"] == 0 for i in range(50))
 
 
+def test_quality_counts_documents_with_several_shared_lines(spark):
+    """Lines that come together count every distinct document, whichever of them has the least hash."""
+    shared = [" ".join(f"shared{k}x{j}" for j in range(5)) for k in range(6)]
+    own = lambda i: " ".join(f"own{i}x{k}" for k in range(40))
+    rows = [(100 * h + i, "\n".join([*shared, own(100 * h + i)]), f"host{h}") for h in range(4) for i in range(30)]
+    got = quality.quality(frame(spark, rows)).collect()
+    assert len(got) == 120 and all(r["n_removed"] == 30 and r["kept"] for r in got)
+
+
 def test_quality_odd_and_empty(spark, odd, empty):
     rows = quality.quality(odd).collect()
     assert len(rows) == 10 and sum(r["kept"] for r in rows) == 1

@@ -2,11 +2,11 @@
 
 Each text's lines are normalised (A-Z lower-cased, runs of white space as one space, ends trimmed) and hashed. For each
 host (the source) and line the distinct documents with it are counted, and lines above the limit are taken out. A document
-that loses so much that too little is left is rejected. For the count a document is known by the least hash of its
-other lines: boilerplate comes with ever other neighbours, while thousands of copies of one text count as one.
+that loses so much that too little is left is rejected. For the count a document is known by a digest of its whole text:
+documents with any lines in common stay distinct, while thousands of copies of one text count as one.
 
-The texts are read once, in Arrow batches. Counts are summed in each task before the shuffle, first for (host, line, rest),
-so a hot host or line is a row a task. A host has at most (lines a document) / (share of the limit) lines above the
+The texts are read once, in Arrow batches. Copies are reduced to one, and counts are summed, in each task before the
+shuffle, so a hot text, host or line is a row a task. A host has at most (lines a document) / (share of the limit) lines above the
 limit, so they go to its documents as one array.
 """
 
@@ -32,7 +32,7 @@ LEFT = 30
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"[#*$%&|<>]"[1:-1], np.uint8))
 _INNER = (np.arange(256) & 0xC0) == 0x80
 _LINES = pa.list_(pa.struct([("hash", pa.int64()), ("words", pa.int32())]))
-_SCHEMA = "doc_id {id}, host string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, lines array<struct<hash:bigint,words:int>>"
+_SCHEMA = "doc_id {id}, host string, key bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, lines array<struct<hash:bigint,words:int>>"
 
 
 def repeated(w, n: int) -> np.ndarray:
@@ -79,12 +79,12 @@ def _lines(data: np.ndarray, bounds: np.ndarray, w) -> tuple[list, np.ndarray]:
 
 
 def measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """A row for each row of docs: the base counts and the distinct normalised lines."""
+    """A row for each row of docs: the base counts, a digest of the text (key) and the distinct normalised lines."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, bounds in text_batches(batch.column(2)):
+            for a, b, data, bounds in text_batches(batch.column(3)):
                 w = words(data, bounds, lower=True)
                 exact = words(data, bounds, lower=False)
                 chars = np.concatenate([[0], np.cumsum(~_INNER[data])])
@@ -92,20 +92,19 @@ def measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
                 in_words = sums_by_text(chars[w.end] - chars[w.start], w.first)
                 lines, again = _lines(data, bounds, w)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *(pa.array(x.astype(np.int64)) for x in (w.counts, in_words, np.diff(marks[bounds]), again, repeated(exact, WINDOW))), pa.array(lines, _LINES)],
-                    names=["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"],
+                    [*(batch.column(i).slice(a, b - a) for i in range(3)), *(pa.array(x.astype(np.int64)) for x in (w.counts, in_words, np.diff(marks[bounds]), again, repeated(exact, WINDOW))), pa.array(lines, _LINES)],
+                    names=["doc_id", "host", "key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"],
                 )
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), text_of(text_col).alias("text")).mapInArrow(run, _SCHEMA.format(id=kind))
+    text = text_of(text_col)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.xxhash64(text).alias("key"), text.alias("text")).mapInArrow(run, _SCHEMA.format(id=kind))
 
 
 def common_lines(rows: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
-    """(host, common: hashes of the lines above the limit), a row a host that has any. rows: host, lines."""
-    least = F.array_sort(F.col("lines.hash"))
-    known = rows.select("host", "lines", F.get(least, F.lit(0)).alias("m1"), F.get(least, F.lit(1)).alias("m2")).where(F.size("lines") > 0)
-    by_line = known.select("host", "m1", "m2", F.explode("lines.hash").alias("line")).groupBy("host", "line", F.when(F.col("line") == F.col("m1"), F.col("m2")).otherwise(F.col("m1")).alias("rest")).agg(F.count(F.lit(1)).alias("_"))
-    by_line = by_line.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
-    hosts = known.groupBy("host", "m1").agg(F.count(F.lit(1)).alias("_")).groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
+    """(host, common: hashes of the lines above the limit), a row a host that has any. rows: host, key, lines."""
+    texts = rows.where(F.size("lines") > 0).select("host", "key", "lines").dropDuplicates(["host", "key"])
+    by_line = texts.select("host", F.explode("lines.hash").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
+    hosts = rows.where(F.size("lines") > 0).select("host", "key").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("docs"))
     over = by_line.where(F.col("n") > min_docs).join(hosts.select(F.col("host").alias("h"), "docs"), F.col("host").eqNullSafe(F.col("h"))).where(F.col("n") * 100 > F.col("docs") * share)
     return over.groupBy(F.col("host").alias("h")).agg(F.collect_list("line").alias("common"))
 
