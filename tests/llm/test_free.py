@@ -111,6 +111,18 @@ def test_boilerplate_of_a_host_goes(spark):
     assert got == {**{i: f"page {i} has its own words number {i * 7}" for i in range(5)}, 9: line}
 
 
+def test_boilerplate_of_articles_goes_and_open_text_stays(spark):
+    """Unmarked promos within <main>, and main text in <div>s beside a teaser; a headline named in menus stays."""
+    promo, teaser = "sign up today and get all of our best offers by mail every single week", "read our story of the year"
+    own = lambda i, k: f"text {i} part {k} tells of things that number {i * 7 + k} alone has"
+    nav = "<nav><a>text 0 part 0 tells of things that number 0 alone has</a></nav>"
+    rows = [(i, f"http://h/{i}", f"{nav}<main><p>{own(i, 0)}</p><p>{promo}</p><p>{own(i, 1)}</p></main>") for i in range(4)]
+    rows += [(10 + i, f"http://t/{i}", f"<article>{teaser}</article><div>{own(i, 2)}</div>") for i in range(4)]
+    rows += [(20 + i, f"http://copy/{i}", f"<nav>{i}</nav><article>{own(9, 3)}</article>") for i in range(4)]
+    got = {r["page_id"]: (r["text"], r["n_removed"]) for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**{i: (own(i, 0) + "\n" + own(i, 1), 15) for i in range(4)}, **{10 + i: (own(i, 2), 6) for i in range(4)}, **{20 + i: (own(9, 3), 0) for i in range(4)}}
+
+
 def test_suffix_array_counts_pages():
     rng = random.Random(0)
     for _ in range(200):

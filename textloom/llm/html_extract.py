@@ -4,19 +4,23 @@ A page is read tag by tag into blocks, each in a zone: article (inside <article>
 footers, sidebars, notices, adverts, forms, reader comments, as their tags, roles and class names tell), or open
 (anything else). Scripts, styles, comments and markup are no blocks.
 
-The token streams of all blocks outside articles are joined host by host, and a suffix array over them (sorted to a depth
-of RUN tokens by prefix doubling) finds substrings of RUN tokens or more, and whole short blocks, with the number of
-distinct pages that have them. What PAGES or more distinct pages of a host repeat is boilerplate: it is removed from open
-blocks, of which the unique runs stay. The text is the article's blocks, or in a page without an article its open blocks.
-
-A large host is dealt over many tasks, PART pages each; a task gives the pages of each substring among its own, and sums over
-tasks are exact, as no page is in two of them. Pages with the same HTML count once.
+The token streams of all blocks are joined host by host, and a suffix array over them (sorted to a depth of RUN tokens by
+prefix doubling) finds substrings of RUN tokens or more, and whole short blocks, with the number of distinct pages that
+have them. What PAGES or more distinct pages of a host repeat is boilerplate: it is removed from article and open blocks, and
+the unique runs of both, in the page's order, are the text. For article blocks only repeats outside marked zones count, as
+menus and lists of links name the headlines of articles. Pages whose blocks outside marked zones are equal count once.
+
+A large host is dealt over many tasks, PART pages or PART_CHARS characters of HTML each; a task gives the pages of each
+substring among its own, and sums over tasks are exact, as no page is in two of them. Texts go to these tasks packed. The
+substrings found set bits of a map of fixed size; pages without any of its bits are done as they are read, and the others'
+substrings are joined with those found.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,9 +31,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import text_of, written
+from .kernel import _PLACE, U, Words, mix, words
 
-#: Tokens of a long substring; distinct pages of a host that make it boilerplate; pages of a host in a task, about.
-RUN, PAGES, PART = 8, 3, 2000
+#: Tokens of a long substring; distinct pages of a host that make it boilerplate; pages of a host in a task, about, and
+#: characters of their HTML; bits of the map of substrings found.
+RUN, PAGES, PART, PART_CHARS, BITS = 8, 3, 2000, 16_000_000, 1 << 24
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -143,140 +149,177 @@ def blocks(page: str) -> list[tuple[int, str]]:
     return out
 
 
-def repeated(streams: list[list[list[str]]], depth: int = RUN) -> dict[int, int]:
-    """streams: for each page its blocks' tokens. Key of each substring of `depth` tokens, and of each shorter whole block ->
-    pages with it. Tokens of all blocks are joined with a separator of its own after each; ranks of suffixes double their
-    depth until they tell `depth` tokens apart, and neighbours of equal rank in the suffix array have the same substring."""
-    codes: dict[str, int] = {}
-    joined, page, left = [], [], []
-    for i, one in enumerate(streams):
-        for tokens in one:
-            joined += [codes.setdefault(t, len(codes)) for t in tokens] + [-1]
-            page += [i] * (len(tokens) + 1)
-            left += range(len(tokens), -1, -1)
-    if not joined:
-        return {}
-    rank, page_of, room = np.array(joined, np.int64) + 1, np.array(page), np.array(left)
-    words = [*codes]
-    first = rank.copy()
-    width = 1
+def block_runs(texts: list[str], depth: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray, Words]:
+    """Key, first token and number of tokens of each substring of `depth` tokens of a block, and of each shorter whole block;
+    and the blocks' tokens. A substring has the same key in all tasks."""
+    raw = [t.encode() for t in texts]
+    w = words(np.frombuffer(b"".join(raw) or b" ", np.uint8), np.cumsum([0, *map(len, raw)]), lower=False)
+    runs, at = w.runs(depth)
+    short = np.flatnonzero((w.counts > 0) & (w.counts < depth))
+    first, n = w.first[short], w.counts[short]
+    h = np.zeros(len(short), U)
+    for k in range(depth - 1):
+        has = n > k
+        h[has] += w.hash[first[has] + k] * _PLACE[k]
+    whole = mix(mix(h) + n.astype(U))
+    return np.concatenate([runs, whole]).view(np.int64), np.concatenate([at, first]), np.concatenate([np.full(len(at), depth), n]), w
+
+
+def counted(texts: list[str], page: np.ndarray, plain: np.ndarray, depth: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """texts: blocks; page, plain: the page of each, and whether it is outside marked zones. Returns the key of each substring of
+    `depth` tokens and of each shorter whole block, the pages with it, and the pages with it in plain blocks. Tokens of all blocks
+    are joined with a separator after each; ranks of suffixes double their depth until they tell `depth` tokens apart, and
+    neighbours of equal rank in the suffix array have the same substring."""
+    keys, at, n, w = block_runs(texts, depth)
+    if not len(keys):
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    place = np.arange(len(w.hash)) + w.of  # of a token, where each block before has a separator
+    rank = np.zeros(len(w.hash) + len(texts), np.int64)
+    rank[place] = np.unique(w.hash, return_inverse=True)[1] + 1
+    room = np.zeros(len(rank), np.int64)
+    room[place] = w.first[w.of + 1] - np.arange(len(w.hash))
+    first, width = rank, 1
     while width < depth:
         step = min(width, depth - width)
         # past a block's end only the separator counts, so that suffixes of blocks compare alike everywhere
-        ahead = np.where(room >= width, np.concatenate([rank[step:], np.zeros(step, np.int64)]), 0) if step < len(rank) else np.zeros(len(rank), np.int64)
-        pair = rank * (int(ahead.max()) + 1) + ahead
-        _, rank = np.unique(pair, return_inverse=True)
-        rank = rank + 1
+        ahead = np.where(room >= width, np.concatenate([rank[step:], np.zeros(min(step, len(rank)), np.int64)])[: len(rank)], 0)
+        rank = np.unique(rank * (int(ahead.max()) + 1) + ahead, return_inverse=True)[1] + 1
         rank[first == 0] = 0
         width += step
-    starts = np.concatenate([[True], first[:-1] == 0])
-    use = (room >= depth) | (starts & (room > 0))
-    suffixes = np.flatnonzero(use)
-    suffixes = suffixes[np.argsort(rank[suffixes], kind="stable")]
-    whole = room[suffixes] < depth
-    told: dict[int, int] = {}
-    if not len(suffixes):
-        return told
-    groups = np.flatnonzero(np.concatenate([[True], (np.diff(rank[suffixes]) != 0) | (np.diff(whole) != 0)]))
-    for a, b in zip(groups, np.append(groups[1:], len(suffixes)), strict=True):
-        s = suffixes[a]
-        key = run_key([words[first[j] - 1] for j in range(s, s + min(depth, room[s]))], bool(whole[a]))
-        told[key] = told.get(key, 0) + len(np.unique(page_of[suffixes[a:b]]))
-    return told
-
-
-def run_key(tokens: list[str], whole: bool) -> int:
-    """A substring's name in all tasks: 64 bits of a hash."""
-    h = xxhash.xxh3_64_intdigest(("\x02" if whole else "\x03") + " ".join(tokens))
-    return h - (1 << 64) if h >> 63 else h
+    own, whole, of = rank[place[at]], n < depth, w.of[at]
+    order = np.lexsort((whole, own))
+    new = np.concatenate([[True], (np.diff(own[order]) != 0) | (np.diff(whole[order]) != 0)])
+    group, pages = np.cumsum(new) - 1, int(page.max()) + 1
+    met = group * pages + page[of[order]]
+    count = lambda x: np.bincount(np.unique(x) // pages, minlength=int(group[-1]) + 1)
+    return keys[order][new], count(met), count(met[plain[of[order]]])
+
+
+def repeated(streams: list[list[list[str]]], depth: int = RUN) -> dict[int, int]:
+    """streams: for each page its blocks' tokens. Key of each substring -> pages with it."""
+    texts = [" ".join(b) for one in streams for b in one]
+    page = np.repeat(np.arange(len(streams)), [len(one) for one in streams])
+    keys, pages, _ = counted(texts, page, np.ones(len(texts), bool), depth)
+    return dict(zip(keys.tolist(), pages.tolist(), strict=True))
 
 
 def keys_of(tokens: list[str], depth: int = RUN) -> list[tuple[int, int, int]]:
     """(key, from, to) of a block's substrings, as repeated() names them."""
-    if len(tokens) < depth:
-        return [(run_key(tokens, True), 0, len(tokens))] if tokens else []
-    return [(run_key(tokens[i : i + depth], False), i, i + depth) for i in range(len(tokens) - depth + 1)]
+    keys, at, n, _ = block_runs([" ".join(tokens)], depth)
+    return list(zip(keys.tolist(), at.tolist(), (at + n).tolist(), strict=True))
+
+
+def unique_runs(found: list[tuple[int, str]], common: np.ndarray, in_articles: np.ndarray) -> tuple[list[str], int]:
+    """A page's blocks without the tokens that substrings cover, and the number of those: substrings of common in open blocks,
+    those of in_articles in article blocks. Blocks of which nothing is left go."""
+    keys, at, n, w = block_runs([t for _, t in found])
+    article = np.array([z == ARTICLE for z, _ in found], bool)[w.of[at]]
+    hit = np.where(article, np.isin(keys, in_articles), np.isin(keys, common))
+    cover = np.zeros(len(w.hash) + 1, np.int64)
+    np.add.at(cover, at[hit], 1)
+    np.add.at(cover, (at + n)[hit], -1)
+    gone = np.cumsum(cover[:-1]) > 0
+    left = [" ".join(t for t, g in zip(t.split(" "), gone[a:b], strict=True) if not g) for (_, t), a, b in zip(found, w.first[:-1], w.first[1:], strict=True)]
+    return [t for t in left if t], int(gone.sum())
 
 
-def unique_runs(tokens: list[str], common: set[int]) -> str:
-    """The block without the tokens that common substrings cover."""
-    gone = np.zeros(len(tokens), bool)
-    for key, a, b in keys_of(tokens):
-        if key in common:
-            gone[a:b] = True
-    return " ".join(t for t, g in zip(tokens, gone, strict=True) if not g)
+def packed(found: list[tuple[int, str]]) -> bytes:
+    return zlib.compress("\n".join(f"{z}{t}" for z, t in found).encode(), 1)  # blocks have no line ends
+
+
+def unpacked(data: bytes) -> list[tuple[int, str]]:
+    return [(int(x[0]), x[1:]) for x in zlib.decompress(data).decode().split("\n")]
 
 
 _HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)"
 
 
-def host_boilerplate(pages: DataFrame, host: str, key: str, html_col: str) -> DataFrame:
-    """(host, run, pages): substrings outside articles that PAGES or more distinct pages of the host have. host: its column,
-    not null; key: a digest of the page's HTML."""
+def host_boilerplate(pages: DataFrame, host: str, html_col: str) -> DataFrame:
+    """(host, run, in_articles): substrings that PAGES or more distinct pages of the host have, and whether so many have them
+    outside marked zones. host: its column, not null."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for batch in batches:
-            outside = [[t for z, t in blocks(x.as_py()) if z != ARTICLE] for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(outside, pa.list_(pa.string()))], names=["host", "key", "outside"]).filter(pa.array([bool(o) for o in outside], pa.bool_()))
+            out = []
+            for name, parts, x in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                found = blocks(x)
+                own = [f"{z}{t}" for z, t in found if z != MARKED]
+                key = xxhash.xxh3_64_intdigest("\n".join(own) if own else "\n" + x)
+                if found and (name, key) not in seen:
+                    seen.add((name, key))
+                    out.append((name, parts, key % parts, key - (1 << 63), packed(found)))
+            columns = [*zip(*out, strict=True)] if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["host", "parts", "part", "key", "blocks"])
 
     def suffix_array(table: pa.Table) -> pa.Table:
-        found = repeated([[b.split(" ") for b in one] for one in table.column("outside").to_pylist()])
-        return pa.table({"host": pa.array([table.column("host")[0].as_py()] * len(found), pa.string()), "run": pa.array(list(found), pa.int64()), "pages": pa.array(list(found.values()), pa.int64())})
-
-    distinct = written(pages.select(F.col(host).alias("host"), F.col(key).alias("key"), F.col(html_col).alias("html")).mapInArrow(read, "host string, key bigint, outside array<string>"), "html-outside")
-    sizes = written(distinct.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts")), "html-hosts")
-    dealt = distinct.join(sizes, "host").withColumn("part", F.pmod("key", F.col("parts"))).dropDuplicates(["host", "part", "key"])
-    counts = dealt.groupBy("host", "part").applyInArrow(suffix_array, "host string, run bigint, pages bigint")
-    return counts.groupBy("host", "run").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= PAGES)
+        texts, page, plain = [], [], []
+        copies = dict(zip(table.column("key").to_pylist(), table.column("blocks").to_pylist(), strict=True))
+        for i, data in enumerate(copies.values()):
+            for z, t in unpacked(data):
+                texts.append(t)
+                page.append(i)
+                plain.append(z != MARKED)
+        run, n, m = counted(texts, np.array(page), np.array(plain))
+        use = n >= (PAGES if table.column("parts")[0].as_py() == 1 else 1)
+        return pa.table({"host": pa.array([table.column("host")[0].as_py()] * int(use.sum()), pa.string()), "run": run[use], "n": n[use].astype(np.int64), "m": m[use].astype(np.int64)})
+
+    sizes = written(pages.groupBy(F.col(host).alias("host")).agg(F.ceil(F.greatest(F.count(F.lit(1)) / PART, F.sum(F.length(html_col)) / PART_CHARS)).alias("parts")), "html-hosts")
+    dealt = pages.select(F.col(host).alias("host"), F.col(html_col).alias("html")).join(sizes, "host").select("host", "parts", "html")
+    dealt = dealt.mapInArrow(read, "host string, parts bigint, part bigint, key bigint, blocks binary")
+    counts = dealt.groupBy("host", "part").applyInArrow(suffix_array, "host string, run bigint, n bigint, m bigint")
+    return counts.groupBy("host", "run").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).where(F.col("n") >= PAGES).select("host", "run", (F.col("m") >= PAGES).alias("in_articles"))
+
+
+def bit_map(runs: DataFrame) -> np.ndarray:
+    """A byte for each eight of BITS bits, set where a run has its place."""
+    slot = F.pmod("run", F.lit(BITS))
+    set_ = runs.groupBy(F.shiftright(slot, 3).cast("int").alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1, cast(pmod(run, {BITS}L) & 7 as int))")).alias("bits")).toArrow()
+    out = np.zeros(BITS // 8, np.uint8)
+    out[set_.column("at").to_numpy()] = set_.column("bits").to_numpy()
+    return out
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """A row for each row of pages: page_id, url, text (blocks joined by a line end; empty if none), n_removed (tokens of open
-    blocks taken out as boilerplate of the host).
+    """A row for each row of pages: page_id, url, text (blocks joined by a line end; empty if none), n_removed (tokens of
+    article and open blocks taken out as boilerplate of the host).
 
     Null HTML counts as empty; pages with a null URL, or one without a host, are of one host of their own; repeats and nulls
     of page_id stay as they are; an empty table gives an empty result.
     """
-    page = text_of(html_col)
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.lower(F.regexp_extract(text_of(url_col), _HOST, 1)).alias("host"), F.xxhash64(page).alias("key"), page.alias("html"))
-    common = written(host_boilerplate(rows, "host", "key", "html"), "html-common")
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.lower(F.regexp_extract(text_of(url_col), _HOST, 1)).alias("host"), text_of(html_col).alias("html"))
+    common = written(host_boilerplate(rows, "host", "html"), "html-common")
+    bits = bit_map(common)
     kinds = ", ".join(f"{c} {pages.schema[s].dataType.simpleString()}" for c, s in (("page_id", id_col), ("url", url_col)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, open_ = [], []
-            for x in batch.column(3):
-                found = blocks(x.as_py())
-                article = [t for z, t in found if z == ARTICLE]
-                texts.append("\n".join(article))
-                open_.append(None if article else [t for z, t in found if z == OPEN] or None)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.string()), pa.array(open_, pa.list_(pa.string()))], names=["page_id", "url", "host", "text", "open"])
+            texts, rest, runs = [], [], []
+            for x in batch.column(3).to_pylist():
+                found = [(z, t) for z, t in blocks(x) if z != MARKED]
+                keys = block_runs([t for _, t in found])[0]
+                slot = keys % BITS
+                met = np.unique(keys[bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 > 0])
+                texts.append(None if len(met) else "\n".join(t for _, t in found))
+                rest.append(packed(found) if len(met) else None)
+                runs.append(met)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.string()), pa.array(rest, pa.binary()), pa.array(runs, pa.list_(pa.int64()))], names=["page_id", "url", "host", "text", "blocks", "runs"])
 
     def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, n = [], []
-            for blocks_, runs in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                runs = set(runs or ())
-                kept = [unique_runs(b.split(" "), runs) for b in blocks_]
-                texts.append("\n".join(k for k in kept if k))
-                n.append(sum(len(b.split(" ")) for b in blocks_) - sum(len(k.split()) for k in kept))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(n, pa.int64())], names=["page_id", "url", "text", "n_removed"])
-
-    def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for host, place, one in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                own = sorted({k for b in one for k, _, _ in keys_of(b.split(" "))})
-                yield pa.RecordBatch.from_arrays([pa.array([host] * len(own), pa.string()), pa.array([place] * len(own), pa.int64()), pa.array(own, pa.int64())], names=["host", "place", "run"])
-
-    texts = rows.select("page_id", "url", "host", "html").mapInArrow(read, f"{kinds}, host string, text string, open array<string>")
-    done = texts.where("open IS NULL").select("page_id", "url", "text", F.lit(0).cast("long").alias("n_removed"))
-    # pages without an article: their own substrings meet the host's table, and the page takes away what is in it
-    rest = written(texts.where("open IS NOT NULL").select("page_id", "url", "host", "open", F.monotonically_increasing_id().alias("place")), "html-open")
+            out = [unique_runs(unpacked(data), *(np.array(r or (), np.int64) for r in runs)) for data, *runs in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(["\n".join(t) for t, _ in out], pa.string()), pa.array([n for _, n in out], pa.int64())], names=["page_id", "url", "text", "n_removed"])
+
+    texts = rows.select("page_id", "url", "host", "html").mapInArrow(read, f"{kinds}, host string, text string, blocks binary, runs array<bigint>")
+    done = texts.where("blocks IS NULL").select("page_id", "url", "text", F.lit(0).cast("long").alias("n_removed"))
+    # pages with a bit of the map: their own substrings meet the host's table, and the page takes away what is in it
+    rest = written(texts.where("blocks IS NOT NULL").select("page_id", "url", "host", "blocks", "runs", F.monotonically_increasing_id().alias("place")), "html-open")
     if rest.isEmpty():
         return done
-    own = rest.select("host", "place", "open").mapInArrow(runs_of, "host string, place bigint, run bigint")
-    hits = own.join(common.select("host", "run"), ["host", "run"]).groupBy("place").agg(F.collect_list("run").alias("runs"))
-    cleaned = rest.join(hits, "place", "left").select("page_id", "url", "open", "runs").mapInArrow(without, f"{kinds}, text string, n_removed bigint")
+    own = rest.select("host", "place", F.explode("runs").alias("run"))
+    hits = own.join(common, ["host", "run"]).groupBy("place").agg(F.collect_list("run").alias("common"), F.collect_list(F.when(F.col("in_articles"), F.col("run"))).alias("in_articles"))
+    cleaned = rest.select("place", "page_id", "url", "blocks").join(hits, "place", "left").select("page_id", "url", "blocks", "common", "in_articles").mapInArrow(without, f"{kinds}, text string, n_removed bigint")
     return done.unionByName(cleaned)
 
 
