@@ -141,6 +141,20 @@ def test_walk_finds_the_edges():
     assert words[a:b] == quote and score == 1.0
 
 
+def test_an_altered_copy_beside_a_verbatim_one_is_found(spark):
+    from textloom.operators import detect
+
+    passage = "the quick river ran below seven old bridges while nine tired fishermen sang of winter storms and empty nets"
+    altered = passage.replace("seven old", "many new").replace("winter", "summer")
+    between = " ".join(f"prose{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, f"{passage} {between} {altered}"), (2, f"{between} {passage}")], "doc_id long, text string")
+    others = [(k, " ".join(f"other{k}x{i}" for i in range(20)), 0) for k in range(8, 40)]
+    rend = spark.createDataFrame([(7, passage, 0), *others], "item_id long, text string, edition int")
+    found = sorted((r["doc_id"], r["start"], r["end"], r["state"]) for r in detect.check(docs, rend).collect())
+    assert found == [(1, 0, 19, "MATCH"), (1, 59, 78, "NEAR"), (2, 40, 59, "MATCH")]
+    assert {r["doc_id"]: r["verdict"] for r in detect.control(docs, rend).collect()} == {1: "REFER", 2: "CLEAR"}
+
+
 def test_freeze_and_thaw():
     from textloom.operators.rewrite import mask, split_long, unmask
 

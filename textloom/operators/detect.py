@@ -17,8 +17,9 @@ from ..functions import similarity as sm
 from ..functions import text as tx
 from . import passages as ps
 
-#: Least score of a seed and of a span, of a span of few words, and which spans have few; most steps of the walk.
-SEED, SPAN, SHORT, LEAST_WORDS, FEW_WORDS, STEPS = 0.42, 0.55, 0.75, 6, 12, 400
+#: Least score of a seed and of a span, of a span of few words, and which spans have few; most steps of the walk,
+#: and words between a span and a fragment of it.
+SEED, SPAN, SHORT, LEAST_WORDS, FEW_WORDS, STEPS, SAME_GAP = 0.42, 0.55, 0.75, 6, 12, 400, 5
 MOVES = tuple((a * n, b * n) for n in (1, 2) for a, b in ((-1, 0), (1, 0), (0, -1), (0, 1)))
 
 
@@ -45,12 +46,13 @@ def walk(words: list[str], start: int, end: int, approved: str) -> tuple[int, in
 
 
 def seeds(docs: DataFrame, rend: DataFrame) -> DataFrame:
-    """(doc_id, item_id, start, end): stretches as long as the passage around each shared run, and windows that weighted words
+    """(doc_id, item_id, start, end): stretches as long as the passage around each maximal run of SMALL_RUN words or more
+    that a pair shares, and windows that weighted words
     point to."""
     first = rend.where("edition = 0")
     pairs = ps.word_pairs(docs, first.select("item_id", "text"))
-    at = ps.longest_run(pairs).join(pairs, ["doc_id", "item_id"])
-    begin = F.greatest(F.lit(0), F.col("doc_start") - F.col("passage_start"))
+    at = ps.common_runs(pairs).where(F.col("run") >= ps.SMALL_RUN).join(pairs, ["doc_id", "item_id"])
+    begin = F.greatest(F.lit(0), F.col("i") - F.col("j"))
     by_run = at.select("doc_id", "item_id", begin.cast("long").alias("start"), F.least(begin + F.size("pw"), F.size("dw")).cast("long").alias("end"))
     size = 36
     words = ps.lexical_top(ps.sliding_windows(docs, size, size // 3), ps.postings(rend), k=1)
@@ -82,20 +84,19 @@ def spans(docs: DataFrame, rend: DataFrame) -> DataFrame:
     found = rows.mapInPandas(refine, "doc_id bigint, item_id bigint, start bigint, end bigint, score double")
     n = F.col("end") - F.col("start")
     gate = (F.col("score") >= SPAN) & (n >= LEAST_WORDS) & ((n >= FEW_WORDS) | (F.col("score") >= SHORT))
-    return ps.resolve_overlaps(found.where(gate).distinct())
+    return ps.resolve_overlaps(found.where(gate).distinct(), SAME_GAP)
 
 
 def check(docs: DataFrame, rend: DataFrame) -> DataFrame:
     """(doc_id, item_id, start, end, edition, score, state, n_compared, runners_up): each quotation found, compared with all
     renderings. MATCH stands only if a rendering has exactly these words; else it is NEAR."""
-    found = spans(docs, rend)
+    keys = ("doc_id", "item_id", "start", "end")
     cut = F.array_join(F.slice("w", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int")), " ")
-    quotes = found.join(ps.words_of(docs, "doc_id"), "doc_id").groupBy("doc_id", "item_id").agg(F.max_by(F.struct("start", "end", cut.alias("quote")), "score").alias("q"))
-    quotes = quotes.select("doc_id", "item_id", "q.start", "q.end", "q.quote")
-    told = ps.attributed(ps.ranked_editions(quotes, rend, "sim"))
+    quotes = spans(docs, rend).join(ps.words_of(docs, "doc_id"), "doc_id").select(*keys, cut.alias("quote"))
+    told = ps.attributed(ps.ranked_editions(quotes, rend, "sim", keys), keys)
     words = rend.select("item_id", tx.strict_tokens(F.col("text")).alias("a"), tx.strict_tokens(F.col("text"), True).alias("b"))
-    same = quotes.join(words, "item_id").select("doc_id", "item_id", sm.verbatim(F.split("quote", " "), F.col("a"), F.col("b")).isNotNull().cast("int").alias("v")).groupBy("doc_id", "item_id").agg(F.max("v").alias("v"))
-    rows = told.join(quotes.drop("quote"), ["doc_id", "item_id"]).join(same, ["doc_id", "item_id"])
+    same = quotes.join(words, "item_id").select(*keys, sm.verbatim(F.split("quote", " "), F.col("a"), F.col("b")).isNotNull().cast("int").alias("v")).groupBy(*keys).agg(F.max("v").alias("v"))
+    rows = told.join(same, [*keys]).select("doc_id", "item_id", "edition", "score", "state", "n_compared", "runners_up", "start", "end", "v")
     return rows.withColumn("state", F.when((F.col("state") == "MATCH") & (F.col("v") == 0), "NEAR").otherwise(F.col("state"))).drop("v")
 
 

@@ -104,15 +104,20 @@ def word_pairs(docs: DataFrame, passages: DataFrame, n: int = RUN) -> DataFrame:
     return pairs.join(words_of(docs, "doc_id").withColumnRenamed("w", "dw"), "doc_id").join(words_of(passages, "item_id").withColumnRenamed("w", "pw"), "item_id")
 
 
-def longest_run(pairs: DataFrame) -> DataFrame:
-    """(doc_id, item_id, run, doc_start, passage_start): the longest run of words in common, the earliest among equals.
+def common_runs(pairs: DataFrame) -> DataFrame:
+    """(doc_id, item_id, run, i, j): every maximal run of words in common and where it starts in the document and the passage.
     Equal words lie on diagonals; consecutive ones on a diagonal are islands."""
     d = pairs.select("doc_id", "item_id", F.posexplode("dw").alias("i", "x"))
     p = pairs.select("doc_id", "item_id", F.posexplode("pw").alias("j", "x"))
     hits = d.join(p, ["doc_id", "item_id", "x"]).withColumn("diag", F.col("i") - F.col("j"))
     w = Window.partitionBy("doc_id", "item_id", "diag").orderBy("i")
-    islands = hits.withColumn("isl", F.col("i") - F.row_number().over(w)).groupBy("doc_id", "item_id", "diag", "isl").agg(F.count(F.lit(1)).alias("run"), F.min("i").alias("i"), F.min("j").alias("j"))
-    best = islands.groupBy("doc_id", "item_id").agg(F.max(F.struct("run", (-F.col("i")).alias("i"), (-F.col("j")).alias("j"))).alias("b"))
+    islands = hits.withColumn("isl", F.col("i") - F.row_number().over(w)).groupBy("doc_id", "item_id", "diag", "isl")
+    return islands.agg(F.count(F.lit(1)).alias("run"), F.min("i").alias("i"), F.min("j").alias("j")).select("doc_id", "item_id", "run", "i", "j")
+
+
+def longest_run(pairs: DataFrame) -> DataFrame:
+    """(doc_id, item_id, run, doc_start, passage_start): the longest run of words in common, the earliest among equals."""
+    best = common_runs(pairs).groupBy("doc_id", "item_id").agg(F.max(F.struct("run", (-F.col("i")).alias("i"), (-F.col("j")).alias("j"))).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.run").alias("run"), (-F.col("b.i")).cast("long").alias("doc_start"), (-F.col("b.j")).cast("long").alias("passage_start"))
 
 
@@ -171,8 +176,8 @@ def quotations(docs: DataFrame, passages: DataFrame) -> DataFrame:
     return pairs.join(at, ["doc_id", "item_id"]).select("doc_id", "item_id", F.array_join(cut, " ").alias("quote"))
 
 
-def ranked_editions(quotes: DataFrame, rend: DataFrame, score: str = "jaccard") -> DataFrame:
-    """(doc_id, item_id, edition, score, place) of each rendering of a quotation's passage, best first, then by edition.
+def ranked_editions(quotes: DataFrame, rend: DataFrame, score: str = "jaccard", keys: tuple[str, ...] = ("doc_id", "item_id")) -> DataFrame:
+    """(keys, edition, score, place) of each rendering of a quotation's passage, best first, then by edition.
     score: `jaccard`, all columns; or `sim`, the Arrow kernel, after a bound on lengths."""
     r = rend.select("item_id", "edition", tx.normalize(F.col("text")).alias("approved"))
     both = quotes.join(r, "item_id")
@@ -180,17 +185,17 @@ def ranked_editions(quotes: DataFrame, rend: DataFrame, score: str = "jaccard")
     jac = sm.jaccard(F.array_distinct(a), F.array_distinct(b))
     value = jac if score == "jaccard" else sm.sim(F.col("quote"), F.col("approved"))
     both = both.withColumn("score", F.round(value, 6))
-    place = F.row_number().over(Window.partitionBy("doc_id", "item_id").orderBy(F.desc("score"), "edition"))
-    return both.withColumn("place", place.cast("long")).select("doc_id", "item_id", "edition", "score", "place")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "edition"))
+    return both.withColumn("place", place.cast("long")).select(*keys, "edition", "score", "place")
 
 
-def attributed(ranked: DataFrame) -> DataFrame:
+def attributed(ranked: DataFrame, keys: tuple[str, ...] = ("doc_id", "item_id")) -> DataFrame:
     """One row a quotation: the best edition (none if the state is UNATTRIBUTED), the state, and the next three."""
     later = F.sort_array(F.collect_list(F.when(F.col("place").between(2, 4), F.struct("place", "edition", "score"))))
-    found = ranked.groupBy("doc_id", "item_id").agg(F.max_by("edition", -F.col("place")).alias("edition"), F.max_by("score", -F.col("place")).alias("score"), F.count(F.lit(1)).alias("n_compared"), later.alias("later"))
+    found = ranked.groupBy(*keys).agg(F.max_by("edition", -F.col("place")).alias("edition"), F.max_by("score", -F.col("place")).alias("score"), F.count(F.lit(1)).alias("n_compared"), later.alias("later"))
     state = sm.state(F.col("score"))
     runners = F.array_join(F.transform("later", lambda r: r["edition"].cast("string")), ",")
-    return found.select("doc_id", "item_id", F.when(state != "UNATTRIBUTED", F.col("edition")).alias("edition"), "score", state.alias("state"), "n_compared", runners.alias("runners_up"))
+    return found.select(*keys, F.when(state != "UNATTRIBUTED", F.col("edition")).alias("edition"), "score", state.alias("state"), "n_compared", runners.alias("runners_up"))
 
 
 def verdicts(docs: DataFrame, findings: DataFrame) -> DataFrame:
@@ -214,17 +219,18 @@ def merged_intervals(rows: DataFrame, keys: list[str], gap: int = 0) -> DataFram
     return isl.groupBy(*keys, "_isl").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n")).drop("_isl")
 
 
-def resolve_overlaps(spans: DataFrame) -> DataFrame:
+def resolve_overlaps(spans: DataFrame, gap: int = -1) -> DataFrame:
     """Of a document's spans (doc_id, item_id, start, end, score) the best by score, then length, then start, then item, and
-    each next that overlaps none taken before: greedy, so each document is one Arrow group, as large as its spans."""
+    each next that overlaps none taken before: greedy, so each document is one Arrow group, as large as its spans. A span that starts or ends within `gap` words of a taken
+    one of its passage is a fragment of it and goes; further off it is a quotation of its own."""
     import pandas as pd
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.assign(_l=rows["start"] - rows["end"]).sort_values(["score", "_l", "start", "item_id"], ascending=[False, True, True, True])
         taken, kept = [], []
-        for i, (a, b) in enumerate(zip(rows["start"], rows["end"], strict=True)):
-            if all(b <= x or a >= y for x, y in taken):
-                taken.append((a, b))
+        for i, (a, b, item) in enumerate(zip(rows["start"], rows["end"], rows["item_id"], strict=True)):
+            if all((b <= x or a >= y) and not (item == other and min(abs(a - y), abs(x - b)) <= gap) for x, y, other in taken):
+                taken.append((a, b, item))
                 kept.append(i)
         return rows.iloc[kept].drop(columns="_l")
 
