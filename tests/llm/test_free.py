@@ -77,6 +77,18 @@ def test_near_odd_and_empty(spark, odd, empty):
     assert minhash.keep_one(odd).columns == odd.columns
 
 
+def test_keep_one_takes_a_threshold(spark):
+    """A Jaccard similarity between 0.80 and 0.85 is near at 80 per cent, and not for op4_minhash."""
+    words = [f"w{i}" for i in range(104)]
+    rows = [(1, " ".join(words), None), (2, " ".join([*words[:94], *(f"v{i}" for i in range(10))]), None), (3, " ".join(f"u{i}" for i in range(50)), None)]
+    same = len(shingles(rows[0][1]) & shingles(rows[1][1])) / len(shingles(rows[0][1]) | shingles(rows[1][1]))
+    assert 0.80 <= same < 0.85
+    docs = frame(spark, rows)
+    assert sorted(r["doc_id"] for r in minhash.keep_one(docs, percent=80).collect()) == [1, 3]
+    assert sorted(r["doc_id"] for r in minhash.keep_one(docs).collect()) == [1, 2, 3]
+    assert minhash.bands_for(85) == minhash.BANDS and (1 - 0.8**minhash.ROWS) ** minhash.bands_for(80) <= 1e-6
+
+
 def test_sketch_tells_similarity():
     import numpy as np
 

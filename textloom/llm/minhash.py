@@ -21,7 +21,7 @@ Tables between the steps are written in the shared folder. Nothing but counts re
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import exp, sqrt
+from math import ceil, exp, log, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +39,25 @@ _rng = np.random.Generator(np.random.PCG64(86028121))
 _A = _rng.integers(1, 1 << 64, _K, dtype=U) | U(1)
 _B = _rng.integers(1, 1 << 64, _K, dtype=U)
 _IN_BAND = _rng.integers(1, 1 << 64, (BANDS, ROWS), dtype=U) | U(1)
+#: Most chance that two texts at the threshold meet in no band.
+MISS = 1e-6
 #: A neighbourhood up to these sizes is the work of one task (8 bytes a shingle); beyond, buckets get so many hubs in each
 #: round after the first.
 GROUP_NODES, GROUP_SHINGLES, HUBS = 4000, 4_000_000, 64
 
 
+def bands_for(percent: int) -> int:
+    """Bands, BANDS at least, with which texts at the threshold meet in none with a chance of MISS at most."""
+    return max(BANDS, ceil(log(MISS) / log(1 - min(percent / 100, 0.99) ** ROWS)))
+
+
+def _values(bands: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """_A, _B and _IN_BAND, with more of each for bands beyond BANDS."""
+    more = np.random.Generator(np.random.PCG64(86028157)).integers(1, 1 << 64, (bands - BANDS, 3, ROWS), dtype=U)
+    a, b = (np.concatenate([x, more[:, i].ravel()]) for i, x in enumerate((_A, _B)))
+    return a | U(1), b, np.concatenate([_IN_BAND, more[:, 2] | U(1)])
+
+
 def widest_xor(percent: int = PERCENT, samples: int = _K, bits: int = SKETCH_BITS) -> int:
     """Set bits of two sketches' XOR above which a pair is dismissed: what a similarity six standard deviations of the
     sample below the threshold gives."""
@@ -71,7 +85,9 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
 _SIGNED = "doc_id {id}, fp binary, n bigint, digest binary, bands array<bigint>, sketch array<bigint>"
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS) -> DataFrame:
+    n_bands, samples, (first_of, second_of, in_band) = bands, bands * ROWS, _values(bands)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, bounds in text_batches(batch.column(2)):
@@ -83,13 +99,13 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     own = np.unique(hashes[first[t] : first[t + 1]])
                     n[t] = len(own)
                     digest[t] = np.array([mix(own).sum(dtype=U), mix(own ^ _A[0]).sum(dtype=U)], U).tobytes()
-                least, held = np.empty((len(full), _K), U), np.empty(len(hashes), U)
-                for k in range(_K if len(full) else 0):
-                    np.multiply(hashes, _A[k], out=held)
-                    np.add(held, _B[k], out=held)
+                least, held = np.empty((len(full), samples), U), np.empty(len(hashes), U)
+                for k in range(samples if len(full) else 0):
+                    np.multiply(hashes, first_of[k], out=held)
+                    np.add(held, second_of[k], out=held)
                     least[:, k] = np.minimum.reduceat(held, first[full])
-                bands = mix((least.reshape(len(full), BANDS, ROWS) * _IN_BAND).sum(axis=2, dtype=U) + np.arange(BANDS, dtype=U))
-                bit = (mix(least ^ _B) % U(SKETCH_BITS)).astype(np.int64) + np.arange(len(full))[:, None] * SKETCH_BITS
+                bands = mix((least.reshape(len(full), n_bands, ROWS) * in_band).sum(axis=2, dtype=U) + np.arange(n_bands, dtype=U))
+                bit = (mix(least[:, :_K] ^ _B) % U(SKETCH_BITS)).astype(np.int64) + np.arange(len(full))[:, None] * SKETCH_BITS
                 odd = (np.bincount(bit.ravel(), minlength=len(full) * SKETCH_BITS) & 1).astype(np.uint8)
                 sketch = np.packbits(odd).view(np.int64).reshape(len(full), SKETCH_BITS // 64)
                 made = np.zeros(size + 1, np.int64)
@@ -312,7 +328,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the smallest identifier of the component, nulls left out; kept tells whether the row has it. Rows that repeat an
     identifier are rows of their own, and all with the smallest one are kept. An empty table gives an empty result.
     """
-    signed = written(signatures(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "near-signed")
+    signed = written(signatures(docs, id_col, text_col, bands_for(percent)).withColumn("row", F.monotonically_increasing_id()), "near-signed")
     classes = written(signed.where("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("low")), "near-classes")
     nodes = written(classes.select("node").join(signed, F.col("node") == F.col("row")).select("node", "fp", "n", "bands", "sketch"), "near-nodes")
     labels = near_components(docs, nodes, text_col, percent, most_nodes)
@@ -327,9 +343,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.select("doc_id", "fp", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows of docs that stay, one for each component, with all their columns."""
-    gone = written(near_dedup(docs, id_col, text_col), "near-found").where("not kept").select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")).distinct()
+    gone = written(near_dedup(docs, id_col, text_col, percent), "near-found").where("not kept").select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")).distinct()
     marked = docs.select("*", F.unhex(F.sha2(text_of(text_col), 256)).alias("_fp2"))
     return marked.join(gone, (F.col("_fp2") == F.col("_fp")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_anti").select(*docs.columns)
 
