@@ -57,6 +57,13 @@ def test_license_odd_and_empty(spark, odd, empty):
     assert license_scan.license_scan(empty).count() == 0
 
 
+def test_a_line_with_several_licenses_reports_all(spark):
+    bsd, mpl = (license_scan.TEMPLATES[k] for k in ("bsd", "mpl"))
+    rows = [(1, f"{bsd} or {mpl} all rights reserved", None), (2, license_scan.TEMPLATES["cc-by-nc"], None)]
+    got = {r["doc_id"]: {m["label"] for m in r["matches"]} for r in license_scan.license_scan(frame(spark, rows)).collect()}
+    assert got == {1: {"bsd", "mpl", "all-rights-reserved"}, 2: {"cc-by-nc"}}
+
+
 def test_license_join_is_exact(spark, small):
     """All pairs of blocks and templates at the threshold, by brute force."""
     import random

@@ -55,9 +55,9 @@ def ranked(texts: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     return {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
 
 
-def license_join(blocks: DataFrame, sets: dict[str, list[str]], order: dict[str, int], threshold: float = THRESHOLD) -> DataFrame:
+def license_join(blocks: DataFrame, sets: dict[str, list[str]], order: dict[str, int], threshold: float = THRESHOLD, carry: tuple[str, ...] = ()) -> DataFrame:
     """blocks: (key, block), lower case. Returns (key, block, label, n, containment): all pairs with containment of the
-    template's words in the block at or above the threshold."""
+    template's words in the block at or above the threshold. carry: `same`, for the words in common."""
     spark = blocks.sparkSession
     index, prefix = [], set()
     for label, words in sets.items():
@@ -75,8 +75,9 @@ def license_join(blocks: DataFrame, sets: dict[str, list[str]], order: dict[str,
     told = told.groupBy("key", "block").agg(F.array_sort(F.collect_list(F.struct("rank", "w"))).alias("b"))
     told = told.select("key", "block", F.col("b.w").alias("b"), F.posexplode("b.w").alias("j", "w"))
     pairs = told.join(F.broadcast(templates), "w").where((F.size("b") >= F.col("need")) & (1 + F.least(F.col("n") - F.col("at") - 1, F.size("b") - F.col("j") - 1) >= F.col("need")))
-    common = F.size(F.array_intersect("b", "words"))
-    return pairs.dropDuplicates(["key", "block", "label"]).where(common >= F.col("need")).select("key", "block", "label", "n", (common / F.col("n")).alias("containment"))
+    pairs = pairs.withColumn("same", F.array_intersect("b", "words"))
+    common = F.size("same")
+    return pairs.dropDuplicates(["key", "block", "label"]).where(common >= F.col("need")).select("key", "block", "label", "n", (common / F.col("n")).alias("containment"), *carry)
 
 
 def _at(words: Column, phrase: tuple[str, ...]) -> Column:
@@ -94,10 +95,10 @@ def _all(tests: list[Column]) -> Column:
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """A row for each row of docs: doc_id, n_words, starts: map of phrase label to array of word places, matches: array of
-    (label, containment) of the best template of each matching block, score.
+    (label, containment) of the templates of each matching block, score.
 
-    Blocks are the lines of a text. A block's best template is that of the highest containment, then with the most words,
-    then the last by name. score: 1 with a phrase, else the highest containment reported, else 0. A null text counts
+    Blocks are the lines of a text. Of a block's templates one goes if its words in the block are all among those of a better
+    one: of higher containment, then with more words, then later by name. score: 1 with a phrase, else the highest containment reported, else 0. A null text counts
     as empty: no words, nothing found. Repeats and nulls of doc_id stay as they are; an empty table gives an empty result.
     """
     sets = template_sets(TEMPLATES if templates is None else templates)
@@ -113,8 +114,11 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = rows.select("doc_id", "n_words", starts.alias("starts"), "key")
     if sets:
         blocks = texts.select(F.sha2("t", 256).alias("key"), F.explode(F.split("t", "\n")).alias("block"))
-        found = license_join(blocks, sets, order, threshold)
-        best = found.groupBy("key", "block").agg(F.max(F.struct("containment", "n", "label")).alias("m"))
+        found = license_join(blocks, sets, order, threshold, carry=("same",))
+        rank = lambda x: F.struct(x["containment"], x["n"], x["label"])
+        within = lambda x, y: (rank(y) > rank(x)) & (F.size(F.array_except(x["same"], y["same"])) == 0)
+        all_ = found.groupBy("key", "block").agg(F.collect_list(F.struct("containment", "n", "label", "same")).alias("ms"))
+        best = all_.select("key", F.explode(F.filter("ms", lambda x: ~F.exists("ms", lambda y: within(x, y)))).alias("m"))
         hits = written(best.groupBy("key").agg(F.array_sort(F.collect_set(F.struct(F.col("m.label").alias("label"), F.col("m.containment").alias("containment")))).alias("matches")), "license-hits")
         rows = rows.join(hits, "key", "left")  # one row a text on the right; AQE splits a hot text's partition
     else:
