@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
+import shutil
 import tempfile
 import uuid
 
@@ -14,16 +16,24 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
 
 _own: dict[str, str] = {}
+#: Bytes of an Arrow batch, about: rows of long texts come in small batches.
+ARROW_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor and the driver see: spark.checkpoint.dir, or where it is unset (tests) one of our own."""
+    """The folder every executor and the driver see, as spark.checkpoint.dir names it. In local mode, where all are one process,
+    a folder of our own where it is unset; it goes when the process ends."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="textloom-")
+        folder = tempfile.mkdtemp(prefix="textloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _own[app] = "file://" + folder
     return _own[app]
 
 
@@ -31,22 +41,83 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/textloom/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths of the tables written within each scratch() that is open, the innermost last.
+_open: list[list[str]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, safe against lost executors."""
     spark = df.sparkSession
     path = work_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _open:
+        _open[-1].append(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.textloom_path = path
+    return table
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Deletes the tables written within at its end, but for those given to the function it yields, which belong to the scratch()
+    around it, if there is one."""
+    own, kept = [], []
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.append(table.textloom_path)
+        return table
+
+    _open.append(own)
+    try:
+        yield keep
+    finally:
+        _open.pop()
+        for path in set(own) - set(kept):
+            remove(spark, path)
+        if _open:
+            _open[-1].extend(kept)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def drop_written(table: DataFrame) -> None:
     """Delete a table of written() that nothing reads any more; other tables are left alone."""
-    spark = table.sparkSession
-    own = f"{shared_dir(spark)}/textloom/".removeprefix("file://").replace("file:", "")
-    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-        if folder.replace("file://", "").replace("file:", "").startswith(own):
-            p = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if "textloom_path" in table.__dict__:
+        remove(table.sparkSession, table.textloom_path)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let the session hand Python at most ARROW_BYTES a batch (results do not depend on it, and a lower bound stays)."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
+
+
+def column(name: str) -> Column:
+    """The column of this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def located(docs: DataFrame, name: str) -> DataFrame:
+    """(carried: a struct of all columns of docs, loc: where the row's content is). loc is made of the Parquet file and the row's
+    place in it, so it is the same in each scan. Anything but a plain Parquet table is written first, as other plans may deal their
+    rows differently each time."""
+    plan = docs._jdf.queryExecution().analyzed()
+    plain = plan.nodeName() == "LogicalRelation" and plan.relation().getClass().getSimpleName() == "HadoopFsRelation"
+    if not plain or plan.relation().fileFormat().toString() != "Parquet":
+        docs = written(docs, name)
+    at = docs.metadataColumn("_metadata")
+    loc = F.concat_ws(":", F.hex(F.xxhash64(at.getField("file_path"))), F.hex(at.getField("row_index")))
+    return docs.select(F.struct(*map(column, docs.columns)).alias("carried"), loc.alias("loc"), at.getField("file_path").alias("file"))
+
+
+def those(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of located() whose loc is in chosen, as they were. The texts are dealt by loc and not sorted; the other side is
+    slim."""
+    return rows.select("carried", "loc").join(chosen.select("loc").hint("shuffle_hash"), "loc", "left_semi").select("carried.*")
 
 
 @contextlib.contextmanager
