@@ -1,11 +1,13 @@
 """Exact dedup by stateful streaming: keyed state on disk, without expiry, and a check of full bytes on hits.
 
 1. Content index: one slim row per document (digest of the normalised text, identifier, locator), written once. The
-   locator is the row's position in the index, so it stays put when a task is run again.
+   locator is the Parquet file and the row's place in it, so that it finds the content again, in later runs too; documents
+   that come from anything but Parquet files are written first.
 2. A Structured Streaming aggregation reads the index as it grows. Its state lives in RocksDB and keeps, for each digest,
    the winner's identifier and locator and the number of rows. Rows of a hot digest are summed in each task before the
-   shuffle. With a lasting checkpoint folder, later runs read only new index files.
-3. Hits (digests with several rows) are compared byte by byte; a digest with two texts is told apart by text.
+   shuffle. With a folder of the caller's, later calls add their documents to the index and the state of earlier ones.
+3. Hits (digests with several rows) are compared byte by byte, with contents of earlier calls fetched by their locators; a
+   digest with two texts is told apart by text.
 
 All steps are DataFrame operations. At no point do texts without a hit leave their task: only hits' texts are shuffled,
 behind a Bloom filter that Spark builds from the digests with several rows.
@@ -14,14 +16,19 @@ behind a Bloom filter that Spark builds from the digests with several rows.
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import conf, documents, lower_ascii, text_of, work_path, written
+from .common import conf, documents, located, lower_ascii, remove, scratch, text_of, those, work_path, written
 
 #: A digest with more than one part in HOT of all rows is hot.
 HOT = 1000
+#: Rows of the index for a partition of the state, about, and most partitions; their number stays that of the first call.
+STATE_ROWS, STATE_PARTITIONS = 50_000, 10_000
+#: RocksDB's memory in an executor, for all its partitions of the state.
+STATE_MB = 128
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -29,18 +36,22 @@ def sha256(c: Column) -> Column:
     return F.unhex(F.sha2(c, 256))
 
 
-def content_index(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), digest(lower_ascii(text_of(text_col))).alias("digest"), F.monotonically_increasing_id().alias("locator"))
+def content_index(rows: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
+    """rows: of located(). (id, digest, loc, file)."""
+    text = text_of(F.col(f"carried.`{text_col}`"))
+    return rows.select(F.col(f"carried.`{id_col}`").alias("id"), digest(lower_ascii(text)).alias("digest"), "loc", "file")
 
 
 def keyed_state(spark: SparkSession, index_path: str, checkpoint: str) -> DataFrame:
-    """Bring the state up to date with all files of the index; return (digest, win(id, locator), n)."""
-    schema = "id bigint, digest binary, locator bigint"
-    state = spark.readStream.schema(schema).parquet(index_path).groupBy("digest").agg(F.max(F.struct("id", "locator")).alias("win"), F.count(F.lit(1)).alias("n"))
+    """Bring the state up to date with all files of the index; return (digest, win(id, loc), n)."""
+    index = spark.read.parquet(index_path)
+    parts = min(STATE_PARTITIONS, max(1, ceil(index.count() / STATE_ROWS)))
+    state = spark.readStream.schema(index.schema).parquet(index_path).groupBy("digest").agg(F.max(F.struct("id", "loc")).alias("win"), F.count(F.lit(1)).alias("n"))
     store = "spark__sql__streaming__stateStore__"
-    # stores of few keys must not reserve megabytes each for logs, nor upload whole files for each batch
-    small = {f"{store}rocksdb__allowFAllocate": "false", f"{store}rocksdb__changelogCheckpointing__enabled": "true"}
-    with conf(spark, **{f"{store}providerClass": ROCKSDB}, **small):
+    # stores of few keys must not reserve megabytes each for logs, nor upload whole files for each batch; all of an executor's
+    # stores share one bound of memory, and those of ended queries are closed soon
+    small = {f"{store}rocksdb__allowFAllocate": "false", f"{store}rocksdb__changelogCheckpointing__enabled": "true", f"{store}rocksdb__boundedMemoryUsage": "true", f"{store}rocksdb__maxMemoryUsageMB": str(STATE_MB), f"{store}unloadOnCommit": "true"}
+    with conf(spark, **{f"{store}providerClass": ROCKSDB, "spark__sql__shuffle__partitions": str(parts)}, **small):
         run = state.writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         try:
             run.awaitTermination()
@@ -51,60 +62,89 @@ def keyed_state(spark: SparkSession, index_path: str, checkpoint: str) -> DataFr
     return kept.select(F.col("key.digest").alias("digest"), F.col(f"value.{win}").alias("win"), F.col(f"value.{n}").alias("n"))
 
 
-def differing(docs: DataFrame, groups: DataFrame, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
-    """Digests whose texts are not all equal, by comparing whole texts of hits. Each task hands on the least and the largest
-    text of a digest. Hot digests are looked up where the texts are, so their rows meet only as such pairs; for the
-    others Spark puts a Bloom filter of the digests with several rows before the shuffle."""
-    total = groups.agg(F.sum("n")).first()[0] or 0
-    hits = groups.where("n > 1")
-    hot = F.col("n") * HOT > total  # fewer than HOT digests can hold one part in HOT of all rows
-    texts = docs.select(lower_ascii(text_of(text_col)).alias("t")).select(digest(F.col("t")).alias("digest"), "t")
-    met = texts.join(F.broadcast(hits.where(hot).select("digest")), "digest", "left_semi").union(texts.join(hits.where(~hot).select("digest"), "digest", "left_semi"))
-    return met.groupBy("digest").agg(F.min("t").alias("least"), F.max("t").alias("most")).where("least <> most").select("digest")
+def _texts(rows: DataFrame, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
+    """(digest, id, loc, t) of located rows."""
+    return rows.select(lower_ascii(text_of(F.col(f"carried.`{text_col}`"))).alias("t"), "loc").select(digest(F.col("t")).alias("digest"), "loc", "t")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
+def _earlier(index: DataFrame, known: DataFrame, hits: DataFrame, text_col: str, digest: Callable[[Column], Column]) -> DataFrame | None:
+    """(digest, loc, t) of the hits' contents that earlier calls saw, found by their locators; None without any. known: the
+    index of this call."""
+    wanted = written(index.join(hits.select("digest"), "digest", "left_semi").join(known.select("loc"), "loc", "left_anti").select("loc", "file"), "dedup-wanted")
+    files = [r["file"] for r in wanted.select("file").distinct().toLocalIterator()]  # files with hits, as the driver lists files anyway
+    if not files:
+        return None
+    spark = index.sparkSession
+    return _texts(located(spark.read.parquet(*files), "dedup-earlier").join(wanted.select("loc"), "loc", "left_semi"), text_col, digest)
 
-    Texts are equal when identical after lower-casing A-Z. The row with the largest identifier stays; a null identifier
-    is below all others. Rows that repeat identifier and text are one group and just one of them is kept. A null text
-    counts as empty. An empty table gives an empty result. Other columns of docs are not read.
-    """
-    spark = docs.sparkSession
-    index_path = work_path(spark, "dedup-index")
-    content_index(docs, id_col, text_col, digest).write.parquet(index_path)
-    index = spark.read.schema("id bigint, digest binary, locator bigint").parquet(index_path)
-    groups = written(keyed_state(spark, index_path, work_path(spark, "dedup-state")), "dedup-groups")
+
+def _met(texts: DataFrame, hits: DataFrame) -> DataFrame:
+    """The rows of texts whose digest is a hit. Hot digests are looked up where the texts are; for the others Spark puts a Bloom
+    filter of the digests with several rows before the shuffle."""
+    hot = hits.where("hot").select("digest")  # fewer than HOT
+    return texts.join(F.broadcast(hot), "digest", "left_semi").union(texts.join(hits.where("not hot").select("digest"), "digest", "left_semi"))
+
+
+def _told(rows: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column], state: str | None) -> DataFrame:
+    """rows: of located(). (id, loc, win: (id, loc), n, sha) for each."""
+    spark = rows.sparkSession
+    folder = state.rstrip("/") if state else work_path(spark, "dedup-state")
+    known = written(content_index(rows, id_col, text_col, digest), "dedup-known")
+    known.write.mode("append").parquet(f"{folder}/index")
+    groups = written(keyed_state(spark, f"{folder}/index", f"{folder}/checkpoint"), "dedup-groups")
+    index = spark.read.schema(known.schema).parquet(f"{folder}/index") if state else known
+    if not state:
+        remove(spark, folder)
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    hits = groups.where("n > 1").select("digest", (F.col("n") * HOT > total).alias("hot"))
+    texts, before = _texts(rows, text_col, digest), None
+    if state:
+        hits = written(hits.join(known.select("digest").distinct(), "digest", "left_semi"), "dedup-hits")
+        before = _earlier(index, known, hits, text_col, digest)
     bloom = {"enabled": "true", "applicationSideScanSizeThreshold": "0", "creationSideThreshold": "1g"}
     with conf(spark, **{f"spark__sql__optimizer__runtime__bloomFilter__{k}": v for k, v in bloom.items()}):
-        odd = written(differing(docs, groups, text_col, digest), "dedup-odd")
-    if odd.isEmpty():
-        rows = index.join(groups, "digest")
-        sha = F.hex("digest") if digest is sha256 else None
-    if not odd.isEmpty() or sha is None:  # by text within the digests that differ; by digest elsewhere
-        rows, sha = _by_text(docs, odd, id_col, text_col, digest), F.col("sha")
-    return rows.select(F.col("id").alias("doc_id"), F.col("win.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("locator") == F.col("win.locator")).alias("kept"), F.lower(sha).alias("text_sha256"))
+        met = _met(texts, hits) if before is None else _met(texts, hits).union(before)
+        ends = met.groupBy("digest").agg(F.min("t").alias("least"), F.max("t").alias("most"))
+        odd = written(ends.where("least <> most").select("digest"), "dedup-odd")
+    sha = F.lower(F.hex("digest")) if digest is sha256 else None
+    if odd.isEmpty() and sha is not None:
+        return known.join(groups, "digest").select("id", "loc", "win", "n", sha.alias("sha"))
+    # by text within the digests that differ; by digest elsewhere
+    met = written((texts if before is None else texts.union(before)).join(odd, "digest", "left_semi"), "dedup-texts")
+    own = met.join(index.select("id", "loc"), "loc")
+    split = own.groupBy("digest", "t").agg(F.max(F.struct("id", "loc")).alias("win"), F.count(F.lit(1)).alias("n"))
+    by_text = known.select("id", "loc").join(met.join(split, ["digest", "t"]), "loc").select("id", "loc", "win", "n", F.sha2("t", 256).alias("sha"))
+    rest = known.join(odd, "digest", "left_anti").join(groups, "digest")
+    if sha is None:
+        rest = rest.join(texts.select("loc", F.sha2("t", 256).alias("sha")), "loc")
+    else:
+        rest = rest.withColumn("sha", sha)
+    return rest.select("id", "loc", "win", "n", "sha").unionByName(by_text)
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, state: str | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
+    Texts are equal when identical after lower-casing A-Z. The row with the largest identifier stays; a null identifier
+    is below all others, and identifiers are of any type that can be ordered. Rows that repeat identifier and text are one
+    group and just one of them is kept. A null text counts as empty. An empty table gives an empty result. Other columns of docs are
+    not read.
 
-def _by_text(docs: DataFrame, odd: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), lower_ascii(text_of(text_col)).alias("t"))
-    keyed = written(texts.select("id", digest(F.col("t")).alias("digest"), F.sha2("t", 256).alias("sha"), "t", F.monotonically_increasing_id().alias("locator")).join(odd.withColumn("split", F.lit(True)), "digest", "left").withColumn("t", F.when(F.col("split"), F.col("t")).otherwise("")).drop("split"), "dedup-texts")
-    groups = keyed.groupBy("digest", "t").agg(F.max(F.struct("id", "locator")).alias("win"), F.count(F.lit(1)).alias("n"))
-    return keyed.join(groups, ["digest", "t"])
+    state: a folder of the caller's, empty at first, for streams of documents: the documents of all calls with it count, and
+    each call returns rows for its own, as things stand after it. A document is given once. Its Parquet file must stay, as the
+    state holds its place there and not its text.
+    """
+    found = _told(located(docs, "dedup-content"), id_col, text_col, digest, state)
+    return found.select(F.col("id").alias("doc_id"), F.col("win.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("loc") == F.col("win.loc")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    found = written(exact_dedup(docs, id_col, text_col), "dedup-found")
-    key = [F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("_id"), F.col(id_col).isNull().alias("_none"), F.sha2(lower_ascii(text_of(text_col)), 256).alias("_sha")]
-    marked = docs.select("*", *key)
-    gone = found.where(~F.col("kept")).select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("doc_id").isNull().alias("_none"), F.col("text_sha256").alias("_sha"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("again"))
-    names, on = docs.columns, ["_id", "_none", "_sha"]
-    stay = marked.join(gone.where("not again").select(*on), on, "left_anti")
-    again = gone.where("again").select(*on).distinct()
-    if again.isEmpty():
-        return stay.select(*names)
-    return stay.join(again, on, "left_anti").select(*names).unionByName(stay.join(again, on, "left_semi").dropDuplicates(on).select(*names))
+    """The rows of docs that stay, one of each group, with all their columns under whatever names; nulls, repeats and empty tables
+    as in exact_dedup()."""
+    rows = located(docs, "dedup-content")
+    with scratch(docs.sparkSession) as keep:
+        kept = keep(written(_told(rows, id_col, text_col, sha256, None).where("loc = win.loc").select("loc"), "dedup-kept"))
+    return those(rows, kept)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
