@@ -5,15 +5,15 @@
    samples on which they differ, and its population count estimates the similarity).
 2. Texts with equal sets become one node, so copies of any number cost a row each and nothing more.
 3. Nodes that share a band key meet in a bucket; nodes that buckets join, over any number of steps, are a neighbourhood. A
-   neighbourhood of bounded size is searched in one task: from a node to all that were not reached yet, first by odd
-   sketches, then on full shingle sets.
+   neighbourhood of bounded size is searched in one task: from a node to those of its buckets that were not reached yet, first
+   by odd sketches, then on full shingle sets.
 4. A larger neighbourhood is searched by all tasks. Not all pairs of a bucket are made: a hub is chosen (the node that
    meets most others over all bands), and all others are compared with it only: odd sketches first, then full sets. Links
    are joined to components. Buckets in which nodes that were no hub yet lie in several components go into the next
    round with new hubs, until there are none; any two nodes of a bucket have then been compared or are connected.
 
-Links are thus those between nodes that meet in a band (or a neighbourhood), confirmed on full sets. At the threshold, two
-nodes meet in none of the bands with a chance below 1e-6.
+Either way, links are those between nodes that meet in a band, confirmed on full sets. At the threshold, two nodes meet in none
+of the bands with a chance below 1e-6.
 
 Tables between the steps are written in the shared folder. Nothing but counts reaches the driver.
 """
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import conf, documents, text_of, written
+from .common import conf, documents, located, scratch, small_batches, text_of, those, written
 from .kernel import U, mix, text_batches, words
 
 #: Words a shingle; links have 100 * intersection >= PERCENT * union.
@@ -42,8 +42,8 @@ _IN_BAND = _rng.integers(1, 1 << 64, (BANDS, ROWS), dtype=U) | U(1)
 #: Most chance that two texts at the threshold meet in no band.
 MISS = 1e-6
 #: A neighbourhood up to these sizes is the work of one task (8 bytes a shingle); beyond, buckets get so many hubs in each
-#: round after the first.
-GROUP_NODES, GROUP_SHINGLES, HUBS = 4000, 4_000_000, 64
+#: round after the first. Both ways compare the same pairs: those that share a bucket.
+GROUP_NODES, GROUP_SHINGLES, HUBS = 1000, 1_000_000, 64
 
 
 def bands_for(percent: int) -> int:
@@ -82,15 +82,16 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     return hashes, first
 
 
-_SIGNED = "doc_id {id}, fp binary, n bigint, digest binary, bands array<bigint>, sketch array<bigint>"
+_SIGNED = "doc_id {id}, loc string, fp binary, n bigint, digest binary, bands array<bigint>, sketch array<bigint>"
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS) -> DataFrame:
+def signatures(docs: DataFrame, bands: int = BANDS) -> DataFrame:
+    """docs: (doc_id, loc, text)."""
     n_bands, samples, (first_of, second_of, in_band) = bands, bands * ROWS, _values(bands)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, bounds in text_batches(batch.column(2)):
+            for a, b, data, bounds in text_batches(batch.column(3)):
                 hashes, first = shingle_sets(data, bounds)
                 size = b - a
                 n, digest = np.zeros(size, np.int64), [b""] * size
@@ -111,11 +112,9 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS)
                 made = np.zeros(size + 1, np.int64)
                 made[full + 1] = 1
                 lists = lambda x: pa.ListArray.from_arrays(pa.array((np.cumsum(made) * x.shape[1]).astype(np.int32)), pa.array(np.ascontiguousarray(x).view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, size), batch.column(1).slice(a, size), pa.array(n), pa.array(digest, pa.binary()), lists(bands), lists(sketch)], names=["doc_id", "fp", "n", "digest", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, size) for i in range(3)), pa.array(n), pa.array(digest, pa.binary()), lists(bands), lists(sketch)], names=["doc_id", "loc", "fp", "n", "digest", "bands", "sketch"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    text = text_of(text_col)
-    return docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("fp"), text.alias("text")).mapInArrow(run, _SIGNED.format(id=kind))
+    return docs.select("doc_id", "loc", F.unhex(F.sha2("text", 256)).alias("fp"), "text").mapInArrow(run, _SIGNED.format(id=docs.schema["doc_id"].dataType.simpleString()))
 
 
 def full_sets(texts: DataFrame) -> DataFrame:
@@ -168,10 +167,11 @@ def _xor_bits(x: Column, y: Column) -> Column:
 
 
 class _Rounds:
-    """What the rounds share: nodes with sketches, and their texts' full sets, made as they are needed."""
+    """What the rounds share: nodes with sketches, and their texts' full sets, made once."""
 
     def __init__(self, docs: DataFrame, nodes: DataFrame, text_col: str, percent: int):
-        self.docs, self.nodes, self.text_col, self.percent = docs, nodes, text_col, percent
+        self.nodes, self.percent = nodes, percent
+        self.sets = written(full_sets(texts_of(docs, nodes, text_col)), "near-sets")
         self.tested = self.links = None
 
     def compare(self, pairs: DataFrame) -> DataFrame | None:
@@ -183,12 +183,11 @@ class _Rounds:
         if pairs.isEmpty():
             return None
         self.tested = pairs if self.tested is None else self.tested.union(pairs)
-        one, two = (self.nodes.select(F.col("node").alias(k), F.col("sketch").alias(f"s{k}")) for k in "ab")
-        close = written(pairs.join(one, "a").join(two, "b").where(_xor_bits(F.col("sa"), F.col("sb")) <= widest_xor(self.percent)).select("a", "b"), "near-close")
-        wanted = close.select(F.col("a").alias("node")).union(close.select("b")).distinct().join(self.nodes, "node")
-        sets = written(full_sets(texts_of(self.docs, wanted, self.text_col)), "near-sets")
-        x, y = (sets.select(F.col("node").alias(k), F.col("hashes").alias(h)) for k, h in (("b", "x"), ("a", "y")))
-        found = written(linked(close.join(x, "b").join(y, "a"), self.percent), "near-links")
+        one, two = (self.nodes.select(F.col("node").alias(k), F.col("sketch").alias(f"s{k}"), F.col("n").alias(f"n{k}")) for k in "ab")
+        lengths = 100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")
+        close = pairs.join(one, "a").join(two, "b").where(lengths & (_xor_bits(F.col("sa"), F.col("sb")) <= widest_xor(self.percent)))
+        x, y = (self.sets.select(F.col("node").alias(k), F.col("hashes").alias(h)) for k, h in (("b", "x"), ("a", "y")))
+        found = written(linked(close.select("a", "b").join(x, "b").join(y, "a"), self.percent), "near-links")
         self.links = found if self.links is None else self.links.union(found)
         return self.links
 
@@ -214,7 +213,7 @@ def near_components(docs: DataFrame, nodes: DataFrame, text_col: str, percent: i
     sizes = written(own.groupBy("around").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("m")), "near-sizes")
     fits = (F.col("k") <= most_nodes) & (F.col("m") <= most_shingles)
     small = own.join(sizes.where(fits), "around", "left_semi")
-    labels = written(within(texts_of(docs, small, text_col, "around", "sketch"), percent), "near-within")
+    labels = written(within(texts_of(docs, small, text_col, "around", "sketch", "bands"), percent), "near-within")
     large = sizes.where(~fits)
     if large.isEmpty():
         return labels
@@ -235,14 +234,14 @@ def texts_of(docs: DataFrame, nodes: DataFrame, text_col: str, *columns: str) ->
 
 
 def within(texts: DataFrame, percent: int) -> DataFrame:
-    """(node, around, sketch, text) -> (node, label): components of each neighbourhood, by breadth: each node is compared with
-    those not reached yet, first by sketches, then by full sets."""
+    """(node, around, sketch, bands, text) -> (node, label): components of each neighbourhood, by breadth: each node is compared
+    with those of its buckets not reached yet, first by sketches, then by full sets."""
     widest = widest_xor(percent)
 
-    def split(nodes: list[int], sketches: list, sets: list[np.ndarray]) -> np.ndarray:
+    def split(nodes: list[int], sketches: list, bands: list, sets: list[np.ndarray]) -> np.ndarray:
         ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
         cut = np.cumsum([0, *map(len, sets)])
-        size, sketch = np.diff(cut), np.array(sketches, np.int64).view(U)
+        size, sketch, keys = np.diff(cut), np.array(sketches, np.int64).view(U), np.array(bands, np.int64)
         label, mark = np.full(len(nodes), -1, np.int64), np.zeros(int(ids.max()) + 1, bool)
         for seed in np.argsort(nodes):
             if label[seed] >= 0:
@@ -252,6 +251,7 @@ def within(texts: DataFrame, percent: int) -> DataFrame:
                 u = queue.pop()
                 rest = np.flatnonzero(label < 0)
                 rest = rest[np.bitwise_count(sketch[rest] ^ sketch[u]).sum(axis=1) <= widest]
+                rest = rest[(keys[rest] == keys[u]).any(axis=1)]
                 if len(rest):
                     mark[ids[cut[u] : cut[u + 1]]] = True
                     if len(rest) < 32:
@@ -265,27 +265,28 @@ def within(texts: DataFrame, percent: int) -> DataFrame:
         return label
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        around, nodes, sketches, sets = None, [], [], []
+        around, nodes, sketches, bands, sets = None, [], [], [], []
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(split(nodes, sketches, sets), pa.int64())], names=["node", "label"])
+            return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(split(nodes, sketches, bands, sets), pa.int64())], names=["node", "label"])
 
         for batch in batches:
-            for a, b, data, bounds in text_batches(batch.column(3)):
+            for a, b, data, bounds in text_batches(batch.column(4)):
                 hashes, first = shingle_sets(data, bounds)
                 part = batch.slice(a, b - a)
-                for t, (node, group, sketch) in enumerate(zip(*(part.column(i).to_pylist() for i in range(3)), strict=True)):
+                for t, (node, group, sketch, keys) in enumerate(zip(*(part.column(i).to_pylist() for i in range(4)), strict=True)):
                     if group != around and nodes:
                         yield out()
-                        nodes, sketches, sets = [], [], []
+                        nodes, sketches, bands, sets = [], [], [], []
                     around = group
                     nodes.append(node)
                     sketches.append(sketch)
+                    bands.append(keys)
                     sets.append(np.unique(hashes[first[t] : first[t + 1]]))
         if nodes:
             yield out()
 
-    dealt = texts.select("node", "around", "sketch", "text").repartition("around").sortWithinPartitions("around", "node")
+    dealt = texts.select("node", "around", "sketch", "bands", "text").repartition("around").sortWithinPartitions("around", "node")
     return dealt.mapInArrow(run, "node bigint, label bigint")
 
 
@@ -321,33 +322,48 @@ def by_rounds(docs: DataFrame, nodes: DataFrame, met: DataFrame, text_col: str,
         hubs = others.groupBy("key", F.pmod(F.xxhash64("label"), F.lit(HUBS)).alias("_")).agg(F.max(F.struct("n", "hub", "label")).alias("h")).select("key", "h.hub", "h.label")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, most_nodes: int = GROUP_NODES) -> DataFrame:
-    """A row for each row of docs: doc_id, fp (SHA-256 of the text), n_shingles, component_id, kept.
-
-    Texts without words (null, empty, white space) have no shingles, are linked with nothing and kept. component_id is
-    the smallest identifier of the component, nulls left out; kept tells whether the row has it. Rows that repeat an
-    identifier are rows of their own, and all with the smallest one are kept. An empty table gives an empty result.
-    """
-    signed = written(signatures(docs, id_col, text_col, bands_for(percent)).withColumn("row", F.monotonically_increasing_id()), "near-signed")
+def _grouped(docs: DataFrame, percent: int, most_nodes: int) -> DataFrame:
+    """docs: (doc_id, loc, text), texts without nulls. (doc_id, loc, fp, n, row, group: of the component, component_id) for each
+    row; a row without shingles is a group of its own."""
+    small_batches(docs.sparkSession)
+    signed = written(signatures(docs, bands_for(percent)).withColumn("row", F.monotonically_increasing_id()), "near-signed")
     classes = written(signed.where("n > 0").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("low")), "near-classes")
     nodes = written(classes.select("node").join(signed, F.col("node") == F.col("row")).select("node", "fp", "n", "bands", "sketch"), "near-nodes")
-    labels = near_components(docs, nodes, text_col, percent, most_nodes)
-    if labels is not None:
+    labels = near_components(docs, nodes, "text", percent, most_nodes)
+    if labels is None:
+        classes = classes.withColumn("label", F.col("node"))
+    else:
         told = classes.join(labels, "node")
         lows = told.groupBy("label").agg(F.min("low").alias("lowest"))
-        lowest = written(told.join(lows, "label").select("node", "lowest"), "near-lowest")
-        classes = classes.join(lowest, "node", "left").select("digest", F.coalesce("lowest", "low").alias("low"))
+        lowest = written(told.join(lows, "label").select("node", "label", "lowest"), "near-lowest")
+        classes = classes.join(lowest, "node", "left").select("digest", F.coalesce("lowest", "low").alias("low"), F.coalesce("label", "node").alias("label"))
     # a class has one row on the right: AQE splits the rows of a hot class on the left
-    rows = signed.select("doc_id", "fp", "n", "digest").join(classes.select("digest", "low"), "digest", "left")
-    rows = rows.withColumn("component_id", F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("doc_id")))
+    rows = signed.select("doc_id", "loc", "fp", "n", "digest", "row").join(classes.select("digest", "low", "label"), "digest", "left")
+    has = F.col("n") > 0
+    return rows.select("doc_id", "loc", "fp", "n", "row", F.when(has, F.col("label")).otherwise(F.col("row")).alias("group"), F.when(has, F.col("low")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, most_nodes: int = GROUP_NODES) -> DataFrame:
+    """A row for each row of docs: doc_id, fp (SHA-256 of the text), n_shingles, component_id, kept.
+
+    Texts without words (null, empty, white space) have no shingles, are linked with nothing and kept. component_id is
+    the smallest identifier of the component, nulls left out; kept tells whether the row has it. Identifiers are of any type that
+    can be ordered. Rows that repeat an identifier are rows of their own, and all with the smallest one are kept. An empty table
+    gives an empty result. Other columns of docs are not read.
+    """
+    rows = _grouped(docs.select(F.col(id_col).alias("doc_id"), F.lit("").alias("loc"), text_of(text_col).alias("text")), percent, most_nodes)
     return rows.select("doc_id", "fp", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The rows of docs that stay, one for each component, with all their columns."""
-    gone = written(near_dedup(docs, id_col, text_col, percent), "near-found").where("not kept").select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")).distinct()
-    marked = docs.select("*", F.unhex(F.sha2(text_of(text_col), 256)).alias("_fp2"))
-    return marked.join(gone, (F.col("_fp2") == F.col("_fp")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_anti").select(*docs.columns)
+    """The rows of docs that stay, with all their columns under whatever names: of each component the one with the smallest
+    identifier, nulls last; of rows that repeat it, one. Rows without words all stay. An empty table gives an empty result."""
+    rows = located(docs, "near-rows")
+    with scratch(docs.sparkSession) as keep:
+        found = _grouped(rows.select(F.col(f"carried.`{id_col}`").alias("doc_id"), "loc", text_of(F.col(f"carried.`{text_col}`")).alias("text")), percent, GROUP_NODES)
+        kept = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row", "loc")).alias("best")).select("best.loc")
+        kept = keep(written(kept, "near-kept"))
+    return those(rows, kept)
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
