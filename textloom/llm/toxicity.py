@@ -24,13 +24,15 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from .common import documents, text_of
+from .common import column, documents, small_batches, text_of
 
-#: Largest sample of labelled rows a class for the fit.
-MAX_LABELLED = 3000
+#: Largest sample for the fit, a class: labelled rows, and characters of their texts. Rows come whole, in the order of a hash of the
+#: identifier, until the next one would not fit.
+MAX_LABELLED, MAX_CHARS = 3000, 30_000_000
 #: Lengths of word beginnings; weight of the clean share against the toxic share; least gain of a feature; most features;
 #: features that may explain a document.
 BEGINNINGS, AGAINST, GAIN, FEATURES, COVER = range(3, 9), 2.0, 0.004, 64, 3
@@ -176,38 +178,51 @@ class Tagger:
         return out
 
 
-Windows = list[tuple[list[tuple[int, ...]], list[int], list[int]]]
+Windows = Counter[tuple[tuple[tuple[int, ...], ...], tuple[int, ...], tuple[int, ...]]]
 
 
 def _windows(tagger: Tagger, texts: list[str], toxic: bool) -> Windows:
-    """(features, neighbours with features, labels) by word, of windows around hits; of a text without, its first words."""
-    out: Windows = []
+    """(features, neighbours with features, labels) by word, of windows that cover the texts: those around hits, and the plain
+    stretches between, cut at the same length. Equal windows, as plain ones of a length are, are one with its number."""
+    out: Windows = Counter()
+    width = 2 * AROUND + 1
+    plain = lambda k: (((),) * k, (0,) * k, (0,) * k)
     for text in texts:
         n, at, got = tagger.hits(text)
         where = dict(zip(at, got, strict=True))
-        done = -1
-        for i in at[:40] or [0] * (n > 0):
-            if i >= done:
-                a, done = max(0, i - AROUND), min(n, i + AROUND + 1)
+        done = 0
+        for i in [*at, None]:
+            if i is not None and i < done:
+                continue
+            a = n if i is None else max(done, i - AROUND)
+            full, rest = divmod(a - done, width)
+            if full:
+                out[plain(width)] += full
+            if rest:
+                out[plain(rest)] += 1
+            if i is not None:
+                done = min(n, i + AROUND + 1)
                 span = range(a, done)
-                out.append(([where.get(j, ()) for j in span], [(j - 1 in where) + (j + 1 in where) for j in span], [int(toxic and j in where) for j in span]))
+                out[tuple(where.get(j, ()) for j in span), tuple((j - 1 in where) + (j + 1 in where) for j in span), tuple(int(toxic and j in where) for j in span)] += 1
     return out
 
 
 def fit_chain(tagger: Tagger, windows: Windows, rounds: int = 120, rate: float = 0.15, ridge: float = 1e-3) -> None:
     """Adam on the log-likelihood of the windows, all at once: shorter ones are padded behind, where steps do nothing. Words
-    with the same features are of one kind, so a word is a small number here."""
+    with the same features are of one kind, so a word is a small number here. The ridge is a share of the windows with features."""
     width, size = 2 * AROUND + 1, len(windows)
     kinds: dict[tuple[int, ...], int] = {(): 0}
     kind, beside, y, real = (np.zeros((size, width), t) for t in (np.int32, np.int8, np.int8, np.float32))
-    for i, (features, around, labels) in enumerate(windows):
+    times = np.zeros(size)
+    for i, ((features, around, labels), k) in enumerate(windows.items()):
         n = len(labels)
         kind[i, :n], beside[i, :n], y[i, :n], real[i, :n] = [kinds.setdefault(f, len(kinds)) for f in features], around, labels, 1
+        times[i] = k
     held = np.zeros((len(kinds), len(tagger.features)))
     for f, k in kinds.items():
         held[k, list(f)] = 1
     w, m, v = tagger.weights, np.zeros_like(tagger.weights), np.zeros_like(tagger.weights)
-    both = real[:, 1:]
+    both, scale = real[:, 1:], max(1.0, times[kind.any(axis=1)].sum())
     for t in range(1, rounds + 1):
         score = np.zeros((size, width, 2))
         score[..., 1] = w[0] + (held @ w[7:])[kind] + w[1] * beside
@@ -221,15 +236,15 @@ def fit_chain(tagger: Tagger, windows: Windows, rounds: int = 120, rate: float =
             new = np.logaddexp(*((step[:, s] + (score[:, i + 1, s] + back[:, i + 1, s])[:, None]) for s in (0, 1)))
             back[:, i] = np.where(real[:, i + 1, None] > 0, new, 0)
         z = np.logaddexp(fore[:, -1, 0], fore[:, -1, 1])
-        off = (y - np.exp(fore[..., 1] + back[..., 1] - z[:, None])) * real
+        off = (y - np.exp(fore[..., 1] + back[..., 1] - z[:, None])) * real * times[:, None]
         grad = np.zeros_like(w)
         grad[0], grad[1], grad[2] = off.sum(), (off * beside).sum(), off[:, 0].sum()
         grad[7:] = held.T @ np.bincount(kind.ravel(), weights=off.ravel(), minlength=len(kinds))
         for a in (0, 1):
             for b in (0, 1):
-                pair = np.exp(fore[:, :-1, a] + step[a, b] + score[:, 1:, b] + back[:, 1:, b] - z[:, None]) * both
-                grad[3 + 2 * a + b] = (((y[:, :-1] == a) & (y[:, 1:] == b)) * both).sum() - pair.sum()
-        grad = grad / size - ridge * w
+                pair = np.exp(fore[:, :-1, a] + step[a, b] + score[:, 1:, b] + back[:, 1:, b] - z[:, None])
+                grad[3 + 2 * a + b] = ((((y[:, :-1] == a) & (y[:, 1:] == b)) - pair) * both * times[:, None]).sum()
+        grad = grad / scale - ridge * w
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         w += rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
 
@@ -250,10 +265,10 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = MAX_LABELLED) -> Tagger:
-    """Fit on labelled documents that are not held out: at most `most` of each class, those with the least hash of the
-    identifier. Rows of labels with a null in either column are left out; of two labels of a document the larger counts.
-    With just one class there is nothing to learn, and each text scores near 0."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = MAX_LABELLED, most_chars: int = MAX_CHARS) -> Tagger:
+    """Fit on labelled documents that are not held out: at most `most` rows and `most_chars` characters of each class, those with
+    the least hash of the identifier. Rows of labels with a null in either column are left out; of two labels of a document
+    the larger counts, and of several texts the longest. With just one class there is nothing to learn, and each text scores near 0."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_y"))
     totals = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     taken = None
@@ -261,7 +276,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         part = known.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(most)
         taken = part if taken is None else taken.union(part)
     texts = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t")).join(F.broadcast(taken), "_id")  # at most 2 * most ids
-    sample = sorted({(r["_y"], r["_t"]) for r in texts.collect()})  # equal texts count once
+    one = texts.groupBy("_y", "_id").agg(F.max(F.struct(F.length("_t").alias("n"), F.col("_t").alias("t"))).alias("d"))
+    before = F.sum("d.n").over(Window.partitionBy("_y").orderBy(F.xxhash64("_id"), "_id"))  # at most `most` rows a class
+    sample = sorted({(r["_y"], r["t"]) for r in one.withColumn("chars", before).where(F.col("chars") <= most_chars).select("_y", "d.t").collect()})  # equal texts count once
     toxic, clean = ([t for y, t in sample if y == k] for k in (1, 0))
     if not toxic or not clean:
         return Tagger([])
@@ -279,27 +296,37 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return tagger
 
 
-def scored(docs: DataFrame, tagger: Tagger, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), spans: bool = True) -> DataFrame:
-    """The carried columns of each row of docs, toxic_score (0 to 1) and toxic_spans (start, end). A null text counts as empty
-    and scores as one without any evidence; repeats and nulls of other columns stay; an empty table gives an empty result."""
-    held = docs.sparkSession.sparkContext.broadcast(tagger)
+def _scored(rows: DataFrame, tagger: Tagger, text: str | None, spans: bool) -> DataFrame:
+    """rows: (carried, t), or (carried) with the text in its field of that name. (carried, toxic_score, toxic_spans)."""
+    small_batches(rows.sparkSession)
+    held, name = rows.sparkSession.sparkContext.broadcast(tagger), text
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = held.value
         for batch in batches:
             scores, where = [], []
-            for x in batch.column(batch.num_columns - 1):
+            for x in batch.column(1) if name is None else batch.column(0).field(name).cast(pa.string()):
                 text = x.as_py() or ""
                 n, places, p = tagger.tag(text)
                 scores.append(tagger.score(n, p))
                 where.append(tagger.spans(text, places, p) if spans else [])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64()), pa.array(where, span)], names=[*(f"c{i}" for i in range(len(carry))), "toxic_score", "toxic_spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(where, span)], names=["carried", "toxic_score", "toxic_spans"])
+        tagger.memo.clear()  # a worker that waits for the next task holds no memory
+
+    return rows.mapInArrow(run, StructType([rows.schema["carried"], *_SCORES.fields]))
+
 
-    rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)], F.col(text_col).cast("string").alias("t_"))
-    schema = ", ".join([*(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry)), "toxic_score double, toxic_spans array<struct<start:bigint,end:bigint>>"])
-    made = rows.mapInArrow(run, schema)
-    return made.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], "toxic_score", "toxic_spans")
+_SCORES = StructType([StructField("toxic_score", DoubleType()), StructField("toxic_spans", ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())])))])
+
+
+def scored(docs: DataFrame, tagger: Tagger, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), spans: bool = True) -> DataFrame:
+    """The carried columns of each row of docs, toxic_score (0 to 1) and toxic_spans (start, end); a carried column of one of these
+    names gives way. A null text counts as empty and scores as one without any evidence; repeats and nulls of other columns stay;
+    an empty table gives an empty result."""
+    names = [c for c in carry if c not in _SCORES.names]
+    made = _scored(docs.select(F.struct(*map(column, names)).alias("carried"), column(text_col).cast("string").alias("t")), tagger, None, spans)
+    return made.select("carried.*", *_SCORES.names)
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -307,10 +334,11 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of docs that are not predicted toxic, with all their columns."""
-    spark = docs.sparkSession
-    found = scored(docs, train(docs, labels(spark, sf_dir)), carry=tuple(docs.columns), spans=False)
-    return found.where("toxic_score < 0.5").select(*docs.columns)
+    """The rows of docs that are not predicted toxic, with all their columns under whatever names. Null texts are clean; repeats
+    stay; an empty table gives an empty result."""
+    rows = docs.select(F.struct(*map(column, docs.columns)).alias("carried"))
+    found = _scored(rows, train(docs, labels(docs.sparkSession, sf_dir)), "text", spans=False)
+    return found.where("toxic_score < 0.5").select("carried.*")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
