@@ -3,7 +3,7 @@ import pytest
 from tests.conftest import DATA
 
 #: Columns whose names clash with ones that operators use within.
-CLASH = "id long, t string, key string, digest string, n long, row long, blob string, size long, host string, c0 string, node long, held boolean, kept boolean, start long, rule string, target double, carried string, w string"
+CLASH = "id long, t string, key string, digest string, n long, row long, blob string, size long, host string, c0 string, node long, held boolean, kept boolean, start long, rule string, target double, carried string, w string, loc string, file string, _id long, _fp2 binary, toxic_score double, toxic_spans string, copies int, win long, label string, n_words long"
 
 
 @pytest.fixture(scope="session")

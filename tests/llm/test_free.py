@@ -27,7 +27,7 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
 
 
-def components(docs):
+def components(docs, percent=85):
     sets, label = {d: shingles(t) for d, t in docs}, {d: d for d, _ in docs}
 
     def find(x):
@@ -39,7 +39,7 @@ def components(docs):
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
             same = len(sets[a] & sets[b])
-            if same and 100 * same >= 85 * (len(sets[a]) + len(sets[b]) - same):
+            if same and 100 * same >= percent * (len(sets[a]) + len(sets[b]) - same):
                 x, y = sorted((find(a), find(b)))
                 label[y] = x
     return {d: (len(sets[d]), find(d)) for d in ids}
@@ -63,7 +63,7 @@ def test_near_groups(spark):
     rng.shuffle(docs)
     table = frame(spark, [(d, t, None) for d, t in docs])
     want = components(docs)
-    for limits in ({}, {"most_nodes": 2}):  # in one task, and round by round
+    for limits in ({}, {"most_nodes": 2}):  # in one task, and round by round: the same links
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_dedup(table, **limits).collect()}
         assert got == want
 
@@ -74,7 +74,30 @@ def test_near_odd_and_empty(spark, odd, empty):
     assert {(r["doc_id"], r["component_id"]) for r in rows if r["n_shingles"] == 2} == {(1, 1), (2, 1), (None, 1)}
     assert all(r["kept"] and r["component_id"] == r["doc_id"] for r in rows if r["n_shingles"] == 0)
     assert minhash.near_dedup(empty).count() == 0
-    assert minhash.keep_one(odd).columns == odd.columns
+    kept = minhash.keep_one(odd)
+    assert kept.columns == odd.columns and sorted((r["doc_id"] for r in kept.collect())) == [1, 3, 4, 5, 6, 6, 7]
+
+
+def test_near_keeps_one_of_equal_rows(spark):
+    rows = [(8, "some words that repeat in every row here", "a")] * 3 + [(None, "of a null identifier there are two rows", None)] * 2 + [(9, "", "a")] * 2
+    assert sorted((r["doc_id"] or 0 for r in minhash.keep_one(frame(spark, rows)).collect())) == [0, 8, 9, 9]
+
+
+def test_both_searches_find_the_same(spark):
+    """Random texts of many small similarities around the threshold: one task or round by round."""
+    for seed in (1, 2):
+        rng = random.Random(seed)
+        docs, words = [], [f"w{i}" for i in range(500)]
+        for _ in range(12):
+            base = [rng.choice(words) for _ in range(60)]
+            for _ in range(10):
+                own = list(base)
+                for _ in range(rng.randint(0, 4)):
+                    own[rng.randrange(60)] = rng.choice(words)
+                docs.append((len(docs), " ".join(own), None))
+        table = frame(spark, docs)
+        one, two = ({r["doc_id"]: r["component_id"] for r in minhash.near_dedup(table, most_nodes=k).collect()} for k in (1000, 2))
+        assert one == two
 
 
 def test_keep_one_takes_a_threshold(spark):
@@ -184,9 +207,33 @@ def test_toxicity_chain_is_forward_backward():
     assert np.allclose(fast, (p[:, 1] / p.sum(axis=1))[places])
 
 
-def test_toxicity_odd_and_empty(spark, odd, empty):
+def test_toxicity_windows_cover_whole_texts():
+    """Every word of a labelled text is in one window, however many hits it has."""
+    tagger = toxicity.Tagger(["bad"])
+    for text in ("ok " * 500, "bad " * 90, "ok " * 40 + "bad " + "ok " * 40, "bad", "", "ok " * 16 + "bad " * 3 + "ok"):
+        found = toxicity._windows(tagger, [text], True)
+        assert sum(len(labels) * k for (_, _, labels), k in found.items()) == len(text.split())
+        assert sum(sum(labels) * k for (_, _, labels), k in found.items()) == text.split().count("bad")
+
+
+def test_toxicity_sample_is_bounded(spark):
+    """Whole rows up to the bounds of rows and characters; a repeated identifier is one row."""
+    rows = [(i, f"{'bad' if i % 2 else 'fine'} word number {i} " * 10, None) for i in range(1, 60)] * 2
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 60)], "doc_id long, toxic int")
+    seen = []
+    before, toxicity.choose = toxicity.choose, lambda toxic, clean: seen.append((toxic, clean)) or ["bad"]
+    try:
+        toxicity.train(frame(spark, rows), labels, most=10)
+        toxicity.train(frame(spark, rows), labels, most_chars=1000)
+    finally:
+        toxicity.choose = before
+    assert [len(x) for x in seen[0]] == [10, 10] and all(0 < sum(map(len, x)) <= 1000 for x in seen[1])
+
+
+def test_toxicity_odd_and_empty(spark, odd, empty, sf):
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, None), (None, 1)], "doc_id long, toxic int")
     tagger = toxicity.train(odd, labels)
+    assert toxicity.keep_clean(odd, sf).columns == odd.columns and toxicity.keep_clean(odd, sf).count() == 10
     rows = toxicity.scored(odd, tagger, carry=tuple(odd.columns)).collect()
     assert len(rows) == 10 and all(0 <= r["toxic_score"] <= 1 for r in rows)
     assert toxicity.scored(empty, toxicity.train(empty, labels.limit(0))).count() == 0

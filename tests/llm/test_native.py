@@ -142,10 +142,38 @@ def test_dedup_compares_whole_texts(spark):
     assert got == {1: (3, 2, False), 2: (2, 1, True), 3: (3, 2, True)}
 
 
-def test_state_goes_on(spark):
-    """New files of the index are added to the state of earlier ones."""
-    index, state = work_path(spark, "test-index"), work_path(spark, "test-state")
-    for rows in ([(1, "a")], [(5, "A"), (2, "b")]):
-        exact_dedup.content_index(frame(spark, [(d, t, None) for d, t in rows]), "doc_id", "text", exact_dedup.sha256).write.mode("append").parquet(index)
-        groups = exact_dedup.keyed_state(spark, index, state).collect()
-    assert sorted((r["win"]["id"], r["n"]) for r in groups) == [(2, 1), (5, 2)]
+def test_state_goes_on(spark, tmp_path):
+    """Calls with one state count the documents of earlier ones, whose contents are found by locator for the check of full bytes."""
+    state = work_path(spark, "test-state")
+    calls = [[("a1", "a"), ("c1", "c")], [("a5", "A"), ("b2", "b")], [("a3", "a"), (None, "c")]]
+    want = [{"a1": ("a1", 1, True), "c1": ("c1", 1, True)}, {"a5": ("a5", 2, True), "b2": ("b2", 1, True)}, {"a3": ("a5", 3, False), None: ("c1", 2, False)}]
+    for i, (rows, told) in enumerate(zip(calls, want, strict=True)):
+        spark.createDataFrame(rows, "doc_id string, text string").coalesce(1).write.parquet(f"{tmp_path}/{i}")
+        found = exact_dedup.exact_dedup(spark.read.parquet(f"{tmp_path}/{i}"), state=state).collect()
+        assert {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in found} == told
+
+
+def test_state_compares_with_earlier_contents(spark, tmp_path):
+    state, weak = work_path(spark, "test-state"), lambda c: F.unhex(F.lit("00"))
+    for i, rows in enumerate([[(1, "a"), (2, "b")], [(3, "B"), (4, "d")]]):
+        spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/{i}")
+        found = exact_dedup.exact_dedup(spark.read.parquet(f"{tmp_path}/{i}"), digest=weak, state=state).collect()
+    assert {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in found} == {3: (3, 2, True), 4: (4, 1, True)}
+
+
+def test_keys_of_any_type(spark):
+    docs = spark.createDataFrame([("x", "one two", "s"), ("y", "ONE two", None), (None, "three", "s")], "doc_id string, text string, source string")
+    assert {r["doc_id"]: r["keep_id"] for r in exact_dedup.exact_dedup(docs).collect()} == {"x": "y", "y": "y", None: None}
+    assert {r["doc_id"] for r in exact_dedup.keep_one(docs).collect()} == {"y", None}
+    assert {r["doc_id"]: r["size"] for r in mixing.mix(docs).collect()} == {"x": 2, "y": 2, None: 1}
+    assert mixing.mixed(docs).columns == docs.columns
+
+
+def test_mixing_comes_near_with_few_documents(spark):
+    """Sources of few documents, some of them large: words taken are within the smallest documents of the target."""
+    rows = [(i, "w " * z, s) for s in "abc" for i, z in enumerate([900, 400, 200, 100, 50, 40, 30, 20, 10, 5, 5, 3, 2, 1, 1] * 2)]
+    by = {}
+    for r in mixing.mix(frame(spark, rows)).collect():
+        assert r["copies"] <= 3
+        by.setdefault((r["source_size"], r["target"]), []).append(r["copies"] * r["size"])
+    assert len(by) == 3 and all(abs(sum(t) - target) <= 0.02 * target for (_, target), t in by.items())

@@ -28,7 +28,7 @@ def test_stages(spark, sf, tmp_path):
     for r in clean.itertuples():
         last[lower(r.text)] = max(r.doc_id, last.get(lower(r.text), -1))
     assert sorted(equal.doc_id) == sorted(last.values())
-    groups = components([(r.doc_id, r.text) for r in equal.itertuples()])
+    groups = components([(r.doc_id, r.text) for r in equal.itertuples()], corpus_pipeline.NEAR)
     assert sorted(near.doc_id) == sorted(d for d, (n, c) in groups.items() if d == c)
     copies = mixing.mix(spark.createDataFrame(near)).toPandas()
     assert collections.Counter(mixed.doc_id) == {r.doc_id: r.copies for r in copies.itertuples() if r.copies}
@@ -38,3 +38,15 @@ def test_stages(spark, sf, tmp_path):
     texts = dict(zip(near.doc_id, near.text, strict=True))
     assert collections.Counter(tokens.doc_id) == collections.Counter(mixed.doc_id)
     assert all(r.n_tokens == len(library.encode_ordinary(texts[r.doc_id])) for r in tokens.itertuples())
+
+
+def test_stages_on_odd_and_empty_tables(spark, sf, odd, empty):
+    """Nulls, empty and very long texts, repeated rows, clashing columns; tables without rows."""
+    for docs, want in ((odd, (10, 6, 6)), (empty, (0, 0, 0))):
+        names, seen = docs.columns, []
+        for _, stage in corpus_pipeline.STAGES:
+            docs = written(stage(spark, docs, sf), "test-stage")
+            seen.append(docs.count())
+            if len(seen) < 5:
+                assert docs.columns == names
+        assert tuple(seen[:3]) == want and seen[3] == seen[4]
