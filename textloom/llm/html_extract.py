@@ -1,58 +1,66 @@
 """HTML extraction with a host suffix array.
 
-A page is read tag by tag into blocks, each in a zone: article (inside <article>, <main> or role=main), marked (menus, headers,
-footers, sidebars, notices, adverts, forms, reader comments, as their tags, roles and class names tell), or open
-(anything else). Scripts, styles, comments and markup are no blocks.
-
-The token streams of all blocks are joined host by host, and a suffix array over them (sorted to a depth of RUN tokens by
-prefix doubling) finds substrings of RUN tokens or more, and whole short blocks, with the number of distinct pages that
-have them. What PAGES or more distinct pages of a host repeat is boilerplate: it is removed from article and open blocks, and
-the unique runs of both, in the page's order, are the text. For article blocks only repeats outside marked zones count, as
-menus and lists of links name the headlines of articles. Pages whose blocks outside marked zones are equal count once.
-
-A large host is dealt over many tasks, PART pages or PART_CHARS characters of HTML each; a task gives the pages of each
-substring among its own, and sums over tasks are exact, as no page is in two of them. Texts go to these tasks packed. The
-substrings found set bits of a map of fixed size; pages without any of its bits are done as they are read, and the others'
-substrings are joined with those found.
+A page is read once, tag by tag, into blocks, each in a zone: article (inside <article>, <main> or role=main), marked (menus,
+headers, footers, sidebars, notices, adverts, forms, reader comments, as their tags, roles and class names tell), or open (anything
+else). Scripts, styles, comments and markup are no blocks, and marked blocks go. The others are written, packed, a row a page.
+
+The token streams of a host's blocks are joined, and a suffix array over them (sorted to a depth of RUN tokens by prefix doubling)
+finds substrings of RUN tokens or more, and whole short blocks, with the number of distinct pages that have them (pages whose blocks
+are equal are one). What repeats is boilerplate, covers its tokens, and the unique runs are the text in the page's order: in open
+blocks what PAGES pages have; in article blocks what PAGES pages and SHARE per cent of the host's pages have, as an article
+may quote what another one has, and only a template is on most pages.
+
+Substrings of RUN tokens are not counted all. Of each SEED-gram window of that length the one with the least hash is an anchor; equal
+substrings have equal anchors, so blocks whose anchors are on too few pages hold no boilerplate, and do not go to the suffix
+arrays. A large host's blocks are dealt over many tasks, PART pages or PART_BYTES packed bytes each; a task gives the pages of each
+substring among its own, and sums over tasks are exact, as no page is in two of them. Anchors, and then the substrings found, set
+bits of a map of fixed size; pages without any of its bits need no join.
 """
 
 from __future__ import annotations
 
 import html
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_of, written
-from .kernel import _PLACE, U, Words, mix, words
+from .common import scratch, small_batches, text_of, written
+from .kernel import _PLACE, BATCH_BYTES, U, Words, mix, words
 
-#: Tokens of a long substring; distinct pages of a host that make it boilerplate; pages of a host in a task, about, and
-#: characters of their HTML; bits of the map of substrings found.
-RUN, PAGES, PART, PART_CHARS, BITS = 8, 3, 2000, 16_000_000, 1 << 24
+#: Tokens of a long substring, and of the grams among which its anchor is; distinct pages of a host that make it boilerplate, and
+#: for articles per cent of the host's pages; pages of a host in a task, about, and packed bytes of their blocks; bits of the map.
+RUN, SEED, PAGES, SHARE, PART, PART_BYTES, BITS = 8, 4, 3, 50, 500, 4_000_000, 1 << 24
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME = re.compile(r"[a-z0-9]+")
 #: Elements of the HTML standard by what they are here.
 _RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
-_OUT = frozenset("nav header footer aside form button select dialog menu template svg math object noscript head fieldset".split())
+_OUT = frozenset("nav header footer aside form button select dialog menu template noscript head".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 #: Words in class names and ids of what is no article.
 _MARKS = frozenset("ad ads adsense advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted related replies reply share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets".split())
-#: Words that make a class name tell of the layout around something (has-sidebar).
-_LAYOUT = frozenset("has no with without".split())
+#: Words that may stand beside them in a name (ad-slot, related-articles), any other word makes the name tell of
+#: something else (related-work, has-sidebar).
+_BESIDE = frozenset("area articles bar block bottom box btn button buttons center container content form group header holder icons inner item items left link links list main media outer panel posts primary right secondary section site slot stories thread top unit wrap wrapper".split())
 _ROLES = frozenset("banner complementary contentinfo dialog alert form navigation search menu menubar toolbar".split())
 OPEN, ARTICLE, MARKED = 0, 1, 2
 
 
+def _marks(name: str) -> bool:
+    """Whether a class name or id tells of what is no article."""
+    parts = {p for p in _NAME.findall(name) if not p.isdigit()}
+    return bool(parts & _MARKS) and parts <= _MARKS | _BESIDE
+
+
 def _kind(name: str, attributes: str) -> int:
     """The zone that an element opens, OPEN for that around it."""
     names, role = set(), ""
@@ -62,8 +70,8 @@ def _kind(name: str, attributes: str) -> int:
             if m[1].lower() == "role":
                 role = value
             else:
-                names.update(_NAME.findall(value))
-    if name in _OUT or role in _ROLES or (name not in ("html", "body") and names & _MARKS and not names & _LAYOUT):
+                names.update(value.split())
+    if name in _OUT or role in _ROLES or (name not in ("html", "body") and any(map(_marks, names))):
         return MARKED
     return ARTICLE if name in ("article", "main") or role == "main" else OPEN
 
@@ -165,15 +173,29 @@ def block_runs(texts: list[str], depth: int = RUN) -> tuple[np.ndarray, np.ndarr
     return np.concatenate([runs, whole]).view(np.int64), np.concatenate([at, first]), np.concatenate([np.full(len(at), depth), n]), w
 
 
-def counted(texts: list[str], page: np.ndarray, plain: np.ndarray, depth: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """texts: blocks; page, plain: the page of each, and whether it is outside marked zones. Returns the key of each substring of
-    `depth` tokens and of each shorter whole block, the pages with it, and the pages with it in plain blocks. Tokens of all blocks
-    are joined with a separator after each; ranks of suffixes double their depth until they tell `depth` tokens apart, and
-    neighbours of equal rank in the suffix array have the same substring."""
+def anchors(w: Words, depth: int = RUN, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors of the substrings of `depth` tokens, with repeats, and the block of each: of the grams of `seed` tokens in a
+    substring, the one with the least hash."""
+    grams, at = w.runs(seed)
+    wide = depth - seed  # a substring has wide + 1 grams
+    n = len(grams) - wide
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    least = grams[:n].copy()
+    for k in range(1, wide + 1):
+        np.minimum(least, grams[k : k + n], out=least)
+    of = w.of[at]
+    same = of[:n] == of[wide : wide + n]
+    return least[same].view(np.int64), of[:n][same]
+
+
+def counted(texts: list[str], page: np.ndarray, depth: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+    """texts: blocks; page: the page of each. Returns the key of each substring of `depth` tokens and of each shorter whole block,
+    and the pages with it. Tokens of all blocks are joined with a separator after each; ranks of suffixes double their depth until
+    they tell `depth` tokens apart, and neighbours of equal rank in the suffix array have the same substring."""
     keys, at, n, w = block_runs(texts, depth)
     if not len(keys):
-        none = np.zeros(0, np.int64)
-        return none, none, none
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     place = np.arange(len(w.hash)) + w.of  # of a token, where each block before has a separator
     rank = np.zeros(len(w.hash) + len(texts), np.int64)
     rank[place] = np.unique(w.hash, return_inverse=True)[1] + 1
@@ -191,16 +213,15 @@ def counted(texts: list[str], page: np.ndarray, plain: np.ndarray, depth: int =
     order = np.lexsort((whole, own))
     new = np.concatenate([[True], (np.diff(own[order]) != 0) | (np.diff(whole[order]) != 0)])
     group, pages = np.cumsum(new) - 1, int(page.max()) + 1
-    met = group * pages + page[of[order]]
-    count = lambda x: np.bincount(np.unique(x) // pages, minlength=int(group[-1]) + 1)
-    return keys[order][new], count(met), count(met[plain[of[order]]])
+    met = np.unique(group * pages + page[of[order]]) // pages
+    return keys[order][new], np.bincount(met, minlength=int(group[-1]) + 1)
 
 
 def repeated(streams: list[list[list[str]]], depth: int = RUN) -> dict[int, int]:
     """streams: for each page its blocks' tokens. Key of each substring -> pages with it."""
     texts = [" ".join(b) for one in streams for b in one]
     page = np.repeat(np.arange(len(streams)), [len(one) for one in streams])
-    keys, pages, _ = counted(texts, page, np.ones(len(texts), bool), depth)
+    keys, pages = counted(texts, page, depth)
     return dict(zip(keys.tolist(), pages.tolist(), strict=True))
 
 
@@ -225,98 +246,178 @@ def unique_runs(found: list[tuple[int, str]], common: np.ndarray, in_articles: n
 
 
 def packed(found: list[tuple[int, str]]) -> bytes:
-    return zlib.compress("\n".join(f"{z}{t}" for z, t in found).encode(), 1)  # blocks have no line ends
+    return zstandard.compress("\n".join(f"{z}{t}" for z, t in found).encode(), 1)  # blocks have no line ends
 
 
 def unpacked(data: bytes) -> list[tuple[int, str]]:
-    return [(int(x[0]), x[1:]) for x in zlib.decompress(data).decode().split("\n")]
+    raw = zstandard.decompress(data).decode()
+    return [(int(x[0]), x[1:]) for x in raw.split("\n")] if raw else []
 
 
 _HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)"
 
 
-def host_boilerplate(pages: DataFrame, host: str, html_col: str) -> DataFrame:
-    """(host, run, in_articles): substrings that PAGES or more distinct pages of the host have, and whether so many have them
-    outside marked zones. host: its column, not null."""
+def parsed(rows: DataFrame) -> DataFrame:
+    """rows: (page_id, url, host, place, html) -> (page_id, url, host: its hash, place, key: of the blocks, blocks: packed)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
         for batch in batches:
-            out = []
-            for name, parts, x in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                found = blocks(x)
-                own = [f"{z}{t}" for z, t in found if z != MARKED]
-                key = xxhash.xxh3_64_intdigest("\n".join(own) if own else "\n" + x)
-                if found and (name, key) not in seen:
-                    seen.add((name, key))
-                    out.append((name, parts, key % parts, key - (1 << 63), packed(found)))
-            columns = [*zip(*out, strict=True)] if out else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["host", "parts", "part", "key", "blocks"])
-
-    def suffix_array(table: pa.Table) -> pa.Table:
-        texts, page, plain = [], [], []
-        copies = dict(zip(table.column("key").to_pylist(), table.column("blocks").to_pylist(), strict=True))
-        for i, data in enumerate(copies.values()):
-            for z, t in unpacked(data):
-                texts.append(t)
-                page.append(i)
-                plain.append(z != MARKED)
-        run, n, m = counted(texts, np.array(page), np.array(plain))
-        use = n >= (PAGES if table.column("parts")[0].as_py() == 1 else 1)
-        return pa.table({"host": pa.array([table.column("host")[0].as_py()] * int(use.sum()), pa.string()), "run": run[use], "n": n[use].astype(np.int64), "m": m[use].astype(np.int64)})
-
-    sizes = written(pages.groupBy(F.col(host).alias("host")).agg(F.ceil(F.greatest(F.count(F.lit(1)) / PART, F.sum(F.length(html_col)) / PART_CHARS)).alias("parts")), "html-hosts")
-    dealt = pages.select(F.col(host).alias("host"), F.col(html_col).alias("html")).join(sizes, "host").select("host", "parts", "html")
-    dealt = dealt.mapInArrow(read, "host string, parts bigint, part bigint, key bigint, blocks binary")
-    counts = dealt.groupBy("host", "part").applyInArrow(suffix_array, "host string, run bigint, n bigint, m bigint")
-    return counts.groupBy("host", "run").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).where(F.col("n") >= PAGES).select("host", "run", (F.col("m") >= PAGES).alias("in_articles"))
-
-
-def bit_map(runs: DataFrame) -> np.ndarray:
-    """A byte for each eight of BITS bits, set where a run has its place."""
-    slot = F.pmod("run", F.lit(BITS))
-    set_ = runs.groupBy(F.shiftright(slot, 3).cast("int").alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1, cast(pmod(run, {BITS}L) & 7 as int))")).alias("bits")).toArrow()
+            keys, out = [], []
+            for x in batch.column(4).to_pylist():
+                data = packed([(z, t) for z, t in blocks(x) if z != MARKED])
+                out.append(data)
+                keys.append(xxhash.xxh3_64_intdigest(data) - (1 << 63))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(keys, pa.int64()), pa.array(out, pa.binary())], names=["page_id", "url", "host", "place", "key", "blocks"])
+
+    kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("page_id", "url", "host", "place")]
+    return rows.select("page_id", "url", "host", "place", "html").mapInArrow(read, ", ".join([*kinds, "key bigint, blocks binary"]))
+
+
+def _pages(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, list[list[tuple[int, str]]]]]:
+    """(from row, to row, pages' blocks) for stretches of a batch of about BATCH_BYTES of text."""
+    start, size, pages = 0, 0, []
+    for i, data in enumerate(batch.column(column).to_pylist()):
+        pages.append(unpacked(data))
+        size += sum(len(t) for _, t in pages[-1])
+        if size >= BATCH_BYTES:
+            yield start, i + 1, pages
+            start, size, pages = i + 1, 0, []
+    if pages:
+        yield start, batch.num_rows, pages
+
+
+def _keys(pages: list[list[tuple[int, str]]]) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors and keys of short whole blocks, and the block of each, numbered over all pages."""
+    keys, at, n, w = block_runs([t for one in pages for _, t in one])
+    short = n < RUN
+    found, of = anchors(w)
+    return np.concatenate([found, keys[short]]), np.concatenate([of, w.of[at[short]]])
+
+
+def hot_anchors(firsts: DataFrame, hosts: DataFrame) -> DataFrame:
+    """(anchor): mixed with their host, those that are on as many pages as boilerplate is. firsts: one row for pages with equal blocks;
+    hosts: (host, pages)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, pages in _pages(batch, 1):
+                keys, of = _keys(pages)
+                sizes = [len(one) for one in pages]
+                page = np.repeat(np.arange(len(pages)), sizes)[of]
+                open_ = np.array([z == OPEN for one in pages for z, _ in one], bool)[of]
+                host = np.frombuffer(batch.column(0).slice(a, b - a).to_numpy(zero_copy_only=False).astype(np.int64).tobytes(), U)
+                mixed = mix(keys.view(U) ^ mix(host[page]))
+                order = np.lexsort((open_, page, mixed))  # of a key on a page the last row is open if any is
+                if not len(order):
+                    continue
+                last = np.append((mixed[order][1:] != mixed[order][:-1]) | (np.diff(page[order]) != 0), True)
+                own, at_open, at_host = mixed[order][last], open_[order][last], host[page[order][last]]
+                begin = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                n = np.diff(np.append(begin, len(own)))
+                yield pa.RecordBatch.from_arrays([pa.array(at_host[begin].view(np.int64)), pa.array(own[begin].view(np.int64)), pa.array(n), pa.array(np.add.reduceat(at_open.astype(np.int64), begin))], names=["host", "anchor", "n", "m"])
+
+    counts = firsts.select("host", "blocks").mapInArrow(run, "host bigint, anchor bigint, n bigint, m bigint")
+    counts = counts.groupBy("host", "anchor").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).where(F.col("n") >= PAGES)
+    return counts.join(hosts, "host").where((F.col("m") > 0) | (100 * F.col("n") >= SHARE * F.col("pages"))).select("anchor")
+
+
+def host_boilerplate(table: DataFrame) -> DataFrame:
+    """(host, run, in_articles): substrings that PAGES or more distinct pages of the host have, and whether so many have them as makes
+    them boilerplate in articles too. table: of parsed()."""
+    copies = table.groupBy("host", "key").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"))
+    copies = written(copies, "html-copies")
+    hosts = written(copies.groupBy("host").agg(F.count(F.lit(1)).alias("pages")), "html-hosts")
+    again = table.select("host", "key", "place").join(copies.where("n > 1").select("host", "key", F.col("place").alias("first")), ["host", "key"]).where("place <> first").select("place")
+    firsts = table.select("host", "place", "blocks").join(again, "place", "left_anti").select("host", "place", "blocks")
+    bits = bit_map(hot_anchors(firsts, hosts), "anchor")
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, pages in _pages(batch, 2):
+                keys, of = _keys(pages)
+                page = np.repeat(np.arange(len(pages)), [len(one) for one in pages])
+                host = batch.column(0).slice(a, b - a).to_numpy(zero_copy_only=False).astype(np.int64).view(U)
+                hot = np.zeros(len(page), bool)
+                hot[of[in_map(bits, mix(keys.view(U) ^ mix(host[page[of]])).view(np.int64))]] = True
+                flat = [x for one in pages for x in one]
+                found: dict[int, list[tuple[int, str]]] = {}
+                for i in np.flatnonzero(hot).tolist():
+                    found.setdefault(int(page[i]), []).append(flat[i])
+                rows = pa.array(list(found), pa.int64())
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a).take(rows) for i in (0, 1)), pa.array([packed(x) for x in found.values()], pa.binary())], names=["host", "place", "blocks"])
+
+    def suffix_array(data: pa.Table) -> pa.Table:
+        texts, page = [], []
+        for i, raw in enumerate(data.column("blocks").to_pylist()):
+            own = [t for _, t in unpacked(raw)]
+            texts += own
+            page += [i] * len(own)
+        run, n = counted(texts, np.array(page, np.int64))
+        use = n >= (PAGES if data.column("parts")[0].as_py() == 1 else 1)
+        return pa.table({"host": pa.array([data.column("host")[0].as_py()] * int(use.sum()), pa.int64()), "run": run[use], "n": n[use].astype(np.int64)})
+
+    found = written(firsts.mapInArrow(candidates, "host bigint, place bigint, blocks binary"), "html-candidates")
+    sizes = found.groupBy("host").agg(F.ceil(F.greatest(F.count(F.lit(1)) / PART, F.sum(F.length("blocks")) / PART_BYTES)).alias("parts"))
+    dealt = found.join(written(sizes, "html-sizes"), "host").withColumn("part", F.pmod(F.xxhash64("place"), F.col("parts")))
+    counts = dealt.select("host", "part", "parts", "blocks").groupBy("host", "part").applyInArrow(suffix_array, "host bigint, run bigint, n bigint")
+    counts = counts.groupBy("host", "run").agg(F.sum("n").alias("n")).where(F.col("n") >= PAGES)
+    return counts.join(hosts, "host").select("host", "run", (100 * F.col("n") >= SHARE * F.col("pages")).alias("in_articles"))
+
+
+def bit_map(table: DataFrame, name: str) -> np.ndarray:
+    """A byte for each eight of BITS bits, set where a value of the column has its place."""
+    slot = F.pmod(name, F.lit(BITS))
+    set_ = table.groupBy(F.shiftright(slot, 3).cast("int").alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1, cast(pmod({name}, {BITS}L) & 7 as int))")).alias("bits")).toArrow()
     out = np.zeros(BITS // 8, np.uint8)
     out[set_.column("at").to_numpy()] = set_.column("bits").to_numpy()
     return out
 
 
+def in_map(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slot = keys % BITS
+    return bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 > 0
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """A row for each row of pages: page_id, url, text (blocks joined by a line end; empty if none), n_removed (tokens of
     article and open blocks taken out as boilerplate of the host).
 
     Null HTML counts as empty; pages with a null URL, or one without a host, are of one host of their own; repeats and nulls
-    of page_id stay as they are; an empty table gives an empty result.
+    of page_id stay as they are; an empty table gives an empty result. Other columns are not read.
     """
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.lower(F.regexp_extract(text_of(url_col), _HOST, 1)).alias("host"), text_of(html_col).alias("html"))
-    common = written(host_boilerplate(rows, "host", "html"), "html-common")
-    bits = bit_map(common)
+    small_batches(pages.sparkSession)
+    host = F.xxhash64(F.lower(F.regexp_extract(text_of(url_col), _HOST, 1)))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.monotonically_increasing_id().alias("place"), text_of(html_col).alias("html"))
+    table = written(parsed(rows), "html-blocks")
+    with scratch(pages.sparkSession) as keep:
+        common = keep(written(host_boilerplate(table), "html-common"))
+    bits = bit_map(common, "run")
     kinds = ", ".join(f"{c} {pages.schema[s].dataType.simpleString()}" for c, s in (("page_id", id_col), ("url", url_col)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, rest, runs = [], [], []
-            for x in batch.column(3).to_pylist():
-                found = [(z, t) for z, t in blocks(x) if z != MARKED]
-                keys = block_runs([t for _, t in found])[0]
-                slot = keys % BITS
-                met = np.unique(keys[bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 > 0])
-                texts.append(None if len(met) else "\n".join(t for _, t in found))
-                rest.append(packed(found) if len(met) else None)
-                runs.append(met)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.string()), pa.array(rest, pa.binary()), pa.array(runs, pa.list_(pa.int64()))], names=["page_id", "url", "host", "text", "blocks", "runs"])
+            for a, b, found in _pages(batch, 4):
+                keys, at, _, w = block_runs([t for one in found for _, t in one])
+                page = np.repeat(np.arange(len(found)), [len(one) for one in found])[w.of[at]]
+                met = in_map(bits, keys)
+                runs: dict[int, set[int]] = {}
+                for i, k in zip(page[met].tolist(), keys[met].tolist(), strict=True):
+                    runs.setdefault(i, set()).add(k)
+                texts = [None if i in runs else "\n".join(t for _, t in one) for i, one in enumerate(found)]
+                data = batch.column(4).slice(a, b - a).to_pylist()
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(4)), pa.array(texts, pa.string()), pa.array([d if i in runs else None for i, d in enumerate(data)], pa.binary()), pa.array([sorted(runs[i]) if i in runs else None for i in range(len(found))], pa.list_(pa.int64()))], names=["page_id", "url", "host", "place", "text", "blocks", "runs"])
 
     def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [unique_runs(unpacked(data), *(np.array(r or (), np.int64) for r in runs)) for data, *runs in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(["\n".join(t) for t, _ in out], pa.string()), pa.array([n for _, n in out], pa.int64())], names=["page_id", "url", "text", "n_removed"])
 
-    texts = rows.select("page_id", "url", "host", "html").mapInArrow(read, f"{kinds}, host string, text string, blocks binary, runs array<bigint>")
+    texts = table.select("page_id", "url", "host", "place", "blocks").mapInArrow(read, f"{kinds}, host bigint, place bigint, text string, blocks binary, runs array<bigint>")
+    if common.isEmpty():
+        return texts.select("page_id", "url", "text", F.lit(0).cast("long").alias("n_removed"))
     done = texts.where("blocks IS NULL").select("page_id", "url", "text", F.lit(0).cast("long").alias("n_removed"))
     # pages with a bit of the map: their own substrings meet the host's table, and the page takes away what is in it
-    rest = written(texts.where("blocks IS NOT NULL").select("page_id", "url", "host", "blocks", "runs", F.monotonically_increasing_id().alias("place")), "html-open")
-    if rest.isEmpty():
-        return done
+    rest = written(texts.where("blocks IS NOT NULL").select("page_id", "url", "host", "place", "blocks", "runs"), "html-open")
     own = rest.select("host", "place", F.explode("runs").alias("run"))
     hits = own.join(common, ["host", "run"]).groupBy("place").agg(F.collect_list("run").alias("common"), F.collect_list(F.when(F.col("in_articles"), F.col("run"))).alias("in_articles"))
     cleaned = rest.select("place", "page_id", "url", "blocks").join(hits, "place", "left").select("page_id", "url", "blocks", "common", "in_articles").mapInArrow(without, f"{kinds}, text string, n_removed bigint")
