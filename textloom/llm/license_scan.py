@@ -1,12 +1,13 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block (a line of a text) matches a template if it contains at least THRESHOLD of the template's distinct words. Tokens are
-put in one global order, rarest in the corpus first. A block that reaches `need` of a template's n tokens has one of the
-template's first n - need + 1 (prefix filter); so blocks without a prefix token of any template go at once. Blocks that
-remain are joined with the templates' prefix tokens, pass the length filter (enough tokens that occur in templates) and
-the positional filter (the first common token leaves enough after it on both sides), and are then checked on whole
-sets. The table of templates is a fixed parameter, so its side of the join is small by definition. All steps are
-DataFrame operations; the corpus itself is not shuffled.
+A block is any stretch of a text's words, WIDTH times as long as the template, wherever its lines break. It matches the template if
+it contains at least THRESHOLD of the template's distinct words. Tokens are put in one global order, rarest in the corpus first. A
+block that reaches `need` of a template's n tokens has one of the template's first n - need + 1 (prefix filter); so texts
+without a prefix token of any template go at once, and pairs of a text and a template without one. Texts must have `need`
+of the template's tokens at all (length filter). What is left are the places of the template's tokens: a block that starts at
+one must have need - 1 others after it within its length (positional filter), which are counted on whole sets. The table of
+templates is a fixed parameter, so its side of the join is small by definition. All steps are DataFrame operations; texts are not
+shuffled, and copies of a text are searched once.
 """
 
 from __future__ import annotations
@@ -19,26 +20,42 @@ from pyspark.sql import functions as F
 
 from .common import documents, lower_ascii, text_of, written
 
-THRESHOLD = 0.8
+THRESHOLD, WIDTH = 0.8, 1.5
 #: Words are runs of letters and digits of ASCII and of any other character.
 TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _TERM_ANY_CASE, _GAP = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 PHRASES = {"mit": ("mit", "license"), "apache": ("apache", "license"), "gpl": ("general", "public", "license")}
-#: Sentences of public licenses and usual short notices.
+#: Sentences of public licenses and usual short notices. What follows a hyphen after a label's name is a part or form
+#: of that license.
 TEMPLATES = {
+    "agpl": "licensed under the gnu affero general public license as published by the free software foundation",
     "all-rights-reserved": "all rights reserved",
     "apache": "licensed under the apache license version 2 0 you may not use this file except in compliance with the license",
+    "apache-terms": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
     "apache-short": "licensed under the apache license version 2 0",
+    "boost": "distributed under the boost software license version 1 0",
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+    "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     "cc-by": "licensed under cc by 4 0",
     "cc-by-nc": "licensed under cc by nc 4 0",
     "cc-by-sa": "licensed under cc by sa 4 0",
+    "cc0": "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
+    "epl": "this program and the accompanying materials are made available under the terms of the eclipse public license",
     "gpl": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
     "gpl-short": "this work is licensed under the gnu general public license version 3",
+    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "lgpl": "under the terms of the gnu lesser general public license as published by the free software foundation",
     "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction",
+    "mit-notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    "mit-warranty": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
     "mit-short": "released under the mit license",
     "mpl": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "unlicense": "this is free and unencumbered software released into the public domain",
+    "zlib": "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software",
 }
+#: Forms that are reported by their license's name alone.
+FORMS = ("binary", "notice", "short", "source", "terms", "warranty")
 
 
 def template_sets(templates: dict[str, str]) -> dict[str, list[str]]:
@@ -55,29 +72,37 @@ def ranked(texts: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     return {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
 
 
-def license_join(blocks: DataFrame, sets: dict[str, list[str]], order: dict[str, int], threshold: float = THRESHOLD, carry: tuple[str, ...] = ()) -> DataFrame:
-    """blocks: (key, block), lower case. Returns (key, block, label, n, containment): all pairs with containment of the
-    template's words in the block at or above the threshold. carry: `same`, for the words in common."""
-    spark = blocks.sparkSession
-    index, prefix = [], set()
-    for label, words in sets.items():
-        by_rank = sorted(words, key=order.__getitem__)
+def any_of(words: set[str]) -> str:
+    """A pattern that finds any of the words, as words."""
+    return rf"(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F])(?:{'|'.join(sorted(words))})(?![^\x00-\x2F\x3A-\x60\x7B-\x7F])"
+
+
+def prefix_index(templates: dict[str, str], order: dict[str, int], threshold: float = THRESHOLD) -> list[tuple]:
+    """(w, label, n, need, width, prefix) for each distinct word of each template."""
+    out = []
+    for label, words in template_sets(templates).items():
         need = ceil(threshold * len(words) - 1e-9)
-        first = by_rank[: len(words) - need + 1]
-        prefix.update(first)
-        index += [(w, at, label, len(words), need, by_rank) for at, w in enumerate(first)]
-    templates = spark.createDataFrame(index, "w string, at int, label string, n int, need int, words array<string>")
-    any_prefix = rf"(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F])(?:{'|'.join(sorted(prefix))})(?![^\x00-\x2F\x3A-\x60\x7B-\x7F])"
-    terms = spark.createDataFrame(sorted((w, i) for w, i in order.items()), "w string, rank int")
-    rare = blocks.where(F.col("block").rlike(any_prefix)).distinct()
-    told = rare.select("key", "block", F.explode(F.array_distinct(F.regexp_extract_all("block", F.lit(TERM), F.lit(0)))).alias("w"))
-    told = told.join(F.broadcast(terms), "w")  # bounded by the templates
-    told = told.groupBy("key", "block").agg(F.array_sort(F.collect_list(F.struct("rank", "w"))).alias("b"))
-    told = told.select("key", "block", F.col("b.w").alias("b"), F.posexplode("b.w").alias("j", "w"))
-    pairs = told.join(F.broadcast(templates), "w").where((F.size("b") >= F.col("need")) & (1 + F.least(F.col("n") - F.col("at") - 1, F.size("b") - F.col("j") - 1) >= F.col("need")))
-    pairs = pairs.withColumn("same", F.array_intersect("b", "words"))
-    common = F.size("same")
-    return pairs.dropDuplicates(["key", "block", "label"]).where(common >= F.col("need")).select("key", "block", "label", "n", (common / F.col("n")).alias("containment"), *carry)
+        first = set(sorted(words, key=order.__getitem__)[: len(words) - need + 1])
+        width = ceil(WIDTH * len(re.findall(TERM, templates[label])))
+        out += [(w, label, len(words), need, width, w in first) for w in words]
+    return out
+
+
+def license_join(texts: DataFrame, index: list[tuple]) -> DataFrame:
+    """texts: (key, hits: array of (pos, w), the places of words of templates), a row a key. Returns (key, label, n, start, width,
+    containment, same: the words in common), for each pair of a text and a template that has a block at or above the threshold the
+    best such block, the first among equals."""
+    widest = max(x[4] for x in index)
+    templates = texts.sparkSession.createDataFrame(index, "w string, label string, n int, need int, width int, prefix boolean")
+    met = texts.select("key", F.explode("hits").alias("h")).select("key", "h.pos", "h.w").join(F.broadcast(templates), "w")  # bounded by the templates
+    pairs = met.groupBy("key", "label", "n", "need", "width").agg(F.collect_set("w").alias("have"), F.max("prefix").alias("prefix"), F.collect_list(F.struct("pos", "w")).alias("hits"))
+    pairs = pairs.where(F.col("prefix") & (F.size("have") >= F.col("need")))
+    places = pairs.select("key", "label", "n", "need", "width", F.explode("hits").alias("h")).select("key", "label", "n", "need", "width", "h.pos", "h.w")
+    # a block is one unit long when places are divided by its width
+    block = f"PARTITION BY key, label ORDER BY pos / width RANGE BETWEEN CURRENT ROW AND {1 - 0.5 / widest}D FOLLOWING"
+    blocks = places.withColumn("same", F.expr(f"collect_set(w) OVER ({block})")).where(F.size("same") >= F.col("need"))
+    best = blocks.groupBy("key", "label", "n", "width").agg(F.max(F.struct(F.size("same").alias("k"), (-F.col("pos")).alias("at"), F.array_sort("same").alias("same"))).alias("b"))
+    return best.select("key", "label", "n", (-F.col("b.at")).alias("start"), "width", (F.col("b.k") / F.col("n")).alias("containment"), F.col("b.same").alias("same"))
 
 
 def _at(words: Column, phrase: tuple[str, ...]) -> Column:
@@ -95,32 +120,37 @@ def _all(tests: list[Column]) -> Column:
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """A row for each row of docs: doc_id, n_words, starts: map of phrase label to array of word places, matches: array of
-    (label, containment) of the templates of each matching block, score.
+    (label, containment, start), start being the word at which the template's best block begins, score.
 
-    Blocks are the lines of a text. Of a block's templates one goes if its words in the block are all among those of a better
-    one: of higher containment, then with more words, then later by name. score: 1 with a phrase, else the highest containment reported, else 0. A null text counts
-    as empty: no words, nothing found. Repeats and nulls of doc_id stay as they are; an empty table gives an empty result.
+    Of a text's templates one goes if its words in its block are all among those of a better one whose block overlaps it: of higher
+    containment, then with more words, then later by name. score: 1 with a phrase, else the highest containment reported, else
+    0. A null text counts as empty: no words, nothing found. Repeats and nulls of doc_id stay as they are; an empty table gives an
+    empty result. Other columns of docs are not read.
     """
-    sets = template_sets(TEMPLATES if templates is None else templates)
+    templates = TEMPLATES if templates is None else templates
+    vocabulary = sorted({w for s in template_sets(templates).values() for w in s})
     texts = docs.select(lower_ascii(text_of(text_col)).alias("t"))
-    order = ranked(texts, sorted({w for s in sets.values() for w in s})) if sets else {}
-    none = "array<struct<label:string,containment:double>>"
+    index = prefix_index(templates, ranked(texts, vocabulary), threshold) if vocabulary else []
     # hits belong to a text, and all rows with that text share them
-    phrase = "|".join(_GAP.join(p) for p in PHRASES.values())
-    text = F.col("t")
-    words = F.when(text.rlike(phrase), F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))
-    rows = docs.select(F.col(id_col).alias("doc_id"), lower_ascii(text_of(text_col)).alias("t")).select("doc_id", F.regexp_count(text, F.lit(TERM)).cast("long").alias("n_words"), words.alias("w"), F.sha2("t", 256).alias("key"))
-    starts = F.create_map(*[x for label, p in PHRASES.items() for x in (F.lit(label), F.when(F.col("w").isNotNull(), _at(F.col("w"), p)).otherwise(F.array().cast("array<int>")))])
-    rows = rows.select("doc_id", "n_words", starts.alias("starts"), "key")
-    if sets:
-        blocks = texts.select(F.sha2("t", 256).alias("key"), F.explode(F.split("t", "\n")).alias("block"))
-        found = license_join(blocks, sets, order, threshold, carry=("same",))
+    text, phrase = F.col("t"), "|".join(_GAP.join(p) for p in PHRASES.values())
+    rare = text.rlike(any_of({x[0] for x in index if x[5]})) if index else F.lit(False)
+    rows = docs.select(F.col(id_col).alias("doc_id"), lower_ascii(text_of(text_col)).alias("t"))
+    rows = rows.select("doc_id", F.regexp_count(text, F.lit(TERM)).cast("long").alias("n_words"), F.sha2("t", 256).alias("key"), rare.alias("rare"), F.when(text.rlike(phrase) | rare, F.regexp_extract_all(text, F.lit(TERM), F.lit(0))).alias("w"))
+    starts = F.create_map(*[x for label, p in PHRASES.items() for x in (F.lit(label), F.when(F.col("w").isNotNull() & (F.size("w") > 0), _at(F.col("w"), p)).otherwise(F.array().cast("array<int>")))])
+    of_templates = F.array(*map(F.lit, vocabulary)) if vocabulary else F.array().cast("array<string>")
+    hits = F.filter(F.transform("w", lambda x, i: F.struct(i.alias("pos"), x.alias("w"))), lambda h: F.array_contains(of_templates, h["w"]))
+    rows = rows.select("doc_id", "n_words", "key", starts.alias("starts"), F.when(F.col("rare"), hits).alias("hits"))
+    none = "array<struct<label:string,containment:double,start:int>>"
+    if index:
+        rows = written(rows, "license-rows")
+        found = license_join(rows.where("hits IS NOT NULL").dropDuplicates(["key"]).select("key", "hits"), index)
         rank = lambda x: F.struct(x["containment"], x["n"], x["label"])
-        within = lambda x, y: (rank(y) > rank(x)) & (F.size(F.array_except(x["same"], y["same"])) == 0)
-        all_ = found.groupBy("key", "block").agg(F.collect_list(F.struct("containment", "n", "label", "same")).alias("ms"))
-        best = all_.select("key", F.explode(F.filter("ms", lambda x: ~F.exists("ms", lambda y: within(x, y)))).alias("m"))
-        hits = written(best.groupBy("key").agg(F.array_sort(F.collect_set(F.struct(F.col("m.label").alias("label"), F.col("m.containment").alias("containment")))).alias("matches")), "license-hits")
-        rows = rows.join(hits, "key", "left")  # one row a text on the right; AQE splits a hot text's partition
+        over = lambda x, y: (x["start"] < y["start"] + y["width"]) & (y["start"] < x["start"] + x["width"])
+        within = lambda x, y: (rank(y) > rank(x)) & over(x, y) & (F.size(F.array_except(x["same"], y["same"])) == 0)
+        all_ = found.groupBy("key").agg(F.collect_list(F.struct("containment", "n", "label", "start", "width", "same")).alias("ms"))  # one a template at most
+        best = F.filter("ms", lambda x: ~F.exists("ms", lambda y: within(x, y)))
+        told = all_.select("key", F.array_sort(F.transform(best, lambda x: F.struct(x["label"].alias("label"), x["containment"].alias("containment"), x["start"].alias("start")))).alias("matches"))
+        rows = rows.drop("hits").join(written(told, "license-hits"), "key", "left")  # one row a text on the right; AQE splits a hot text's partition
     else:
         rows = rows.withColumn("matches", F.lit(None).cast(none))
     rows = rows.withColumn("matches", F.coalesce("matches", F.array().cast(none)))
@@ -132,7 +162,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = F.flatten(F.map_values("starts"))
     base = F.map_keys(F.map_filter("starts", lambda _, a: F.size(a) > 0))
-    family = F.transform("matches", lambda m: F.regexp_replace(m["label"], "-short$", ""))
+    family = F.transform("matches", lambda m: F.regexp_replace(m["label"], f"-({'|'.join(FORMS)})$", ""))
     line = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
     return license_scan(documents(spark, sf_dir)).select(
         "doc_id", "n_words", F.size(places).cast("long").alias("n_base"), F.array_min(places).cast("long").alias("first_word"), F.array_max(places).cast("long").alias("last_word"),
@@ -141,19 +171,26 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    sets = template_sets(TEMPLATES)
-    values = ", ".join(f"('{k}', {v}, {ceil(THRESHOLD * len(v) - 1e-9)})" for k, v in sets.items())
+    order = {w: 0 for s in template_sets(TEMPLATES).values() for w in s}  # any order finds the same
+    index = prefix_index(TEMPLATES, order)
+    values = ", ".join(f"('{w}', '{label}', {n}, {need}, {width})" for w, label, n, need, width, _ in index)
     starts = " || ".join(f"list_transform(list_filter(range(len(w)), lambda i: {' AND '.join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(p))}), lambda i: {{'label': '{label}', 'at': i}})" for label, p in PHRASES.items())
+    family = f"regexp_replace(x.label, '-({'|'.join(FORMS)})$', '')"
     return f"""
 WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 w AS (SELECT doc_id, regexp_extract_all(t, '{TERM}') AS w FROM t),
 p AS (SELECT doc_id, len(w) AS n_words, {starts} AS p FROM w),
-l(label, words, need) AS (VALUES {values}),
-b AS (SELECT DISTINCT doc_id, unnest(string_split(t, chr(10))) AS block FROM t),
-c AS (SELECT doc_id, block, list_distinct(regexp_extract_all(block, '{TERM}')) AS w FROM b),
-j AS (SELECT doc_id, block, label, len(words) AS n, len(list_intersect(words, w)) AS same FROM c, l WHERE len(list_intersect(words, w)) >= need),
-m AS (SELECT doc_id, block, arg_max(label, (same::DOUBLE / n, n, label)) AS label, max(same::DOUBLE / n) AS containment FROM j GROUP BY doc_id, block),
-g AS (SELECT doc_id, list(regexp_replace(label, '-short$', '')) AS labels, max(containment) AS best FROM m GROUP BY doc_id)
+l(word, label, n, need, width) AS (VALUES {values}),
+h AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM w),
+j AS (SELECT doc_id, label, n, need, width, pos, word FROM h JOIN l USING (word)),
+e AS (SELECT doc_id, label FROM j GROUP BY doc_id, label, need HAVING count(DISTINCT word) >= need),
+k AS (SELECT j.* FROM j SEMI JOIN e USING (doc_id, label)),
+b AS (SELECT a.doc_id, a.label, a.n, a.width, a.pos AS start, count(DISTINCT b.word) AS k, list_sort(list(DISTINCT b.word)) AS same FROM k a JOIN k b
+  ON a.doc_id = b.doc_id AND a.label = b.label AND b.pos BETWEEN a.pos AND a.pos + a.width - 1 GROUP BY a.doc_id, a.label, a.n, a.width, a.need, a.pos HAVING count(DISTINCT b.word) >= a.need),
+m AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY doc_id, label ORDER BY k DESC, start) = 1),
+f AS (SELECT * FROM m x WHERE NOT EXISTS (SELECT 1 FROM m y WHERE x.doc_id = y.doc_id AND (y.k::DOUBLE / y.n, y.n, y.label) > (x.k::DOUBLE / x.n, x.n, x.label)
+  AND x.start < y.start + y.width AND y.start < x.start + x.width AND list_has_all(y.same, x.same))),
+g AS (SELECT doc_id, list({family}) AS labels, max(k::DOUBLE / n) AS best FROM f x GROUP BY doc_id)
 SELECT p.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(p) AS BIGINT) AS n_base,
   CAST(list_min(list_transform(p, lambda x: x.at)) AS BIGINT) AS first_word, CAST(list_max(list_transform(p, lambda x: x.at)) AS BIGINT) AS last_word,
   coalesce(array_to_string(list_sort(list_distinct(list_transform(p, lambda x: x.label))), ','), '') AS base_labels,
