@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, text_of, written
+from .common import LOWER, UPPER, WORD, documents, small_batches, text_of, written
 from .kernel import U, mix, sums_by_text, text_batches, words
 
 #: Base rules: fewest words, and most per cent of words in repeated windows of WINDOW words.
@@ -116,6 +116,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     A null text counts as empty, which fails the base rules; null hosts are one host; repeats and nulls of doc_id stay
     as they are; an empty table gives an empty result. In a host of min_docs documents or fewer nothing is removed.
     """
+    small_batches(docs.sparkSession)
     rows = written(measured(docs, id_col, text_col, host_col), "quality-lines")
     common = written(common_lines(rows, min_docs, share), "quality-common")
     told = rows.join(common, F.col("host").eqNullSafe(F.col("h")), "left")
@@ -130,3 +131,26 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir))
+
+
+#: Lines as they are: the SQL compares normalised lines and whole texts, where the operator compares their hashes.
+OP7_SQL = f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, regexp_extract_all(t, '{WORD}') AS w FROM t),
+g AS (SELECT r, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM w WHERE len(w) >= {WINDOW})),
+h AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+rep AS (SELECT r, count(DISTINCT i + k) AS n FROM h, (SELECT unnest(range({WINDOW})) AS k) GROUP BY r),
+l AS (SELECT r, source, t, unnest(string_split(t, chr(10))) AS line FROM t),
+n AS (SELECT *, array_to_string(regexp_extract_all(translate(line, '{UPPER}', '{LOWER}'), '{WORD}'), ' ') AS norm, len(regexp_extract_all(line, '{WORD}')) AS k FROM l WHERE regexp_matches(line, '{WORD}')),
+dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM n GROUP BY r),
+o AS (SELECT source, count(DISTINCT t) AS docs FROM n GROUP BY source),
+c AS (SELECT f.source, norm FROM (SELECT source, norm, count(DISTINCT t) AS n FROM n GROUP BY source, norm) f JOIN o ON f.source IS NOT DISTINCT FROM o.source
+  WHERE f.n > {MIN_DOCS} AND f.n * 100 > o.docs * {SHARE}),
+gone AS (SELECT n.r, sum(k) AS k FROM n JOIN c ON n.source IS NOT DISTINCT FROM c.source AND n.norm = c.norm GROUP BY n.r),
+b AS (SELECT t.doc_id, len(w) AS n_words, len(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines,
+  coalesce(rep.n, 0) AS n_repeat_words, coalesce(gone.k, 0) AS n_removed FROM t JOIN w USING (r) LEFT JOIN dup USING (r) LEFT JOIN rep USING (r) LEFT JOIN gone USING (r)),
+v AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT} * n_words AS base_failed,
+  n_removed > 0 AND (n_words - n_removed < {MIN_WORDS} OR 100 * (n_words - n_removed) < {LEFT} * n_words) AS depleted FROM b)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, CAST(n_removed AS BIGINT) AS n_removed, depleted, NOT base_failed AND NOT depleted AS kept FROM v
+"""

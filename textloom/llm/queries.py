@@ -20,6 +20,7 @@ QUERIES = {
 ORACLES = {
     "op4_minhash": minhash.OP4_SQL,
     "op2_license_scan": license_scan.OP2_SQL,
+    "op7_quality_rules": quality.OP7_SQL,
     "op1_secret_scans": secrets.OP1_SQL,
     "op3_mixing": mixing.OP3_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
