@@ -147,15 +147,68 @@ def test_boilerplate_of_a_host_goes(spark):
 
 
 def test_boilerplate_of_articles_goes_and_open_text_stays(spark):
-    """Unmarked promos within <main>, and main text in <div>s beside a teaser; a headline named in menus stays."""
+    """Unmarked promos within <main> of most pages go, main text in <div>s beside a teaser stays; so do a headline named in menus, and
+    what few articles of a host have in common."""
     promo, teaser = "sign up today and get all of our best offers by mail every single week", "read our story of the year"
     own = lambda i, k: f"text {i} part {k} tells of things that number {i * 7 + k} alone has"
     nav = "<nav><a>text 0 part 0 tells of things that number 0 alone has</a></nav>"
     rows = [(i, f"http://h/{i}", f"{nav}<main><p>{own(i, 0)}</p><p>{promo}</p><p>{own(i, 1)}</p></main>") for i in range(4)]
     rows += [(10 + i, f"http://t/{i}", f"<article>{teaser}</article><div>{own(i, 2)}</div>") for i in range(4)]
     rows += [(20 + i, f"http://copy/{i}", f"<nav>{i}</nav><article>{own(9, 3)}</article>") for i in range(4)]
+    rows += [(30 + i, f"http://few/{i}", f"<article><p>{own(30 + i, 0)}</p>{f'<p>{promo}</p>' * (i < 4)}</article>") for i in range(9)]
     got = {r["page_id"]: (r["text"], r["n_removed"]) for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got == {**{i: (own(i, 0) + "\n" + own(i, 1), 15) for i in range(4)}, **{10 + i: (own(i, 2), 6) for i in range(4)}, **{20 + i: (own(9, 3), 0) for i in range(4)}}
+    want = {**{i: (own(i, 0) + "\n" + own(i, 1), 15) for i in range(4)}, **{10 + i: (own(i, 2), 6) for i in range(4)}, **{20 + i: (own(9, 3), 0) for i in range(4)}}
+    assert got == {**want, **{30 + i: (own(30 + i, 0) + ("\n" + promo) * (i < 4), 0) for i in range(9)}}
+
+
+def test_names_that_tell_of_articles_mark_nothing():
+    page = """<article><section class="related-work">A</section><div class="social-history">B</div><math>C</math><div class="has-sidebar">D</div><svg>E</svg>
+    <fieldset>F</fieldset><div class="ad-slot">x</div><div class="related-articles widget">x</div><p id="comments-2">x</p><dialog>x</dialog></article>"""
+    assert "".join(t for z, t in html_extract.blocks(page) if z == html_extract.ARTICLE).replace(" ", "") == "ABCDEF"
+
+
+def test_extraction_by_brute_force(spark, monkeypatch):
+    """Random pages of few words: every substring counted over all pages of the host, with parts of one page or many."""
+    for part in (500, 2):
+        monkeypatch.setattr(html_extract, "PART", part)
+        rng = random.Random(part)
+        rows, told = [], {}
+        lines = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 24))) for _ in range(60)]
+        for i in range(60):
+            host = f"h{i % 3}"
+            zones = [(rng.choice((html_extract.OPEN, html_extract.ARTICLE)), rng.choice(lines[: 12 + 20 * (i % 3)])) for _ in range(rng.randint(0, 5))]
+            page = "".join(f"<article>{t}</article>" if z else f"<div>{t}</div>" for z, t in zones)
+            rows.append((i, f"http://{host}/{i}", page + "<nav>menu</nav>"))
+            told[i] = (host, zones)
+        pages = collections.defaultdict(set)
+        distinct = collections.defaultdict(set)
+        for host, zones in told.values():
+            key = tuple(zones)
+            distinct[host].add(key)
+            for _, t in zones:
+                w = t.split()
+                for run in [tuple(w[k : k + 8]) for k in range(len(w) - 7)] or [tuple(w)]:
+                    pages[host, run, len(w) < 8].add(key)
+        want = {}
+        for i, (host, zones) in told.items():
+            text = []
+            for z, t in zones:
+                w, gone = t.split(), set()
+                for k in range(max(1, len(w) - 7)):
+                    n = len(pages[host, tuple(w[k : k + 8]), len(w) < 8])
+                    if n >= 3 and (z == html_extract.OPEN or 2 * n >= len(distinct[host])):
+                        gone.update(range(k, min(k + 8, len(w))))
+                text.append(" ".join(x for k, x in enumerate(w) if k not in gone))
+            want[i] = "\n".join(x for x in text if x)
+        got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert got == want and sum(t != "\n".join(x for _, x in told[i][1]) for i, t in got.items()) > 10
+
+
+def test_extraction_of_a_long_page(spark):
+    long = "".join(f"<p>{' '.join(f'w{i}x{k}' for k in range(50))}</p>" for i in range(4000))
+    rows = [(1, "http://h/1", f"<article>{long}</article>"), (1, "http://h/1", f"<article>{long}</article>"), (None, None, "<div>x")]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted(len(r["text"].split()) for r in got) == [1, 200_000, 200_000]
 
 
 def test_suffix_array_counts_pages():

@@ -57,37 +57,48 @@ def test_license_odd_and_empty(spark, odd, empty):
     assert license_scan.license_scan(empty).count() == 0
 
 
-def test_a_line_with_several_licenses_reports_all(spark):
+def test_several_licenses_of_a_text_are_reported(spark):
     bsd, mpl = (license_scan.TEMPLATES[k] for k in ("bsd", "mpl"))
     rows = [(1, f"{bsd} or {mpl} all rights reserved", None), (2, license_scan.TEMPLATES["cc-by-nc"], None)]
     got = {r["doc_id"]: {m["label"] for m in r["matches"]} for r in license_scan.license_scan(frame(spark, rows)).collect()}
     assert got == {1: {"bsd", "mpl", "all-rights-reserved"}, 2: {"cc-by-nc"}}
 
 
-def test_license_join_is_exact(spark, small):
-    """All pairs of blocks and templates at the threshold, by brute force."""
+def test_line_breaks_do_not_matter(spark):
+    """A template wrapped at any width, within other words, is found as it is on one line."""
+    words = license_scan.TEMPLATES["mit"].split()
+    wrapped = lambda k: "\n# ".join(" ".join(words[i : i + k]) for i in range(0, len(words), k))
+    rows = [(k, f"Some words before.\n\n{wrapped(k)}\n\nand others after it", None) for k in (3, 10, 40)]
+    got = {r["doc_id"]: (r["score"], [(m["label"], m["start"]) for m in r["matches"]]) for r in license_scan.license_scan(frame(spark, rows)).collect()}
+    assert got == dict.fromkeys((3, 10, 40), (1.0, [("mit", 3)]))
+
+
+def test_license_join_is_exact(spark):
+    """All pairs of texts and templates with a block at the threshold, by brute force over all blocks."""
     import random
-    import re
 
     rng = random.Random(5)
     sets = license_scan.template_sets(license_scan.TEMPLATES)
-    vocabulary = sorted({w for s in sets.values() for w in s}) + ["filler", "other"]
-    blocks = [(str(i), " ".join(rng.sample(vocabulary, rng.randint(0, 30)))) for i in range(60)]
-    for i, (label, text) in enumerate(license_scan.TEMPLATES.items()):
-        words = text.split()
+    vocabulary = sorted({w for s in sets.values() for w in s})
+    texts = [[rng.choice([*vocabulary, "filler", "other"]) for _ in range(rng.randint(0, 60))] for _ in range(40)]
+    for text in license_scan.TEMPLATES.values():
         for drop in range(4):
-            blocks.append((f"{label}{drop}", " ".join(w for k, w in enumerate(words) if k >= drop) + " more words"))
-    frame_ = spark.createDataFrame(blocks, "key string, block string")
-    order = {w: i for i, w in enumerate(rng.sample(vocabulary, len(vocabulary)))}
-    got = {(r["key"], r["label"], round(r["containment"], 9)) for r in license_scan.license_join(frame_, sets, order).collect()}
-    want = set()
-    for key, block in blocks:
-        have = set(re.findall(license_scan.TERM, block))
+            words = [w for k, w in enumerate(text.split()) if k >= drop and rng.random() > 0.1]
+            for _ in range(rng.randint(0, len(words))):
+                words.insert(rng.randint(0, len(words)), "filler")
+            texts.append(words)
+    rows = [(str(i), [(pos, w) for pos, w in enumerate(t) if w in vocabulary]) for i, t in enumerate(texts)]
+    index = license_scan.prefix_index(license_scan.TEMPLATES, {w: i for i, w in enumerate(rng.sample(vocabulary, len(vocabulary)))})
+    found = license_scan.license_join(spark.createDataFrame(rows, "key string, hits array<struct<pos:int,w:string>>"), index).collect()
+    got = {(r["key"], r["label"]): (round(r["containment"], 9), r["start"]) for r in found}
+    want = {}
+    for i, t in enumerate(texts):
         for label, s in sets.items():
-            share = len(have & set(s)) / len(s)
-            if share >= license_scan.THRESHOLD:
-                want.add((key, label, round(share, 9)))
-    assert got == want and len(want) > 20
+            width = next(x[4] for x in index if x[1] == label)
+            each = [(len(set(t[a : a + width]) & set(s)) / len(s), -a) for a in range(len(t)) if t[a] in s]
+            if each and max(each)[0] >= license_scan.THRESHOLD:
+                want[str(i), label] = (round(max(each)[0], 9), -max(each)[1])
+    assert got == want and len(want) > 40
 
 
 def test_mixing_odd_and_empty(spark, odd, empty):
