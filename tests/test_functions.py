@@ -5,9 +5,11 @@ from pyspark.sql import functions as F
 
 from textloom.functions import similarity as sm
 from textloom.functions import text as tx
+from textloom.operators import gate as gt
 from textloom.operators import language as lg
 from textloom.operators import ledger as ld
 from textloom.operators import passages as ps
+from textloom.plans import wider
 from textloom.sources import tables as io
 from textloom.streaming import events as st
 
@@ -96,10 +98,14 @@ def test_references(spark):
 
 
 def test_gate(spark):
-    reasons = lambda t: one(spark, t, lg.refusals(F.col("x")))
+    reasons = lambda t: one(spark, t, gt.reasons(F.col("x")))
     assert reasons("You must never do this") == ["NORMATIVE"]
     assert reasons("Two words") == ["TOO_SHORT"]
     assert reasons("The sky was blue that day") == []
+    for sentence, want in wider.EXAMPLES:
+        assert ",".join(reasons(sentence)) == want, sentence
+    assert one(spark, "Il pleut", gt.language_reasons(F.col("x"), F.lit("fr-FR"))) == ["LANGUAGE_UNSCREENED"]
+    assert one(spark, "Rain falls", gt.language_reasons(F.col("x"), F.lit(None).cast("string"))) == []
 
 
 def test_ledger(spark):

@@ -46,19 +46,21 @@ def walk(words: list[str], start: int, end: int, approved: str) -> tuple[int, in
 
 
 def seeds(docs: DataFrame, rend: DataFrame) -> DataFrame:
-    """(doc_id, item_id, start, end): stretches as long as the passage around each maximal run of SMALL_RUN words or more
-    that a pair shares, and windows that weighted words
-    point to."""
-    first = rend.where("edition = 0")
-    pairs = ps.word_pairs(docs, first.select("item_id", "text"))
-    at = ps.common_runs(pairs).where(F.col("run") >= ps.SMALL_RUN).join(pairs, ["doc_id", "item_id"])
-    begin = F.greatest(F.lit(0), F.col("i") - F.col("j"))
-    by_run = at.select("doc_id", "item_id", begin.cast("long").alias("start"), F.least(begin + F.size("pw"), F.size("dw")).cast("long").alias("end"))
-    size = 36
-    words = ps.lexical_top(ps.sliding_windows(docs, size, size // 3), ps.postings(rend), k=1)
-    by_words = words.where("score = 1").select("doc_id", "item_id", F.col("start").cast("long").alias("start"), (F.col("start") + size).cast("long").alias("end"))
-    near = ps.shared_runs(docs, first.select("item_id", "text"), ps.SMALL_RUN).select("doc_id", "item_id")
-    return by_run.unionByName(by_words.join(near, ["doc_id", "item_id"], "left_semi")).distinct()
+    """(doc_id, item_id, start, end): stretches as long as the passage around each maximal run of SMALL_RUN words or more that a
+    pair shares, and for these pairs windows of every size of the ladder, a third of it apart, that weighted words point to. A
+    quotation without SMALL_RUN words in a row of its passage is not found."""
+    first = rend.where("edition = 0").select("item_id", "text")
+    sizes = first.select("item_id", F.size(tx.tokens(F.col("text"))).alias("n"))
+    begin = F.greatest(F.lit(0), F.col("i") - F.col("j")).cast("long")
+    found = ps.common_runs(docs, first).join(sizes, "item_id").select("doc_id", "item_id", begin.alias("start"), (begin + F.col("n")).alias("end"))
+    near = found.select("doc_id", "item_id").distinct()
+    met, post = docs.join(near.select("doc_id").distinct(), "doc_id", "left_semi"), ps.postings(rend)
+    w = ps.words_of(met, "doc_id").where(F.size("w") > 0)
+    starts = lambda size: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - size), F.lit(max(1, size // 3))), lambda a: F.struct(a.alias("start"), F.lit(size).alias("size")))
+    windows = w.select("doc_id", "w", F.explode(F.concat(*map(starts, ps.WINDOWS))).alias("x")).select("doc_id", F.struct("x.start", "x.size").alias("start"), F.slice("w", F.col("x.start") + 1, F.col("x.size")).alias("words"))
+    top = ps.lexical_top(windows, post).join(near, ["doc_id", "item_id"], "left_semi")
+    by_words = top.select("doc_id", "item_id", F.col("start.start").cast("long").alias("start"), (F.col("start.start") + F.col("start.size")).cast("long").alias("end"))
+    return found.unionByName(by_words).distinct()
 
 
 def spans(docs: DataFrame, rend: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Sentences, the gate that refuses rewriting, readability, suggestions, and glossary terms in texts."""
+"""Sentences, readability, suggestions, and frequent phrases as terms in texts."""
 
 from __future__ import annotations
 
@@ -7,14 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 
-# Words by which a sentence is left as it is, by reason.
-REASONS = {
-    "ATTRIBUTION": r"(?i)\b(according to|narrated by|reported by|as stated in|quoted from|is said to)\b",
-    "NORMATIVE": r"(?i)\b(must|shall|should|ought|has to|have to|need to|needs to|may not|may only|obligatory|compulsory|mandatory|required|duty|forbidden|prohibited|permissible|impermissible|permitted|allowed|lawful|unlawful|ruling|rulings)\b",
-    "PREFERENCE": r"(?i)\b(it is better|better to|preferable|preferred|recommended|the best|superior to|greater than|takes precedence)\b",
-    "REFERENCE": r"(?i)(\[\s*[0-9]{1,3}\s*[:.]\s*[0-9]{1,3}\s*\]|\(\s*[0-9]{1,3}\s*[:.]\s*[0-9]{1,3}\s*\)|\bchapter\s+[0-9]{1,3})",
-    "CONDITIONAL": r"(?i)(^\s*(if|unless|when|whenever|whoever|provided)\b|,\s*(if|unless|provided)\b)",
-}
 TERMINATOR = r"([.!?؟۔।॥])\s+"
 #: Sentences of fewer words are refused; noun chains have this many long words in a row.
 TOO_SHORT, CHAIN, LONG_WORD = 4, 3, 6
@@ -27,14 +19,6 @@ def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return docs.select(id_col, F.posexplode(parts).alias("nth", "sentence"))
 
 
-def refusals(sentence: Column) -> Column:
-    """All reasons to leave a sentence as it is, in order of their names."""
-    found = [F.when(sentence.rlike(p), F.lit(name)) for name, p in sorted(REASONS.items())]
-    found.append(F.when(F.size(F.filter(F.split(sentence, r"\s+"), lambda w: w != "")) < TOO_SHORT, F.lit("TOO_SHORT")))
-    found.append(F.when(tx.latin_share(sentence) < 0.5, F.lit("UNSCREENED")))
-    return F.array_compact(F.array(*found))
-
-
 def readability(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_sentences, n_words, n_syllables, flesch): Flesch reading ease, null without words or below 0.9 Latin letters."""
     c = F.coalesce(F.col(text_col), F.lit(""))

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import similarity as sm
 from ..functions import text as tx
 
-#: Words of a run that makes a pair a candidate; windows and candidates of the lexical search.
+# Words of a run that makes a pair a candidate; windows and candidates of the lexical search; least inverse document
+# frequency of a word in the index; window sizes.
 RUN, SMALL_RUN, TOP, KEEP = 8, 4, 5, 0.4
-#: Least inverse document frequency of a word in the index.
 MIN_IDF = 2.0
 WINDOWS = (8, 12, 18, 26, 36, 50)
 
@@ -99,25 +99,34 @@ def coverage(docs: DataFrame, passages: DataFrame) -> DataFrame:
 
 
 def word_pairs(docs: DataFrame, passages: DataFrame, n: int = RUN) -> DataFrame:
-    """(doc_id, item_id, dw, pw): the words of pairs that share a run of n words."""
+    """(doc_id, item_id, dw, pw): the words of pairs that share a run of n words. Only documents of such pairs are read for their
+    words."""
     pairs = shared_runs(docs, passages, n).select("doc_id", "item_id")
-    return pairs.join(words_of(docs, "doc_id").withColumnRenamed("w", "dw"), "doc_id").join(words_of(passages, "item_id").withColumnRenamed("w", "pw"), "item_id")
+    met = docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
+    return pairs.join(words_of(met, "doc_id").withColumnRenamed("w", "dw"), "doc_id").join(words_of(passages, "item_id").withColumnRenamed("w", "pw"), "item_id")
 
 
-def common_runs(pairs: DataFrame) -> DataFrame:
-    """(doc_id, item_id, run, i, j): every maximal run of words in common and where it starts in the document and the passage.
-    Equal words lie on diagonals; consecutive ones on a diagonal are islands."""
-    d = pairs.select("doc_id", "item_id", F.posexplode("dw").alias("i", "x"))
-    p = pairs.select("doc_id", "item_id", F.posexplode("pw").alias("j", "x"))
-    hits = d.join(p, ["doc_id", "item_id", "x"]).withColumn("diag", F.col("i") - F.col("j"))
+def common_runs(docs: DataFrame, passages: DataFrame, n: int = SMALL_RUN) -> DataFrame:
+    """(doc_id, item_id, run, i, j): every maximal run of n words or more in common, and where it starts in the document and the
+    passage. Both sides are tokenised once; equal runs of n words meet with their places, lie on diagonals, and consecutive
+    ones on a diagonal are one longer run."""
+    runs = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, n), " "))
+    placed = lambda rows, key, at: words_of(rows, key).where(F.size("w") >= n).select(key, F.posexplode(runs).alias(at, "g"))
+    hits = placed(docs, "doc_id", "i").join(placed(passages, "item_id", "j"), "g").select("doc_id", "item_id", "i", "j", (F.col("i") - F.col("j")).alias("diag"))
     w = Window.partitionBy("doc_id", "item_id", "diag").orderBy("i")
     islands = hits.withColumn("isl", F.col("i") - F.row_number().over(w)).groupBy("doc_id", "item_id", "diag", "isl")
-    return islands.agg(F.count(F.lit(1)).alias("run"), F.min("i").alias("i"), F.min("j").alias("j")).select("doc_id", "item_id", "run", "i", "j")
+    return islands.agg((F.count(F.lit(1)) + (n - 1)).alias("run"), F.min("i").alias("i"), F.min("j").alias("j")).select("doc_id", "item_id", "run", "i", "j")
 
 
-def longest_run(pairs: DataFrame) -> DataFrame:
-    """(doc_id, item_id, run, doc_start, passage_start): the longest run of words in common, the earliest among equals."""
-    best = common_runs(pairs).groupBy("doc_id", "item_id").agg(F.max(F.struct("run", (-F.col("i")).alias("i"), (-F.col("j")).alias("j"))).alias("b"))
+def run_spans(docs: DataFrame, passages: DataFrame, n: int = SMALL_RUN) -> DataFrame:
+    """(doc_id, item_id, start, end): the document's words in each maximal run of n words or more in common with a passage."""
+    runs = common_runs(docs, passages, n)
+    return runs.select("doc_id", "item_id", F.col("i").cast("long").alias("start"), (F.col("i") + F.col("run")).alias("end"))
+
+
+def longest_run(docs: DataFrame, passages: DataFrame, n: int = RUN) -> DataFrame:
+    """(doc_id, item_id, run, doc_start, passage_start): the longest run of n words or more in common, the earliest among equals."""
+    best = common_runs(docs, passages, n).groupBy("doc_id", "item_id").agg(F.max(F.struct("run", (-F.col("i")).alias("i"), (-F.col("j")).alias("j"))).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.run").alias("run"), (-F.col("b.i")).cast("long").alias("doc_start"), (-F.col("b.j")).cast("long").alias("passage_start"))
 
 
@@ -169,16 +178,16 @@ def likeness(docs: DataFrame, rend: DataFrame) -> DataFrame:
 
 def quotations(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """(doc_id, item_id, quote): the stretch of the document where the longest common run lies, as long as the passage."""
-    pairs = word_pairs(docs, passages)
-    at = longest_run(pairs)
+    at = longest_run(docs, passages)
+    met = words_of(docs.join(at.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id").withColumnRenamed("w", "dw")
+    sizes = words_of(passages, "item_id").select("item_id", F.size("w").alias("n"))
     first = F.greatest(F.lit(0), F.col("doc_start") - F.col("passage_start"))
-    cut = F.slice("dw", first.cast("int") + 1, F.size("pw"))
-    return pairs.join(at, ["doc_id", "item_id"]).select("doc_id", "item_id", F.array_join(cut, " ").alias("quote"))
+    return at.join(met, "doc_id").join(sizes, "item_id").select("doc_id", "item_id", F.array_join(F.slice("dw", first.cast("int") + 1, F.col("n")), " ").alias("quote"))
 
 
 def ranked_editions(quotes: DataFrame, rend: DataFrame, score: str = "jaccard", keys: tuple[str, ...] = ("doc_id", "item_id")) -> DataFrame:
     """(keys, edition, score, place) of each rendering of a quotation's passage, best first, then by edition.
-    score: `jaccard`, all columns; or `sim`, the Arrow kernel, after a bound on lengths."""
+    score: `jaccard`, or `sim`, the Arrow kernel."""
     r = rend.select("item_id", "edition", tx.normalize(F.col("text")).alias("approved"))
     both = quotes.join(r, "item_id")
     a, b = F.split("quote", " "), F.split("approved", " ")
@@ -189,6 +198,23 @@ def ranked_editions(quotes: DataFrame, rend: DataFrame, score: str = "jaccard",
     return both.withColumn("place", place.cast("long")).select(*keys, "edition", "score", "place")
 
 
+def best_edition(quotes: DataFrame, rend: DataFrame, keys: tuple[str, ...] = ("doc_id", "item_id")) -> DataFrame:
+    """(keys, edition, score, n_compared): the rendering with the largest `sim`, the first among equals, with provable pruning. In
+    each quotation the rendering with the highest bound is compared in full; of the others only those whose bound reaches that
+    score are; n_compared counts those."""
+    r = rend.select("item_id", "edition", tx.normalize(F.col("text")).alias("approved"))
+    both = quotes.join(r, "item_id")
+    words = lambda c: F.array_distinct(F.split(c, " "))
+    both = both.withColumn("bound", sm.multiset_bound(F.col("quote"), F.col("approved"), sm.jaccard(words("quote"), words("approved"))))
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("bound"), "edition"))
+    ranked = both.withColumn("nth", first).withColumn("floor", F.when(F.col("nth") == 1, sm.sim(F.col("quote"), F.col("approved"))))
+    ranked = ranked.withColumn("floor", F.max("floor").over(Window.partitionBy(*keys)))
+    left = ranked.where((F.col("nth") == 1) | (F.col("bound") >= F.col("floor") - 1e-9))
+    scored = left.withColumn("score", F.when(F.col("nth") == 1, F.col("floor")).otherwise(sm.sim(F.col("quote"), F.col("approved"))))
+    best = scored.groupBy(*keys).agg(F.max(F.struct(F.round("score", 6).alias("score"), (-F.col("edition")).alias("e"))).alias("b"), F.count(F.lit(1)).alias("n_compared"))
+    return best.select(*keys, (-F.col("b.e")).alias("edition"), F.col("b.score").alias("score"), "n_compared")
+
+
 def attributed(ranked: DataFrame, keys: tuple[str, ...] = ("doc_id", "item_id")) -> DataFrame:
     """One row a quotation: the best edition (none if the state is UNATTRIBUTED), the state, and the next three."""
     later = F.sort_array(F.collect_list(F.when(F.col("place").between(2, 4), F.struct("place", "edition", "score"))))
@@ -199,8 +225,8 @@ def attributed(ranked: DataFrame, keys: tuple[str, ...] = ("doc_id", "item_id"))
 
 
 def verdicts(docs: DataFrame, findings: DataFrame) -> DataFrame:
-    """One row a document: findings by state, and the verdict: REFER if any finding is not MATCH, CLEAR without any or if
-    all are. findings: (doc_id, item_id, state)."""
+    """One row a document: findings by state, and the verdict: REFER if any finding is not MATCH, CLEAR if all are, NO_QUOTES
+    without any. findings: (doc_id, item_id, state)."""
     counts = findings.groupBy("doc_id").agg(*[F.count(F.when(F.col("state") == s, 1)).alias(s.lower()) for s in ("MATCH", "NEAR", "UNATTRIBUTED")], F.array_join(F.slice(F.sort_array(F.collect_set("item_id")), 1, 5), ",").alias("refs"))
     rows = docs.select("doc_id").join(counts, "doc_id", "left").na.fill(0, ["match", "near", "unattributed"]).na.fill("", ["refs"])
     verdict = F.when(F.col("near") + F.col("unattributed") > 0, "REFER").when(F.col("match") > 0, "CLEAR").otherwise("NO_QUOTES")

@@ -60,7 +60,11 @@ pg{n} AS (SELECT item_id, len(gs) AS of_passage, unnest(gs) AS g FROM (SELECT it
 sh{n} AS (SELECT doc_id, item_id, count(*) AS shared, any_value(of_passage) AS of_passage FROM dg{n} JOIN pg{n} USING (g) GROUP BY doc_id, item_id)"""
 
 
-_PAIRS = f"WITH {_DW}, {_PW}, {_runs(ps.RUN)}, pairs AS (SELECT doc_id, item_id, dw.w AS dw, pw.w AS pw FROM sh{ps.RUN} JOIN dw USING (doc_id) JOIN pw USING (item_id))"
+def _pairs(n: int) -> str:
+    return f"WITH {_DW}, {_PW}, {_runs(n)}, pairs AS (SELECT doc_id, item_id, dw.w AS dw, pw.w AS pw FROM sh{n} JOIN dw USING (doc_id) JOIN pw USING (item_id))"
+
+
+_PAIRS = _pairs(ps.RUN)
 _ISLANDS = """h AS (SELECT doc_id, item_id, i, j, i - j AS diag FROM (SELECT doc_id, item_id, unnest(dw) AS x, generate_subscripts(dw, 1) - 1 AS i FROM pairs) d
   JOIN (SELECT doc_id, item_id, unnest(pw) AS x, generate_subscripts(pw, 1) - 1 AS j FROM pairs) p USING (doc_id, item_id, x)),
 isl AS (SELECT doc_id, item_id, diag, isl, count(*) AS run, min(i) AS i, min(j) AS j FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, diag ORDER BY i) AS isl FROM h) GROUP BY doc_id, item_id, diag, isl),
@@ -170,7 +174,7 @@ def multiset_bounds(s, d):
 
 @query(f"{_PAIRS}, {_ISLANDS} SELECT doc_id, item_id, run, CAST(doc_start AS BIGINT) AS doc_start, CAST(passage_start AS BIGINT) AS passage_start FROM best")
 def longest_common_run(s, d):
-    return ps.longest_run(ps.word_pairs(_docs(s, d), _passages(s, d)))
+    return ps.longest_run(_docs(s, d), _passages(s, d))
 
 
 @query(f"""{_PAIRS}, v AS (SELECT doc_id, item_id, unnest(list_transform(dw, lambda x: CASE WHEN list_contains(pw, x) THEN 1 ELSE -2 END)) AS v, generate_subscripts(dw, 1) AS i FROM pairs),
@@ -199,6 +203,12 @@ def sim_exact(s, d):
     return ps.ranked_editions(ps.quotations(_docs(s, d), _passages(s, d)), _rend(s, d), "sim")
 
 
+@query()
+def best_renderings(s, d):
+    """Each quotation's best rendering by the sequence ratio, those compared in full that a bound does not rule out."""
+    return ps.best_edition(ps.quotations(_docs(s, d), _passages(s, d)), _rend(s, d)).drop("n_compared")
+
+
 @query()
 def word_diffs(s, d):
     r = _rend(s, d)
@@ -337,13 +347,7 @@ _HITS = f"hits AS (SELECT doc_id, item_id, i AS start, i + run AS \"end\", run F
 
 def _run_spans(s, d) -> DataFrame:
     """Runs of SMALL_RUN words or more that documents and passages have in common."""
-    pairs = ps.word_pairs(_docs(s, d), _passages(s, d))
-    from pyspark.sql import Window
-
-    hits = pairs.select("doc_id", "item_id", F.posexplode("dw").alias("i", "x")).join(pairs.select("doc_id", "item_id", F.posexplode("pw").alias("j", "x")), ["doc_id", "item_id", "x"]).withColumn("diag", F.col("i") - F.col("j"))
-    isl = hits.withColumn("isl", F.col("i") - F.row_number().over(Window.partitionBy("doc_id", "item_id", "diag").orderBy("i")))
-    runs = isl.groupBy("doc_id", "item_id", "diag", "isl").agg(F.count(F.lit(1)).alias("run"), F.min("i").cast("long").alias("start")).where(F.col("run") >= ps.SMALL_RUN)
-    return runs.select("doc_id", "item_id", "start", (F.col("start") + F.col("run")).alias("end"))
+    return ps.run_spans(_docs(s, d), _passages(s, d))
 
 
 def _merge_sql(gap: int, keys: str) -> str:
@@ -352,12 +356,12 @@ m1 AS (SELECT *, sum(CASE WHEN far IS NULL OR start > far + {gap} THEN 1 ELSE 0
 SELECT {keys}, CAST(min(start) AS BIGINT) AS start, CAST(max("end") AS BIGINT) AS "end", count(*) AS n FROM m1 GROUP BY {keys}, g"""
 
 
-@query(f"{_PAIRS}, {_ISLANDS}, {_HITS}, {_merge_sql(5, 'doc_id, item_id')}")
+@query(f"{_pairs(ps.SMALL_RUN)}, {_ISLANDS}, {_HITS}, {_merge_sql(5, 'doc_id, item_id')}")
 def merge_fragments(s, d):
     return ps.merged_intervals(_run_spans(s, d), ["doc_id", "item_id"], 5)
 
 
-@query(f"{_PAIRS}, {_ISLANDS}, {_HITS}, {_merge_sql(0, 'doc_id')}")
+@query(f"{_pairs(ps.SMALL_RUN)}, {_ISLANDS}, {_HITS}, {_merge_sql(0, 'doc_id')}")
 def interval_merge(s, d):
     return ps.merged_intervals(_run_spans(s, d), ["doc_id"])
 
@@ -367,7 +371,7 @@ def overlap_greedy(s, d):
     return ps.resolve_overlaps(_run_spans(s, d).withColumn("score", (F.col("end") - F.col("start")).cast("double")))
 
 
-@query(f"""{_PAIRS}, {_ISLANDS}, {_HITS}, m AS (SELECT doc_id, sum(n) AS covered FROM (SELECT doc_id, max("end") - min(start) AS n FROM (SELECT *, sum(CASE WHEN far IS NULL OR start > far THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS g
+@query(f"""{_pairs(ps.SMALL_RUN)}, {_ISLANDS}, {_HITS}, m AS (SELECT doc_id, sum(n) AS covered FROM (SELECT doc_id, max("end") - min(start) AS n FROM (SELECT *, sum(CASE WHEN far IS NULL OR start > far THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS g
  FROM (SELECT *, max("end") OVER (PARTITION BY doc_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM hits)) GROUP BY doc_id, g) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) - covered AS BIGINT) AS extra, len(w) - covered >= 3 AS flagged FROM m JOIN dw USING (doc_id)""")
 def extra_words(s, d):
@@ -411,22 +415,6 @@ def bad_reference(s, d):
 # --- language ------------------------------------------------------------------------------------------------------------
 
 
-@query()
-def lexical_gate_reasons(s, d):
-    return lg.sentences(_docs(s, d)).select("doc_id", "nth", F.array_join(lg.refusals(F.col("sentence")), ",").alias("reasons"))
-
-
-_GATE = f"""{_SENT}, gate AS (SELECT doc_id, list_filter([{', '.join(f"CASE WHEN regexp_matches(sentence, '{p}') THEN '{n}' END" for n, p in sorted(lg.REASONS.items()))},
-CASE WHEN len(list_filter(regexp_split_to_array(sentence, '\\s+'), lambda w: w <> '')) < {lg.TOO_SHORT} THEN 'TOO_SHORT' END,
-CASE WHEN 2 * len(regexp_extract_all(sentence, '\\p{{Latin}}')) < len(regexp_extract_all(sentence, '\\p{{L}}')) OR len(regexp_extract_all(sentence, '\\p{{L}}')) = 0 THEN 'UNSCREENED' END], lambda x: x IS NOT NULL) AS reasons FROM sent)"""
-
-
-@query(f"WITH {_GATE} SELECT reason, count(*) AS n FROM (SELECT unnest(CASE WHEN len(reasons) = 0 THEN ['OPEN'] ELSE reasons END) AS reason FROM gate) GROUP BY reason")
-def gate_counts(s, d):
-    reasons = lg.refusals(F.col("sentence"))
-    return lg.sentences(_docs(s, d)).select(reasons.alias("r")).select(F.explode(F.when(F.size("r") == 0, F.array(F.lit("OPEN"))).otherwise(F.col("r"))).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(rf"""WITH {_SENT}, w AS (SELECT doc_id, nth, unnest(regexp_extract_all(sentence, '[\p{{L}}]+')) AS w, generate_subscripts(regexp_extract_all(sentence, '[\p{{L}}]+'), 1) AS i FROM sent),
 l AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, nth ORDER BY i) AS isl FROM w WHERE length(w) >= {lg.LONG_WORD}), r AS (SELECT doc_id, nth, count(*) AS run FROM l GROUP BY doc_id, nth, isl HAVING count(*) >= {lg.CHAIN})
 SELECT doc_id, CAST(nth AS INTEGER) AS nth, count(*) AS chains, max(run) AS longest FROM r GROUP BY doc_id, nth""")
@@ -457,7 +445,7 @@ def first_use_gloss(s, d):
     return lg.first_uses(phrase_hits(s, d))
 
 
-@query(f"""{_PAIRS}, {_ISLANDS}, {_HITS} SELECT doc_id, item_id, CAST(start AS BIGINT) AS start, CAST("end" AS BIGINT) AS "end" FROM hits a WHERE NOT EXISTS (SELECT 1 FROM hits b WHERE b.doc_id = a.doc_id AND b.start <= a.start AND b."end" >= a."end" AND b."end" - b.start > a."end" - a.start)""")
+@query(f"""{_pairs(ps.SMALL_RUN)}, {_ISLANDS}, {_HITS} SELECT doc_id, item_id, CAST(start AS BIGINT) AS start, CAST("end" AS BIGINT) AS "end" FROM hits a WHERE NOT EXISTS (SELECT 1 FROM hits b WHERE b.doc_id = a.doc_id AND b.start <= a.start AND b."end" >= a."end" AND b."end" - b.start > a."end" - a.start)""")
 def outermost_hits(s, d):
     return lg.outermost(_run_spans(s, d))
 

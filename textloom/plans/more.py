@@ -184,7 +184,7 @@ def lines_with_theme(s, d):
     return rows.select("doc_id", "i", F.sha2("line", 256).alias("line"), theme.alias("theme"))
 
 
-@query(f"""{c._PAIRS}, {c._ISLANDS}, {c._HITS}, m0 AS (SELECT *, max("end") OVER (PARTITION BY doc_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM hits),
+@query(f"""{c._pairs(ps.SMALL_RUN)}, {c._ISLANDS}, {c._HITS}, m0 AS (SELECT *, max("end") OVER (PARTITION BY doc_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM hits),
 m1 AS (SELECT *, sum(CASE WHEN far IS NULL OR start > far THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start, "end" ROWS UNBOUNDED PRECEDING) AS g FROM m0), m AS (SELECT doc_id, min(start) AS a, max("end") AS b FROM m1 GROUP BY doc_id, g),
 gap AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS start, a AS "end" FROM m UNION ALL SELECT doc_id, max(b), any_value(len(w)) FROM m JOIN dw USING (doc_id) GROUP BY doc_id)
 SELECT doc_id, CAST(start AS BIGINT) AS start, CAST("end" AS BIGINT) AS "end" FROM gap WHERE "end" > start QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY "end" - start DESC, start) = 1""")

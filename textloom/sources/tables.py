@@ -9,8 +9,19 @@ from pyspark.sql import functions as F
 EDITION_DUMP = "book_id int, title string, language string, locale string, direction string, source string, version string, passages array<struct<chapter:int,verse:int,text:string>>"
 
 
+#: Tables of texts, of which a row is much work.
+TEXTS = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in TEXTS else rows
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt anew if their files are split in fewer partitions than there are cores; a large table is left as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def edition_dumps(spark: SparkSession, path: str) -> DataFrame:
