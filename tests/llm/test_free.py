@@ -373,6 +373,20 @@ def test_katz_by_brute_force(spark, texts):
         assert math.isclose(r["base_score"], sum(math.log10((one[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), rel_tol=1e-9)
 
 
+def test_katz_model_is_stored(spark, texts, tmp_path):
+    """Texts scored from the stored tables have the scores that they have when held out from training."""
+    store = f"file://{tmp_path}/model"
+    docs = frame(spark, [(d, t, None) for d, t in texts])
+    got = {r["doc_id"]: r for r in katz.katz_scores(docs, store=store).collect()}
+    again = katz.score_with(store, docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0)).collect()
+    assert len(again) > 10 and all(r["held_out"] for r in again)
+    for r in again:
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == tuple(got[r["doc_id"]][c] for c in ("n_tokens", "n_known", "train_tokens"))
+        assert math.isclose(r["score"], got[r["doc_id"]]["score"], rel_tol=1e-9) and math.isclose(r["base_score"], got[r["doc_id"]]["base_score"], rel_tol=1e-9)
+    rows = spark.read.parquet(f"{store}/ngrams").collect()
+    assert rows and all(r["chunk"] == katz.TABLE and r["keys"] for r in rows)
+
+
 def test_katz_odd_and_empty(spark, odd, empty):
     rows = katz.katz_scores(odd).collect()
     assert len(rows) == 10 and all(math.isfinite(r["score"]) for r in rows)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import shutil
 import tempfile
 import uuid
@@ -89,6 +90,12 @@ def drop_written(table: DataFrame) -> None:
         remove(table.sparkSession, table.textloom_path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that have ended and that nothing refers to, so that they do not add up."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession) -> None:
     """Let the session hand Python at most ARROW_BYTES a batch (results do not depend on it, and a lower bound stays)."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

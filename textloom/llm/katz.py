@@ -1,5 +1,8 @@
 """Language-model scoring with Katz backoff: bigrams, then unigrams, then one class for unknown words.
 
+The model is a folder of partitioned tables: n-grams with their counts by order and range of key, and for each context the sums
+that its backoff weight is made of. Texts are scored from them as they are built, or later by score_with(), without training again.
+
 Counts are discounted by Good-Turing; the mass left in a context goes to words not seen there, by their unigram
 probability, with a weight that makes the context's probabilities sum to exactly one.
 
@@ -23,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import conf, documents, text_of, written
+from .common import conf, documents, release, remove, scratch, small_batches, text_of, work_path, written
 from .kernel import U, mix, text_batches, words
 
 #: Tokens a chunk holds at least, unless its task has no more, and keys a range is to hold, about.
@@ -134,12 +137,19 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, held: Column) -> DataFra
 
 
 _ASKED = pa.schema([("kind", pa.int32()), ("range", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
-_TOLD = "chunk bigint, kind int, range bigint, totals binary, owned binary, types bigint, n bigint, " + ", ".join(f"r{r} bigint" for r in range(1, K + 2))
+_TOLD = "chunk bigint, kind int, range bigint, keys binary, totals binary, owned binary, types bigint, n bigint, " + ", ".join(f"r{r} bigint" for r in range(1, K + 2))
+
+
+#: The chunk that rows of the model's tables have.
+TABLE = -1
 
 
-def counts(held: DataFrame, ranges: int) -> DataFrame:
+def counts(held: DataFrame, ranges: int, model: DataFrame | None = None) -> DataFrame:
     """Answers for each chunk, kind and range: the corpus counts of the keys asked, which of them the chunk owns, and over
-    those owned the types that training texts hold, their tokens, and the types of counts 1 to K + 1."""
+    those owned the types that training texts hold, their tokens, and the types of counts 1 to K + 1. The rows of chunk TABLE are the
+    table of n-grams: all keys of training texts, in order, and their counts. model: such rows of a model, which count too."""
+
+    build = model is None
 
     def ask(row: dict) -> Iterator[dict]:
         c = Chunk(row)
@@ -152,17 +162,22 @@ def counts(held: DataFrame, ranges: int) -> DataFrame:
         rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
         keys = [unpack_keys(r["keys"]) for r in rows]
         cut = np.cumsum([0, *map(len, keys)])
-        _, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-        total = np.bincount(at, weights=np.concatenate([unpack(r["counts"], np.int32) for r in rows])).astype(np.int64)
+        known, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        total = np.bincount(at, weights=np.concatenate([unpack(r["counts"], np.int64 if r["chunk"] == TABLE else np.int32) for r in rows])).astype(np.int64)
         mine, out = np.zeros(cut[-1], bool), []
         mine[first] = True  # the first chunk with a key
         for i, r in enumerate(rows):
             t, o = total[at[cut[i] : cut[i + 1]]], mine[cut[i] : cut[i + 1]]
             own = t[o]
-            out.append({"chunk": r["chunk"], "kind": r["kind"], "range": r["range"], "totals": pack(t), "owned": pack(o), "types": int((own > 0).sum()), "n": int(own.sum())} | {f"r{x}": int((own == x).sum()) for x in range(1, K + 2)})
-        return pa.Table.from_pylist(out, pa.schema([(f, pa.int32() if f == "kind" else pa.binary() if f in ("totals", "owned") else pa.int64()) for f in ("chunk", "kind", "range", "totals", "owned", "types", "n", *(f"r{x}" for x in range(1, K + 2)))]))
+            out.append({"chunk": r["chunk"], "kind": r["kind"], "range": r["range"], "keys": None, "totals": pack(t), "owned": pack(o), "types": int((own > 0).sum()), "n": int(own.sum())} | {f"r{x}": int((own == x).sum()) for x in range(1, K + 2)})
+        if build:
+            own = total > 0
+            out.append({"chunk": TABLE, "kind": rows[0]["kind"], "range": rows[0]["range"], "keys": pack_keys(known[own]), "totals": pack(total[own]), "owned": None, "types": 0, "n": 0} | {f"r{x}": 0 for x in range(1, K + 2)})
+        return pa.Table.from_pylist(out, pa.schema([(f, pa.int32() if f == "kind" else pa.binary() if f in ("keys", "totals", "owned") else pa.int64()) for f in ("chunk", "kind", "range", "keys", "totals", "owned", "types", "n", *(f"r{x}" for x in range(1, K + 2)))]))
 
     asked = held.select("chunk", "held", "sizes", "vocab", "tokens").mapInArrow(_each(ask, _ASKED), "kind int, range bigint, chunk bigint, keys binary, counts binary")
+    if model is not None:
+        asked = asked.unionByName(model.select("kind", "range", "chunk", "keys", "counts"))
     return asked.groupBy("kind", "range").applyInArrow(answer, _TOLD)
 
 
@@ -247,8 +262,11 @@ def scored(held: DataFrame, told: DataFrame, model: Model) -> DataFrame:
 _SUMS = pa.schema([("range", pa.int64()), ("chunk", pa.int64()), ("asked", pa.bool_()), ("keys", pa.binary()), ("sums", pa.binary())])
 
 
-def weights(parts: DataFrame, ranges: int) -> DataFrame:
-    """(chunk, range, weights): log10 of the backoff weights that chunks ask for, in the order asked."""
+def weights(parts: DataFrame, ranges: int, model: DataFrame | None = None) -> DataFrame:
+    """(chunk, range, keys, weights): log10 of the backoff weights that chunks ask for, in the order asked. The rows of chunk TABLE are
+    the table of contexts: keys in order, and their two sums. model: such rows of a model, in place of the chunks' sums."""
+
+    build = model is None
 
     def send(row: dict) -> Iterator[dict]:
         keys, sums = unpack_keys(row["sum_keys"]), unpack(row["sums"], np.float64).reshape(2, -1)
@@ -266,35 +284,35 @@ def weights(parts: DataFrame, ranges: int) -> DataFrame:
         known, at = np.unique(keys, return_inverse=True)
         s1, s2 = (np.bincount(at, weights=x, minlength=len(known)) for x in sums)
         log = np.log10((1 - s1) / (1 - s2))
-        out = [{"chunk": r["chunk"], "range": r["range"], "weights": pack(log[np.searchsorted(known, unpack_keys(r["keys"]))])} for r in asked]
-        return pa.Table.from_pylist(out, pa.schema([("chunk", pa.int64()), ("range", pa.int64()), ("weights", pa.binary())]))
+        out = [{"chunk": r["chunk"], "range": r["range"], "keys": None, "weights": pack(log[np.searchsorted(known, unpack_keys(r["keys"]))])} for r in asked]
+        if build and len(known):
+            out.append({"chunk": TABLE, "range": rows[0]["range"], "keys": pack_keys(known), "weights": pack(np.concatenate([s1, s2]))})
+        return pa.Table.from_pylist(out, pa.schema([("chunk", pa.int64()), ("range", pa.int64()), ("keys", pa.binary()), ("weights", pa.binary())]))
 
     sent = parts.select("chunk", "sum_keys", "sums", "asks").mapInArrow(_each(send, _SUMS), "range bigint, chunk bigint, asked boolean, keys binary, sums binary")
-    return sent.groupBy("range").applyInArrow(answer, "chunk bigint, range bigint, weights binary")
+    if model is not None:
+        sent = sent.where("asked").unionByName(model.select("range", "chunk", F.lit(False).alias("asked"), "keys", "sums"))
+    return sent.groupBy("range").applyInArrow(answer, "chunk bigint, range bigint, keys binary, weights binary")
 
 
-def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: Column | None = None) -> DataFrame:
-    """A row for each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+_SCORES = "chunk bigint, place bigint, score double"
 
-    Texts of which `held` is true are scored without being learned from; it stands by default for those with
-    crc32(doc_id as text) mod 10 = 0 (a null identifier counts as empty text). A null text counts as empty: one token,
-    its end. Repeated rows are learned from as often as they occur. Without any training text each token is unknown
-    with probability one. An empty table gives an empty result.
-    """
+
+def _evaluate(docs: DataFrame, table: DataFrame, told: DataFrame, model: Model, ranges: int, id_col: str, store: str | None, contexts: DataFrame | None) -> DataFrame:
+    """The result for the texts of a table of chunks, from the answers to them. store: where the table of contexts goes; contexts: that
+    table, of a model made before."""
     spark = docs.sparkSession
-    if held is None:
-        held = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 10 == 0
-    with conf(spark, spark__sql__execution__arrow__maxRecordsPerBatch="1000"):
-        table = written(chunks(docs, id_col, text_col, held), "katz-chunks")
-    total, trained = table.agg(F.sum("n"), F.sum("trained")).first()
-    ranges = max(1, ceil((total or 0) / RANGE))
-    with conf(spark, spark__sql__execution__arrow__maxRecordsPerBatch="1"):
-        told = written(counts(table, ranges), "katz-counts")
-        stats = told.groupBy("kind").agg(*[F.sum(c).alias(c) for c in ("types", "n", *(f"r{r}" for r in range(1, K + 2)))]).collect()
-        model = Model({r["kind"]: r.asDict() for r in stats}, trained or 0)
-        parts = written(scored(table, told, model), "katz-parts")
-        logs = written(weights(parts, ranges).groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("range", "weights"))).alias("logs")), "katz-weights")
-        kind = docs.schema[id_col].dataType.simpleString()
+    kind = docs.schema[id_col].dataType.simpleString()
+    with conf(spark, spark__sql__execution__arrow__maxRecordsPerBatch="1"), scratch(spark) as keep:
+        parts = keep(written(scored(table, told, model), "katz-parts"))
+        if store:
+            remove(spark, f"{store}/ngrams/answers=true")
+        release(spark)
+        logs = weights(parts, ranges, contexts).withColumn("answers", F.col("chunk") != TABLE)
+        if store:
+            logs.write.partitionBy("answers").parquet(f"{store}/contexts")
+            logs = spark.read.schema(logs.schema).parquet(f"{store}/contexts")
+        logs = logs.where("answers").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("range", "weights"))).alias("logs"))
 
         def run(row: dict) -> Iterator[dict]:
             score = np.array(row["part"])
@@ -304,12 +322,62 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield {"place": np.arange(len(score)), "chunk": np.full(len(score), row["chunk"]), "score": score}
 
         final = parts.select("chunk", "part", "back_doc", "back_at").join(logs, "chunk", "left")
-        scores = written(final.mapInArrow(_each(run, pa.schema([("chunk", pa.int64()), ("place", pa.int64()), ("score", pa.float64())])), "chunk bigint, place bigint, score double"), "katz-scores")
+        scores = keep(written(final.mapInArrow(_each(run, pa.schema([("chunk", pa.int64()), ("place", pa.int64()), ("score", pa.float64())])), _SCORES), "katz-scores"))
+        if store:
+            remove(spark, f"{store}/contexts/answers=true")
     rows = table.select("chunk", "doc_id", "held").join(parts.select("chunk", "n_tokens", "n_known", "base"), "chunk")
     rows = rows.select("chunk", F.posexplode(F.arrays_zip("doc_id", "held", "n_tokens", "n_known", "base")).alias("place", "d"))
     rows = rows.join(scores.withColumn("place", F.col("place").cast("int")), ["chunk", "place"])
     return rows.select(F.col("d.doc_id").cast(kind).alias("doc_id"), F.col("d.held").alias("held_out"), F.col("d.n_tokens").alias("n_tokens"), F.col("d.n_known").alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"), F.col("d.base").alias("base_score"), "score")
 
 
+def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: Column | None = None, store: str | None = None) -> DataFrame:
+    """A row for each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    Texts of which `held` is true are scored without being learned from; it stands by default for those with
+    crc32(doc_id as text) mod 10 = 0 (a null identifier counts as empty text). A null text counts as empty: one token,
+    its end. Repeated rows are learned from as often as they occur. Without any training text each token is unknown
+    with probability one. An empty table gives an empty result. Other columns of docs are not read.
+
+    store: a folder for the model's tables, of the caller's or by default in the shared folder: ngrams (by kind: 1 for words, 2 for
+    bigrams; range, keys, totals), contexts (range, keys, weights: the two sums) and sizes.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    store = (store or work_path(spark, "katz-model")).rstrip("/")
+    if held is None:
+        held = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 10 == 0
+    with conf(spark, spark__sql__execution__arrow__maxRecordsPerBatch="1000"):
+        table = written(chunks(docs, id_col, text_col, held), "katz-chunks")
+    total, trained = table.agg(F.sum("n"), F.sum("trained")).first()
+    ranges = max(1, ceil((total or 0) / RANGE))
+    with conf(spark, spark__sql__execution__arrow__maxRecordsPerBatch="1"):
+        told = counts(table, ranges).withColumn("answers", F.col("chunk") != TABLE)
+        told.write.partitionBy("answers", "kind").parquet(f"{store}/ngrams")
+        told = spark.read.schema(told.schema).parquet(f"{store}/ngrams").where("answers")
+        release(spark)
+    sizes = [F.sum(c).alias(c) for c in ("types", "n", *(f"r{r}" for r in range(1, K + 2)))]
+    stats = told.groupBy("kind").agg(*sizes).withColumn("trained", F.lit(trained or 0).cast("long")).withColumn("ranges", F.lit(ranges).cast("long"))
+    stats.coalesce(1).write.parquet(f"{store}/sizes")
+    model = Model({r["kind"]: r.asDict() for r in spark.read.parquet(f"{store}/sizes").collect()}, trained or 0)  # two rows
+    return _evaluate(docs, table, told, model, ranges, id_col, store, None)
+
+
+def score_with(store: str, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The same columns for texts that a stored model has not seen, all held out; nulls, repeats and empty tables as there. A model
+    without training texts gives no scores: that raises."""
+    spark, store = docs.sparkSession, store.rstrip("/")
+    small_batches(spark)
+    stats = {r["kind"]: r.asDict() for r in spark.read.parquet(f"{store}/sizes").collect()}
+    ranges = stats[1]["ranges"]
+    with conf(spark, spark__sql__execution__arrow__maxRecordsPerBatch="1000"):
+        table = written(chunks(docs, id_col, text_col, F.lit(True)), "katz-chunks")
+    ngrams = spark.read.parquet(f"{store}/ngrams").where(~F.col("answers").cast("boolean")).select(F.col("kind").cast("int").alias("kind"), "range", "chunk", "keys", F.col("totals").alias("counts"))
+    contexts = spark.read.parquet(f"{store}/contexts").where(~F.col("answers").cast("boolean")).select("range", "chunk", "keys", F.col("weights").alias("sums"))
+    with conf(spark, spark__sql__execution__arrow__maxRecordsPerBatch="1"):
+        told = written(counts(table, ranges, ngrams), "katz-told").where(F.col("chunk") != TABLE)
+    return _evaluate(docs, table, told, Model(stats, stats[1]["trained"]), ranges, id_col, None, contexts)
+
+
 def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz_scores(documents(spark, sf_dir))
