@@ -46,11 +46,11 @@ def work_path(spark: SparkSession, name: str) -> str:
 _open: list[list[str]] = []
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, safe against lost executors."""
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     if _open:
         _open[-1].append(path)
     table = spark.read.schema(df.schema).parquet(path)

@@ -2,7 +2,7 @@
 
 A page is read once, tag by tag, into blocks, each in a zone: article (inside <article>, <main> or role=main), marked (menus,
 headers, footers, sidebars, notices, adverts, forms, reader comments, as their tags, roles and class names tell), or open (anything
-else). Scripts, styles, comments and markup are no blocks, and marked blocks go. The others are written, packed, a row a page.
+else). Scripts, styles, comments and markup are no blocks, and marked blocks go. The others are written, a row a page.
 
 The token streams of a host's blocks are joined, and a suffix array over them (sorted to a depth of RUN tokens by prefix doubling)
 finds substrings of RUN tokens or more, and whole short blocks, with the number of distinct pages that have them (pages whose blocks
@@ -12,9 +12,10 @@ may quote what another one has, and only a template is on most pages.
 
 Substrings of RUN tokens are not counted all. Of each SEED-gram window of that length the one with the least hash is an anchor; equal
 substrings have equal anchors, so blocks whose anchors are on too few pages hold no boilerplate, and do not go to the suffix
-arrays. A large host's blocks are dealt over many tasks, PART pages or PART_BYTES packed bytes each; a task gives the pages of each
-substring among its own, and sums over tasks are exact, as no page is in two of them. Anchors, and then the substrings found, set
-bits of a map of fixed size; pages without any of its bits need no join.
+arrays. Anchors are counted by range of key, sorted and packed; copies of a page count once a task there, which can only let more
+blocks through. A large host's blocks are dealt over many tasks, PART pages or PART_CHARS characters each; a task gives the pages of
+each substring among its own, and sums over tasks are exact, as pages with equal blocks are in one. Anchors, and then the substrings
+found, set bits of a map of fixed size; pages without any of its bits need no join.
 """
 
 from __future__ import annotations
@@ -23,20 +24,23 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, small_batches, text_of, written
+from .common import release, scratch, small_batches, text_of, written
+from .katz import by_range, pack, pack_keys, unpack, unpack_keys
 from .kernel import _PLACE, BATCH_BYTES, U, Words, mix, words
 
 #: Tokens of a long substring, and of the grams among which its anchor is; distinct pages of a host that make it boilerplate, and
-#: for articles per cent of the host's pages; pages of a host in a task, about, and packed bytes of their blocks; bits of the map.
-RUN, SEED, PAGES, SHARE, PART, PART_BYTES, BITS = 8, 4, 3, 50, 500, 4_000_000, 1 << 24
+#: for articles per cent of the host's pages; pages of a host in a task, about, and characters of their blocks; bits of the map.
+RUN, SEED, PAGES, SHARE, PART, PART_CHARS, BITS = 8, 4, 3, 50, 500, 8_000_000, 1 << 24
+#: Anchors that a task packs at a time, and that a range of keys holds, about.
+FLUSH, RANGE = 1_500_000, 1_000_000
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -245,39 +249,37 @@ def unique_runs(found: list[tuple[int, str]], common: np.ndarray, in_articles: n
     return [t for t in left if t], int(gone.sum())
 
 
-def packed(found: list[tuple[int, str]]) -> bytes:
-    return zstandard.compress("\n".join(f"{z}{t}" for z, t in found).encode(), 1)  # blocks have no line ends
+def joined(found: list[tuple[int, str]]) -> str:
+    return "\n".join(f"{z}{t}" for z, t in found)  # blocks have no line ends
 
 
-def unpacked(data: bytes) -> list[tuple[int, str]]:
-    raw = zstandard.decompress(data).decode()
-    return [(int(x[0]), x[1:]) for x in raw.split("\n")] if raw else []
+def parted(data: str) -> list[tuple[int, str]]:
+    return [(int(x[0]), x[1:]) for x in data.split("\n")] if data else []
 
 
 _HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)"
 
 
 def parsed(rows: DataFrame) -> DataFrame:
-    """rows: (page_id, url, host, place, html) -> (page_id, url, host: its hash, place, key: of the blocks, blocks: packed)."""
+    """rows: (page_id, url, host, place, html) -> (page_id, url, host: its hash, place, key: of the blocks, blocks)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, out = [], []
             for x in batch.column(4).to_pylist():
-                data = packed([(z, t) for z, t in blocks(x) if z != MARKED])
-                out.append(data)
-                keys.append(xxhash.xxh3_64_intdigest(data) - (1 << 63))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(keys, pa.int64()), pa.array(out, pa.binary())], names=["page_id", "url", "host", "place", "key", "blocks"])
+                out.append(joined([(z, t) for z, t in blocks(x) if z != MARKED]))
+                keys.append(xxhash.xxh3_64_intdigest(out[-1]) - (1 << 63))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(keys, pa.int64()), pa.array(out, pa.string())], names=["page_id", "url", "host", "place", "key", "blocks"])
 
     kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("page_id", "url", "host", "place")]
-    return rows.select("page_id", "url", "host", "place", "html").mapInArrow(read, ", ".join([*kinds, "key bigint, blocks binary"]))
+    return rows.select("page_id", "url", "host", "place", "html").mapInArrow(read, ", ".join([*kinds, "key bigint, blocks string"]))
 
 
 def _pages(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, list[list[tuple[int, str]]]]]:
     """(from row, to row, pages' blocks) for stretches of a batch of about BATCH_BYTES of text."""
     start, size, pages = 0, 0, []
     for i, data in enumerate(batch.column(column).to_pylist()):
-        pages.append(unpacked(data))
+        pages.append(parted(data))
         size += sum(len(t) for _, t in pages[-1])
         if size >= BATCH_BYTES:
             yield start, i + 1, pages
@@ -294,72 +296,110 @@ def _keys(pages: list[list[tuple[int, str]]]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([found, keys[short]]), np.concatenate([of, w.of[at[short]]])
 
 
-def hot_anchors(firsts: DataFrame, hosts: DataFrame) -> DataFrame:
-    """(anchor): mixed with their host, those that are on as many pages as boilerplate is. firsts: one row for pages with equal blocks;
-    hosts: (host, pages)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, pages in _pages(batch, 1):
-                keys, of = _keys(pages)
-                sizes = [len(one) for one in pages]
-                page = np.repeat(np.arange(len(pages)), sizes)[of]
-                open_ = np.array([z == OPEN for one in pages for z, _ in one], bool)[of]
-                host = np.frombuffer(batch.column(0).slice(a, b - a).to_numpy(zero_copy_only=False).astype(np.int64).tobytes(), U)
-                mixed = mix(keys.view(U) ^ mix(host[page]))
-                order = np.lexsort((open_, page, mixed))  # of a key on a page the last row is open if any is
-                if not len(order):
-                    continue
-                last = np.append((mixed[order][1:] != mixed[order][:-1]) | (np.diff(page[order]) != 0), True)
-                own, at_open, at_host = mixed[order][last], open_[order][last], host[page[order][last]]
-                begin = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-                n = np.diff(np.append(begin, len(own)))
-                yield pa.RecordBatch.from_arrays([pa.array(at_host[begin].view(np.int64)), pa.array(own[begin].view(np.int64)), pa.array(n), pa.array(np.add.reduceat(at_open.astype(np.int64), begin))], names=["host", "anchor", "n", "m"])
-
-    counts = firsts.select("host", "blocks").mapInArrow(run, "host bigint, anchor bigint, n bigint, m bigint")
-    counts = counts.groupBy("host", "anchor").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).where(F.col("n") >= PAGES)
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[tuple[int, str]]]]]:
+    """Stretches of a task's rows (host, key, blocks) and their blocks, of pages with equal blocks the first."""
+    seen: set[tuple[int, int]] = set()
+    for batch in batches:
+        new = []
+        for i, at in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            if at not in seen:
+                seen.add(at)
+                new.append(i)
+        batch = batch.take(pa.array(new, pa.int64()))
+        for a, b, pages in _pages(batch, 2):
+            yield batch.slice(a, b - a), pages
+
+
+def _hosts(rows: pa.RecordBatch, page: np.ndarray) -> np.ndarray:
+    return rows.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(U)[page]
+
+
+def hot_anchors(table: DataFrame, hosts: DataFrame) -> DataFrame:
+    """(anchor): mixed with their host, those that are on as many pages as boilerplate is, or seem to be as copies of a page in several
+    tasks count in each. hosts: (host, pages)."""
+    ranges = max(1, ceil((table.agg(F.sum(F.length("blocks"))).first()[0] or 0) / (18 * RANGE)))  # an anchor for some 18 characters
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            keys, host, n, m = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(keys)
+            keys = keys[order]
+            begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            names, of = np.unique(host[order][begin], return_inverse=True)
+            n, m, keys = np.add.reduceat(n[order], begin), np.add.reduceat(m[order], begin), keys[begin]
+            for q, a, b in by_range(keys, ranges):
+                own, at = np.unique(of[a:b], return_inverse=True)
+                parts = (pack_keys(keys[a:b]), pack(names[own]), *(pack(x.astype(np.int32)) for x in (at, n[a:b], m[a:b])))
+                yield pa.RecordBatch.from_arrays([pa.array([q], pa.int64()), *(pa.array([x], pa.binary()) for x in parts)], names=["range", "keys", "hosts", "host", "n", "m"])
+            held.clear()
+
+        for rows, pages in _once(batches):
+            keys, of = _keys(pages)
+            if not len(keys):
+                continue
+            page = np.repeat(np.arange(len(pages)), [len(one) for one in pages])[of]
+            open_ = np.array([z == OPEN for one in pages for z, _ in one], bool)[of]
+            mixed = mix(keys.view(U) ^ mix(_hosts(rows, page)))
+            order = np.lexsort((open_, page, mixed))  # of a key on a page the last row is open if any is
+            last = order[np.append((mixed[order][1:] != mixed[order][:-1]) | (np.diff(page[order]) != 0), True)]
+            held.append((mixed[last], _hosts(rows, page[last]), np.ones(len(last), np.int64), open_[last].astype(np.int64)))
+            if sum(len(x[0]) for x in held) >= FLUSH:
+                yield from out()
+        if held:
+            yield from out()
+
+    def add(data: pa.Table) -> pa.Table:
+        rows = data.to_pylist()
+        keys = np.concatenate([unpack_keys(r["keys"]) for r in rows])
+        known, first, at = np.unique(keys, return_index=True, return_inverse=True)
+        n, m = (np.bincount(at, weights=np.concatenate([unpack(r[c], np.int32) for r in rows])).astype(np.int64) for c in "nm")
+        host = np.concatenate([unpack(r["hosts"], U)[unpack(r["host"], np.int32)] for r in rows])[first]
+        use = n >= PAGES
+        return pa.table({"host": host[use].view(np.int64), "anchor": known[use].view(np.int64), "n": n[use], "m": m[use]})
+
+    sent = table.select("host", "key", "blocks").mapInArrow(send, "range bigint, keys binary, hosts binary, host binary, n binary, m binary")
+    counts = sent.groupBy("range").applyInArrow(add, "host bigint, anchor bigint, n bigint, m bigint")
     return counts.join(hosts, "host").where((F.col("m") > 0) | (100 * F.col("n") >= SHARE * F.col("pages"))).select("anchor")
 
 
 def host_boilerplate(table: DataFrame) -> DataFrame:
     """(host, run, in_articles): substrings that PAGES or more distinct pages of the host have, and whether so many have them as makes
     them boilerplate in articles too. table: of parsed()."""
-    copies = table.groupBy("host", "key").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"))
-    copies = written(copies, "html-copies")
-    hosts = written(copies.groupBy("host").agg(F.count(F.lit(1)).alias("pages")), "html-hosts")
-    again = table.select("host", "key", "place").join(copies.where("n > 1").select("host", "key", F.col("place").alias("first")), ["host", "key"]).where("place <> first").select("place")
-    firsts = table.select("host", "place", "blocks").join(again, "place", "left_anti").select("host", "place", "blocks")
-    bits = bit_map(hot_anchors(firsts, hosts), "anchor")
+    distinct = table.groupBy("host", "key").agg(F.lit(1).alias("one"))
+    hosts = written(distinct.groupBy("host").agg(F.count(F.lit(1)).alias("pages")), "html-hosts")
+    bits = bit_map(hot_anchors(table, hosts), "anchor")
+    release(table.sparkSession)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, pages in _pages(batch, 2):
-                keys, of = _keys(pages)
-                page = np.repeat(np.arange(len(pages)), [len(one) for one in pages])
-                host = batch.column(0).slice(a, b - a).to_numpy(zero_copy_only=False).astype(np.int64).view(U)
-                hot = np.zeros(len(page), bool)
-                hot[of[in_map(bits, mix(keys.view(U) ^ mix(host[page[of]])).view(np.int64))]] = True
-                flat = [x for one in pages for x in one]
-                found: dict[int, list[tuple[int, str]]] = {}
-                for i in np.flatnonzero(hot).tolist():
-                    found.setdefault(int(page[i]), []).append(flat[i])
-                rows = pa.array(list(found), pa.int64())
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a).take(rows) for i in (0, 1)), pa.array([packed(x) for x in found.values()], pa.binary())], names=["host", "place", "blocks"])
+        for rows, pages in _once(batches):
+            keys, of = _keys(pages)
+            page = np.repeat(np.arange(len(pages)), [len(one) for one in pages])
+            hot = np.zeros(len(page), bool)
+            hot[of[in_map(bits, mix(keys.view(U) ^ mix(_hosts(rows, page[of]))).view(np.int64))]] = True
+            flat = [x for one in pages for x in one]
+            found: dict[int, list[tuple[int, str]]] = {}
+            for i in np.flatnonzero(hot).tolist():
+                found.setdefault(int(page[i]), []).append(flat[i])
+            at = pa.array(list(found), pa.int64())
+            yield pa.RecordBatch.from_arrays([*(rows.column(i).take(at) for i in (0, 1)), pa.array([joined(x) for x in found.values()], pa.string())], names=["host", "key", "blocks"])
 
     def suffix_array(data: pa.Table) -> pa.Table:
         texts, page = [], []
-        for i, raw in enumerate(data.column("blocks").to_pylist()):
-            own = [t for _, t in unpacked(raw)]
+        once = dict(zip(data.column("key").to_pylist(), data.column("blocks").to_pylist(), strict=True))
+        for i, raw in enumerate(once.values()):
+            own = [t for _, t in parted(raw)]
             texts += own
             page += [i] * len(own)
         run, n = counted(texts, np.array(page, np.int64))
         use = n >= (PAGES if data.column("parts")[0].as_py() == 1 else 1)
         return pa.table({"host": pa.array([data.column("host")[0].as_py()] * int(use.sum()), pa.int64()), "run": run[use], "n": n[use].astype(np.int64)})
 
-    found = written(firsts.mapInArrow(candidates, "host bigint, place bigint, blocks binary"), "html-candidates")
-    sizes = found.groupBy("host").agg(F.ceil(F.greatest(F.count(F.lit(1)) / PART, F.sum(F.length("blocks")) / PART_BYTES)).alias("parts"))
-    dealt = found.join(written(sizes, "html-sizes"), "host").withColumn("part", F.pmod(F.xxhash64("place"), F.col("parts")))
-    counts = dealt.select("host", "part", "parts", "blocks").groupBy("host", "part").applyInArrow(suffix_array, "host bigint, run bigint, n bigint")
+    found = written(table.select("host", "key", "blocks").mapInArrow(candidates, "host bigint, key bigint, blocks string"), "html-candidates", "zstd")
+    sizes = found.groupBy("host").agg(F.ceil(F.greatest(F.count(F.lit(1)) / PART, F.sum(F.length("blocks")) / PART_CHARS)).alias("parts"))
+    dealt = found.join(written(sizes, "html-sizes"), "host").withColumn("part", F.pmod("key", F.col("parts")))
+    counts = dealt.select("host", "part", "parts", "key", "blocks").groupBy("host", "part").applyInArrow(suffix_array, "host bigint, run bigint, n bigint")
     counts = counts.groupBy("host", "run").agg(F.sum("n").alias("n")).where(F.col("n") >= PAGES)
     return counts.join(hosts, "host").select("host", "run", (100 * F.col("n") >= SHARE * F.col("pages")).alias("in_articles"))
 
@@ -388,9 +428,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     small_batches(pages.sparkSession)
     host = F.xxhash64(F.lower(F.regexp_extract(text_of(url_col), _HOST, 1)))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.monotonically_increasing_id().alias("place"), text_of(html_col).alias("html"))
-    table = written(parsed(rows), "html-blocks")
+    table = written(parsed(rows), "html-blocks", "zstd")
     with scratch(pages.sparkSession) as keep:
         common = keep(written(host_boilerplate(table), "html-common"))
+    release(pages.sparkSession)
     bits = bit_map(common, "run")
     kinds = ", ".join(f"{c} {pages.schema[s].dataType.simpleString()}" for c, s in (("page_id", id_col), ("url", url_col)))
 
@@ -405,14 +446,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                     runs.setdefault(i, set()).add(k)
                 texts = [None if i in runs else "\n".join(t for _, t in one) for i, one in enumerate(found)]
                 data = batch.column(4).slice(a, b - a).to_pylist()
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(4)), pa.array(texts, pa.string()), pa.array([d if i in runs else None for i, d in enumerate(data)], pa.binary()), pa.array([sorted(runs[i]) if i in runs else None for i in range(len(found))], pa.list_(pa.int64()))], names=["page_id", "url", "host", "place", "text", "blocks", "runs"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(4)), pa.array(texts, pa.string()), pa.array([d if i in runs else None for i, d in enumerate(data)], pa.string()), pa.array([sorted(runs[i]) if i in runs else None for i in range(len(found))], pa.list_(pa.int64()))], names=["page_id", "url", "host", "place", "text", "blocks", "runs"])
 
     def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [unique_runs(unpacked(data), *(np.array(r or (), np.int64) for r in runs)) for data, *runs in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+            out = [unique_runs(parted(data), *(np.array(r or (), np.int64) for r in runs)) for data, *runs in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(["\n".join(t) for t, _ in out], pa.string()), pa.array([n for _, n in out], pa.int64())], names=["page_id", "url", "text", "n_removed"])
 
-    texts = table.select("page_id", "url", "host", "place", "blocks").mapInArrow(read, f"{kinds}, host bigint, place bigint, text string, blocks binary, runs array<bigint>")
+    texts = table.select("page_id", "url", "host", "place", "blocks").mapInArrow(read, f"{kinds}, host bigint, place bigint, text string, blocks string, runs array<bigint>")
     if common.isEmpty():
         return texts.select("page_id", "url", "text", F.lit(0).cast("long").alias("n_removed"))
     done = texts.where("blocks IS NULL").select("page_id", "url", "text", F.lit(0).cast("long").alias("n_removed"))
