@@ -1,7 +1,7 @@
 import pytest
 
 from tests.conftest import DATA, plain
-from textloom.plans import more, wider  # noqa: F401  register their queries
+from textloom.plans import more, places, wider  # noqa: F401  register their queries
 from textloom.plans.catalogue import ORACLES, QUERIES
 
 SF = str(DATA / "sf0.001")

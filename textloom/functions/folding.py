@@ -11,7 +11,7 @@ from . import text as tx
 # Marks of the Uthmani script and their folds; vowels, tatweel; letters that only Urdu has; clitics and suffixes.
 UTHMANI = ("ٱ", "ا")
 ORNAMENTS = "[ٰۥۦـ]"
-HARAKAT = "[ؐ-ًؚ-ٰٟۖ-ۭـ]"
+HARAKAT = r"[\x{0610}-\x{061A}\x{064B}-\x{065F}\x{0670}\x{06D6}-\x{06ED}\x{0640}]"
 URDU_ONLY = "یگٹڈڑںہۃےۂژپچ"
 PROCLITICS = tuple(a + b for a in ("", "و", "ف") for b in ("", "ب", "ك", "ل"))
 SUFFIXES = ("هما", "كما", "هم", "هن", "كم", "كن", "نا", "ها", "ات", "ون", "ين", "ان", "ه", "ي", "ك")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 DECISIONS = {"click": "approve", "view": "replace", "error": "escalate"}
 OPEN = ("pending", "escalate")
 MAX_LOG = 5000
+# Longest reviewer's name and note.
+MAX_REVIEWER, MAX_NOTE = 80, 2000
 
 
 def decision(event_type: Column) -> Column:
@@ -58,3 +60,32 @@ def violations(events: DataFrame, key: str, order: str, time: str) -> DataFrame:
 def payload(df: DataFrame, *columns: str) -> DataFrame:
     """The columns as one JSON document."""
     return df.withColumn("payload", F.to_json(F.struct(*columns)))
+
+
+def checked_decisions(new: DataFrame, items: DataFrame, item: str) -> DataFrame:
+    """new: (item, decision, reviewer, note, replacement). The rows with `code`: OK for those that may be appended, else the first reason
+    against: BAD_DECISION, REVIEWER_REQUIRED, REVIEWER_TOO_LONG, NOTE_TOO_LONG, REPLACEMENT_REQUIRED, ITEM_NOT_FOUND."""
+    known = items.select(item).distinct().withColumn("_known", F.lit(True))
+    name, note = F.trim(F.coalesce("reviewer", F.lit(""))), F.trim(F.coalesce("note", F.lit("")))
+    code = F.when(~F.coalesce(F.col("decision").isin(*DECISIONS.values()), F.lit(False)), "BAD_DECISION").when(name == "", "REVIEWER_REQUIRED")
+    code = code.when(F.length(name) > MAX_REVIEWER, "REVIEWER_TOO_LONG").when(F.length(note) > MAX_NOTE, "NOTE_TOO_LONG")
+    code = code.when((F.col("decision") == "replace") & (F.coalesce("replacement", F.lit("")) == ""), "REPLACEMENT_REQUIRED")
+    code = code.when(F.col("_known").isNull(), "ITEM_NOT_FOUND").otherwise("OK")
+    return new.join(known, item, "left").withColumn("code", code).drop("_known")
+
+
+def check_records(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """(check_id, text_sha256, verdict, payload): the record of a checked document to append: a digest in place of its text, and the
+    counts as JSON."""
+    rows = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")).join(verdicts, "doc_id")
+    check_id = F.substring(F.sha1(F.concat_ws("|", F.col("doc_id").cast("string"), "text_sha256")), 1, 16)
+    return rows.select(check_id.alias("check_id"), "text_sha256", "verdict", F.to_json(F.struct("match", "near", "unattributed")).alias("payload"))
+
+
+def exported(records: DataFrame, events: DataFrame, key: str) -> DataFrame:
+    """(key, translation_sha256, verdict, review): records for others to read: the digest under its public name, and the decisions on
+    them in order, `event:decision`, comma-joined."""
+    told = events.withColumn("decision", decision(F.col("event_type"))).where("decision IS NOT NULL")
+    line = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "decision"))), lambda e: F.concat_ws(":", e["event_id"], e["decision"]))
+    review = told.groupBy(key).agg(F.array_join(line, ",").alias("review"))
+    return records.join(review, key, "left").select(key, F.col("text_sha256").alias("translation_sha256"), "verdict", F.coalesce("review", F.lit("")).alias("review"))

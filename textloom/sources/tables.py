@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
+
 EDITION_DUMP = "book_id int, title string, language string, locale string, direction string, source string, version string, passages array<struct<chapter:int,verse:int,text:string>>"
 
 
@@ -84,3 +86,28 @@ def export_json(df: DataFrame, path: str) -> None:
 def stream(spark: SparkSession, path: str, schema) -> DataFrame:
     """A table's files as a stream, whether the path is a folder or a single file (as a pattern it may be either)."""
     return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
+
+
+def html_rows(df: DataFrame) -> DataFrame:
+    """(value): a line of an HTML table for each row, cells escaped; nulls are empty."""
+    cells = [F.concat(F.lit("<td>"), tx.escape_markup(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit("</td>")) for c in df.columns]
+    return df.select(F.concat(F.lit("<tr>"), *cells, F.lit("</tr>")).alias("value"))
+
+
+def markdown_rows(df: DataFrame) -> DataFrame:
+    """(value): a line of a Markdown table for each row; bars are escaped, line ends are spaces."""
+    cells = [F.regexp_replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), r"\s*\n\s*", " ") for c in df.columns]
+    return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value"))
+
+
+def export_report(df: DataFrame, path: str, kind: str = "html") -> None:
+    """A report as text files in a folder, with its head as the first file's first line. Rows are written as they come: sort df first."""
+    head = "<tr>" + "".join(f"<th>{c}</th>" for c in df.columns) + "</tr>" if kind == "html" else "| " + " | ".join(df.columns) + " |\n|" + "-|" * len(df.columns)
+    rows = html_rows(df) if kind == "html" else markdown_rows(df)
+    df.sparkSession.createDataFrame([(head,)], "value string").coalesce(1).write.text(f"{path}/head")
+    rows.write.text(f"{path}/rows")
+
+
+def public(df: DataFrame, private: tuple[str, ...]) -> DataFrame:
+    """The rows without columns that are not to be published."""
+    return df.drop(*private)
