@@ -21,7 +21,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import conf, documents, located, lower_ascii, remove, scratch, text_of, those, work_path, written
+from .common import conf, located, lower_ascii, remove, scratch, text_of, those, work_path, written
 
 #: A digest with more than one part in HOT of all rows is hot.
 HOT = 1000
@@ -148,7 +148,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(documents(spark, sf_dir))
+    return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 OP10_SQL = """

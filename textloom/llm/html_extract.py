@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
 from .common import release, scratch, small_batches, text_of, written
 from .katz import by_range, pack, pack_keys, unpack, unpack_keys
 from .kernel import _PLACE, BATCH_BYTES, U, Words, mix, words
@@ -466,5 +467,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    found = extract(spread(spark.read.parquet(f"{sf_dir}/pages.parquet")))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
