@@ -23,6 +23,15 @@ def test_normalize(spark):
         assert one(spark, text, tx.normalize(F.col("x"))) == form
 
 
+def test_compatible_characters(spark):
+    import unicodedata
+
+    for text in ("ﬁne ＡＢＣ１２３ … ﷲ", "plain é", "ﻛﺘﺎﺏ", "①②"):
+        assert one(spark, text, tx.compatible(F.col("x"))) == unicodedata.normalize("NFKC", text)
+    assert one(spark, "Ｃafé ﬁne", tx.normalize(F.col("x"))) == "café fine"
+    assert one(spark, "Qur’ān Ḥajj é", tx.strict_tokens(F.col("x"))) == ["qur", "an", "hajj", "e"]
+
+
 def test_strict_tokens(spark):
     assert one(spark, "\"36. It is (never) so?", tx.strict_tokens(F.col("x"))) == ["it", "is", "never", "so", "qmark"]
     assert one(spark, "It is (never) so", tx.strict_tokens(F.col("x"), True)) == ["it", "is", "so"]

@@ -1,12 +1,14 @@
 """Text functions as Spark column expressions: comparison forms, tokens, shingles, scripts, readability, markup.
 
-Letters and digits are written [\\p{L}\\p{N}_]: Java's \\w knows ASCII only. Compatibility characters (NFKC) have no
-built-in; nfkc() is an Arrow UDF for texts that hold any, and the other functions take what it returns.
+Letters and digits are written [\\p{L}\\p{N}_]: Java's \\w knows ASCII only. NFKC has no built-in: compatible() does what it does to
+single characters, by a table built from its rule, for texts that hold any beyond the Latin ones; nfkc() is an Arrow UDF that also
+composes letters from parts.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -25,6 +27,24 @@ MORE_FORMS = ("یکہۃھ", "يكههه")
 ELLIPSIS = r"\.(?:\s*\.){2,}"
 
 
+def _table(points: list[range], form: Callable[[str], str]) -> tuple[str, str]:
+    """Characters that a form makes another single character, and these."""
+    pairs = [(chr(p), form(chr(p))) for r in points for p in r]
+    pairs = [(a, b) for a, b in pairs if a != b and len(b) == 1 and not b.isspace()]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def _without_marks(c: str) -> str:
+    return unicodedata.normalize("NFC", "".join(x for x in unicodedata.normalize("NFKD", c) if not "\u0300" <= x <= "\u036f"))
+
+
+COMPATIBLE = _table([range(0x250, 0xD800), range(0xF900, 0xFFF0)], lambda c: unicodedata.normalize("NFKC", c))
+#: Characters that stand for several.
+EXPANDED = tuple((c, unicodedata.normalize("NFKC", c)) for c in "…ﬀﬁﬂﬃﬄﬅﬆﷲﷳﷴﻵﻷﻹﻻ")
+_BEYOND = r"[^\x00-\x{024F}]"
+PLAIN = _table([range(0xC0, 0x250), range(0x1E00, 0x1F00)], _without_marks)
+
+
 @F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
@@ -43,13 +63,26 @@ def without_accents(text: pd.Series) -> pd.Series:
     return text.map(plain)
 
 
+def compatible(c: Column) -> Column:
+    """Compatibility characters as what they stand for: presentation forms, full width, ligatures, the ellipsis."""
+    t = F.translate(c, *COMPATIBLE)
+    for a, b in EXPANDED:
+        t = F.replace(t, F.lit(a), F.lit(b))
+    return F.when(c.rlike(_BEYOND), t).otherwise(c)
+
+
+def latin_plain(c: Column) -> Column:
+    """Latin letters without their marks; others keep theirs."""
+    return F.regexp_replace(F.translate(c, *PLAIN), r"[\x{0300}-\x{036F}]", "")
+
+
 def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
 def normalize(c: Column) -> Column:
     """The form in which texts are compared for ranking; null becomes empty."""
-    c = F.coalesce(c, F.lit(""))
+    c = compatible(F.coalesce(c, F.lit("")))
     for pattern in (FOOTNOTE, LEADING_NUMBER, PARENTHESES):
         c = F.regexp_replace(c, pattern, " ")
     c = F.translate(F.regexp_replace(c, DIACRITICS, ""), *LETTER_FORMS)
@@ -64,11 +97,11 @@ def tokens(c: Column) -> Column:
 
 def strict_tokens(c: Column, strip_parentheses: bool = False) -> Column:
     """Words for identity: only case, punctuation but the question mark, numbering and letter forms are left out."""
-    c = F.regexp_replace(F.coalesce(c, F.lit("")), r"\p{Cf}", "")
+    c = F.regexp_replace(compatible(F.coalesce(c, F.lit(""))), r"\p{Cf}", "")
     for pattern in (FOOTNOTE, QUOTED_NUMBER, PASSAGE_NUMBER, *([PARENTHESES] if strip_parentheses else [])):
         c = F.regexp_replace(c, pattern, " ")
     c = F.translate(F.regexp_replace(c, DIACRITICS, ""), LETTER_FORMS[0] + MORE_FORMS[0], LETTER_FORMS[1] + MORE_FORMS[1])
-    return F.regexp_extract_all(F.lower(F.regexp_replace(c, "[?؟]", " qmark ")), F.lit(r"[\p{L}\p{N}\p{M}]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(latin_plain(F.regexp_replace(c, "[?؟]", " qmark "))), F.lit(r"[\p{L}\p{N}\p{M}]+"), F.lit(0))
 
 
 def shingles(words: Column, n: int) -> Column:
@@ -142,8 +175,16 @@ def collapse_sql(x: str) -> str:
     return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
 
 
+def compatible_sql(x: str) -> str:
+    a, b = (y.replace("'", "''") for y in COMPATIBLE)
+    t = f"translate({x}, '{a}', '{b}')"
+    for a, b in EXPANDED:
+        t = f"replace({t}, '{a}', '{b}')"
+    return f"(CASE WHEN regexp_matches({x}, '{_BEYOND}') THEN {t} ELSE {x} END)"
+
+
 def normalize_sql(x: str) -> str:
-    x = f"coalesce({x}, '')"
+    x = compatible_sql(f"coalesce({x}, '')")
     for pattern in (r"\[\p{Nd}+\]", r"^\s*\p{Nd}+\s*[.)]\s*", r"\([^)]*\)"):
         x = f"regexp_replace({x}, '{pattern}', ' ', 'g')"
     x = f"translate(regexp_replace({x}, '{DIACRITICS}', '', 'g'), '{LETTER_FORMS[0]}', '{LETTER_FORMS[1]}')"
@@ -156,12 +197,13 @@ def tokens_sql(x: str) -> str:
 
 
 def strict_sql(x: str, strip_parentheses: bool = False) -> str:
-    x = rf"regexp_replace(coalesce({x}, ''), '\p{{Cf}}', '', 'g')"
+    x = rf"regexp_replace({compatible_sql(f"coalesce({x}, '')")}, '\p{{Cf}}', '', 'g')"
     quoted = QUOTED_NUMBER.replace("'", "''")
     for pattern in (FOOTNOTE, quoted, PASSAGE_NUMBER, *([PARENTHESES] if strip_parentheses else [])):
         x = f"regexp_replace({x}, '{pattern}', ' ', 'g')"
     x = f"translate(regexp_replace({x}, '{DIACRITICS}', '', 'g'), '{LETTER_FORMS[0] + MORE_FORMS[0]}', '{LETTER_FORMS[1] + MORE_FORMS[1]}')"
-    return rf"regexp_extract_all(lower(regexp_replace({x}, '[?؟]', ' qmark ', 'g')), '[\p{{L}}\p{{N}}\p{{M}}]+')"
+    x = rf"regexp_replace(translate(regexp_replace({x}, '[?؟]', ' qmark ', 'g'), '{PLAIN[0]}', '{PLAIN[1]}'), '[\x{{0300}}-\x{{036F}}]', '', 'g')"
+    return rf"regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}\p{{M}}]+')"
 
 
 def shingles_sql(w: str, n: int) -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as sm
 from ..functions import text as tx
-from .passages import nearest_rank
+from .passages import value_at
 
 # --- vectors ---------------------------------------------------------------------------------------------------------
 
@@ -106,8 +106,10 @@ def fingerprint(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFra
 def round_robin(rows: DataFrame, by: str, order: list[str], n: int) -> DataFrame:
     """The first of each group, then the second of each, until n."""
     nth = F.row_number().over(Window.partitionBy(by).orderBy(*order))
-    return rows.withColumn("nth", nth.cast("long")).orderBy("nth", by).limit(n)
+    return rows.withColumn("nth", nth.cast("long")).where(F.col("nth") <= n).orderBy("nth", by).limit(n)
 
 
 def percentile(rows: DataFrame, by: str, value: str, share: float = 0.95) -> DataFrame:
-    return rows.groupBy(by).agg(nearest_rank(F.col(value), share).alias("p"))
+    """(by, p): sorted(value)[int(share * (n - 1))] of each group, from how often each value occurs."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    return value_at(counts, "p", share, by)

@@ -57,22 +57,25 @@ def shortest(rend: DataFrame) -> DataFrame:
     return rend.groupBy("item_id").agg(F.min(F.size(tx.tokens(F.col("text")))).cast("long").alias("ref_len"))
 
 
-def nearest_rank(value: Column, share: float) -> Column:
-    """sorted(x)[int(share * (n - 1))] over a group."""
-    values = F.sort_array(F.collect_list(value))
-    return F.element_at(values, (F.floor(F.lit(share) * (F.size(values) - 1)) + 1).cast("int"))
-
-
 def upper_median(value: Column) -> Column:
     values = F.sort_array(F.collect_list(value))
     return F.element_at(values, (F.floor(F.size(values) / 2) + 1).cast("int"))
 
 
+def value_at(counts: DataFrame, value: str, share: float, *keys: str) -> DataFrame:
+    """(keys, value): sorted(x)[int(share * (n - 1))] of a group's values, from (keys, value, n): how often each occurs. Only distinct
+    values are ordered, so a group of any number of rows is as small as its range of values."""
+    w = Window.partitionBy(*keys)
+    rows = counts.withColumn("_to", F.sum("n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("n").over(w))
+    return rows.where(F.col("_to") > F.floor(F.lit(share) * (F.col("_all") - 1))).groupBy(*keys).agg(F.min(value).alias(value))
+
+
 def window_ladder(rend: DataFrame) -> DataFrame:
     """Window sizes for the search: the base sizes up to the 95th percentile of lengths, and that length."""
-    p95 = rend.agg(nearest_rank(F.size(tx.tokens(F.col("text"))), 0.95).alias("p95"))
-    sizes = F.array_sort(F.array_distinct(F.concat(F.filter(F.array(*map(F.lit, WINDOWS)), lambda s: s <= F.col("p95")), F.array("p95"))))
-    return p95.select("p95", F.explode(sizes).alias("window"))
+    sizes = rend.groupBy(F.size(tx.tokens(F.col("text"))).alias("p95")).agg(F.count(F.lit(1)).alias("n"))
+    p95 = value_at(sizes, "p95", 0.95)
+    ladder = F.array_sort(F.array_distinct(F.concat(F.filter(F.array(*map(F.lit, WINDOWS)), lambda s: s <= F.col("p95")), F.array("p95"))))
+    return p95.select("p95", F.explode(ladder).alias("window"))
 
 
 def plain_renderings(rend: DataFrame, most: float = 1.6) -> DataFrame:
