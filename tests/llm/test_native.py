@@ -50,6 +50,16 @@ def test_ledger_is_incremental(spark):
     assert {r["doc_id"]: len(r["spans"]) for r in secrets.secret_scan(two, own).collect()} == {4: 1, 5: 1}
 
 
+def test_ledger_names_all_versions(spark):
+    """A secret that later versions of a path no longer hold is still found on the earlier one, and on other paths to the same blob."""
+    own, key = ledger(spark), "AKIA" + "D" * 14
+    for rows in ([(1, f"x {key}", None), (2, "y", None)], [(1, "x", None), (3, f"x {key}", None)], [(1, "x", None)]):
+        last = secrets.secret_scan(frame(spark, rows), own).collect()
+    assert [len(r["spans"]) for r in last] == [0]
+    rows = own.history().collect()
+    assert sorted((r["doc_id"], r["rule"], r["start"]) for r in rows) == [(1, "access@1", 2), (3, "access@1", 2)] and len({r["scan"] for r in rows}) == 2
+
+
 def test_license_odd_and_empty(spark, odd, empty):
     rows = license_scan.license_scan(odd).collect()
     assert len(rows) == 10 and all(r["score"] == 0 for r in rows)

@@ -1,9 +1,10 @@
 """Secret scans over an incremental blob ledger.
 
 A blob is a distinct text, addressed by its SHA-256; documents (or file versions) are paths to blobs. The ledger is a
-folder with two tables: the pairs (blob, rule version) scanned so far, and findings (blob, rule, span). A scan
-addresses all paths, keeps the blobs with a pair that is not in the ledger, runs just the missing rules over one copy of
-each such blob, appends to both tables, and joins findings back to all paths. Every step is a DataFrame operation.
+folder with three tables: the paths of each scan, the pairs (blob, rule version) scanned so far, and findings (blob, rule, span).
+A scan addresses its paths, keeps the blobs with a pair that is not in the ledger, runs just the missing rules over one copy of
+each such blob, appends to the tables, and joins findings back to its paths; history() joins them to the paths of all scans, so
+every version that ever held a secret is named. Every step is a DataFrame operation.
 
 Positions come from splitting a text at a rule's matches: the lengths of pieces and matches, summed in order, are the
 spans. Before a blob's text is shuffled (to bring copies together), it must pass a rule's anchor, a pattern which each text
@@ -12,6 +13,7 @@ with a finding of that rule contains.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -84,9 +86,10 @@ class BlobLedger:
     def scan(self, paths: DataFrame, texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> int:
         """paths: (blob); texts: (blob, text), any number of copies. Returns the number of blobs with rules to run."""
         names = F.array(*[F.lit(r.name) for r in rules])
-        seen = self.scanned().select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("rules"))
         first = self.scanned().isEmpty()
         blobs = paths.groupBy("blob").agg(F.count(F.lit(1)).alias("copies"))
+        known = self.scanned() if first else self.scanned().join(blobs.select("blob"), "blob", "left_semi")  # of the ledger only what is asked for
+        seen = known.select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("rules"))
         todo = blobs.withColumn("todo", names) if first else blobs.join(seen, "blob", "left").withColumn("todo", F.array_except(names, F.coalesce("rules", F.array().cast("array<string>"))))
         todo = written(todo.where(F.size("todo") > 0).select("blob", "todo"), "ledger-todo")
         n = todo.count()
@@ -106,6 +109,18 @@ class BlobLedger:
         todo.withColumnRenamed("todo", "rules").write.mode("append").parquet(f"{self.path}/scanned")
         return n
 
+    def address(self, rows: DataFrame) -> DataFrame:
+        """Add the paths (doc_id, blob) of a scan; return them."""
+        where = f"{self.path}/paths/scan={uuid.uuid4().hex}"
+        rows.write.parquet(where)
+        return self.spark.read.schema(rows.schema).parquet(where)
+
+    def history(self, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+        """(scan, doc_id, blob, rule, start, end): findings on the paths of all scans. Paths of a hot blob are many, its findings few:
+        AQE splits its partition."""
+        paths = self.spark.read.option("basePath", f"{self.path}/paths").parquet(f"{self.path}/paths")
+        return paths.join(self.findings(rules), "blob").select("scan", "doc_id", "blob", "rule", "start", "end")
+
     def findings(self, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         """A row a span; a span found twice (by a scan cut short) counts once."""
         return self.found().where(F.col("rule").isin([r.name for r in rules])).distinct()
@@ -118,7 +133,7 @@ def secret_scan(docs: DataFrame, ledger: BlobLedger, id_col: str = "doc_id", tex
     Copies of a text share one scan and get the same spans.
     """
     addressed = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(text_of(text_col), 256)).alias("blob"))
-    paths = written(addressed, "secret-paths")
+    paths = ledger.address(addressed)
     texts = docs.select(text_of(text_col).alias("text")).select(F.unhex(F.sha2("text", 256)).alias("blob"), "text")
     ledger.scan(paths, texts, rules)
     place = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.name, i)])
