@@ -104,7 +104,7 @@ def check(docs: DataFrame, rend: DataFrame) -> DataFrame:
 
 def control(docs: DataFrame, rend: DataFrame) -> DataFrame:
     """Findings and verdicts of whole documents: one row a document."""
-    return ps.verdicts(docs, check(docs, rend))
+    return ps.verdicts(docs, ps.in_language(check(docs, rend), docs))
 
 
 def free_regions(docs: DataFrame, walls: DataFrame) -> DataFrame:

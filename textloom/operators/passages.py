@@ -227,12 +227,22 @@ def attributed(ranked: DataFrame, keys: tuple[str, ...] = ("doc_id", "item_id"))
     return found.select(*keys, F.when(state != "UNATTRIBUTED", F.col("edition")).alias("edition"), "score", state.alias("state"), "n_compared", runners.alias("runners_up"))
 
 
+def in_language(findings: DataFrame, docs: DataFrame, languages: tuple[str, ...] = ("en",)) -> DataFrame:
+    """Findings in documents of a language without renderings have the state NO_APPROVED_TRANSLATION and no edition. A null language
+    counts as the first."""
+    other = docs.where(~F.coalesce("lang", F.lit(languages[0])).isin(*languages)).select("doc_id").distinct().withColumn("_other", F.lit(True))
+    rows = findings.join(other, "doc_id", "left")
+    kept = lambda c: F.when(F.col("_other").isNull(), F.col(c))
+    return rows.withColumn("edition", kept("edition")).withColumn("state", F.coalesce(kept("state"), F.lit("NO_APPROVED_TRANSLATION"))).drop("_other").select(*findings.columns)
+
+
 def verdicts(docs: DataFrame, findings: DataFrame) -> DataFrame:
-    """One row a document: findings by state, and the verdict: REFER if any finding is not MATCH, CLEAR if all are, NO_QUOTES
-    without any. findings: (doc_id, item_id, state)."""
-    counts = findings.groupBy("doc_id").agg(*[F.count(F.when(F.col("state") == s, 1)).alias(s.lower()) for s in ("MATCH", "NEAR", "UNATTRIBUTED")], F.array_join(F.slice(F.sort_array(F.collect_set("item_id")), 1, 5), ",").alias("refs"))
-    rows = docs.select("doc_id").join(counts, "doc_id", "left").na.fill(0, ["match", "near", "unattributed"]).na.fill("", ["refs"])
-    verdict = F.when(F.col("near") + F.col("unattributed") > 0, "REFER").when(F.col("match") > 0, "CLEAR").otherwise("NO_QUOTES")
+    """One row a document: findings by state, and the verdict: REFER if any finding is NEAR or UNATTRIBUTED, NO_QUOTES without any,
+    NO_APPROVED_TRANSLATION if one has that state, CLEAR if all are MATCH. findings: (doc_id, item_id, state)."""
+    states = ("MATCH", "NEAR", "UNATTRIBUTED", "NO_APPROVED_TRANSLATION")
+    counts = findings.groupBy("doc_id").agg(*[F.count(F.when(F.col("state") == s, 1)).alias(s.lower()) for s in states], F.array_join(F.slice(F.sort_array(F.collect_set("item_id")), 1, 5), ",").alias("refs"))
+    rows = docs.select("doc_id").join(counts, "doc_id", "left").na.fill(0, [s.lower() for s in states]).na.fill("", ["refs"])
+    verdict = F.when(F.col("near") + F.col("unattributed") > 0, "REFER").when(F.col("match") + F.col("no_approved_translation") == 0, "NO_QUOTES").when(F.col("no_approved_translation") > 0, "NO_APPROVED_TRANSLATION").otherwise("CLEAR")
     return rows.select("*", verdict.alias("verdict"))
 
 

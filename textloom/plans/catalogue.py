@@ -317,11 +317,16 @@ def attribute_state_sim(s, d):
     return ps.attributed(sim_exact(s, d))
 
 
-@query(f"""{_ATTR}, n AS (SELECT doc_id, count(*) FILTER (state = 'MATCH') AS match, count(*) FILTER (state = 'NEAR') AS near, count(*) FILTER (state = 'UNATTRIBUTED') AS unattributed, array_to_string(list_sort(list_distinct(list(item_id)))[1:5], ',') AS refs FROM att GROUP BY doc_id)
-SELECT d.doc_id, coalesce(match, 0) AS match, coalesce(near, 0) AS near, coalesce(unattributed, 0) AS unattributed, coalesce(refs, '') AS refs,
-CASE WHEN coalesce(near, 0) + coalesce(unattributed, 0) > 0 THEN 'REFER' WHEN coalesce(match, 0) > 0 THEN 'CLEAR' ELSE 'NO_QUOTES' END AS verdict FROM documents d LEFT JOIN n USING (doc_id)""")
+_VERDICTS = f"""{_ATTR}, al AS (SELECT doc_id, item_id, CASE WHEN coalesce(lang, 'en') = 'en' THEN state ELSE 'NO_APPROVED_TRANSLATION' END AS state FROM att JOIN documents USING (doc_id)),
+n AS (SELECT doc_id, count(*) FILTER (state = 'MATCH') AS match, count(*) FILTER (state = 'NEAR') AS near, count(*) FILTER (state = 'UNATTRIBUTED') AS unattributed, count(*) FILTER (state = 'NO_APPROVED_TRANSLATION') AS no_approved_translation,
+ array_to_string(list_sort(list_distinct(list(item_id)))[1:5], ',') AS refs FROM al GROUP BY doc_id),
+vd AS (SELECT d.doc_id, coalesce(match, 0) AS match, coalesce(near, 0) AS near, coalesce(unattributed, 0) AS unattributed, coalesce(no_approved_translation, 0) AS no_approved_translation, coalesce(refs, '') AS refs,
+CASE WHEN coalesce(near, 0) + coalesce(unattributed, 0) > 0 THEN 'REFER' WHEN n.doc_id IS NULL THEN 'NO_QUOTES' WHEN no_approved_translation > 0 THEN 'NO_APPROVED_TRANSLATION' ELSE 'CLEAR' END AS verdict FROM documents d LEFT JOIN n USING (doc_id))"""
+
+
+@query(f"{_VERDICTS} SELECT * FROM vd")
 def document_verdict(s, d):
-    return ps.verdicts(_docs(s, d), attribute_rank_jaccard(s, d))
+    return ps.verdicts(_docs(s, d), ps.in_language(attribute_rank_jaccard(s, d), _docs(s, d)))
 
 
 @query(f"{_ATTR} SELECT lang, count(*) FILTER (state = 'MATCH') AS match, count(*) FILTER (state = 'NEAR') AS near, count(*) FILTER (state = 'UNATTRIBUTED') AS unattributed FROM att JOIN documents USING (doc_id) GROUP BY lang")

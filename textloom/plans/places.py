@@ -185,12 +185,11 @@ def checked_decisions(s, d):
     return ld.checked_decisions(new, e.select("user_id").where("user_id % 10 <> 0"), "user_id").select("event_id", "code")
 
 
-@query(f"""{c._ATTR}, n AS (SELECT doc_id, count(*) FILTER (state = 'MATCH') AS match, count(*) FILTER (state = 'NEAR') AS near, count(*) FILTER (state = 'UNATTRIBUTED') AS unattributed FROM att GROUP BY doc_id),
-r AS (SELECT d.doc_id, sha256(coalesce(text, '')) AS text_sha256, coalesce(match, 0) AS m, coalesce(near, 0) AS k, coalesce(unattributed, 0) AS u FROM documents d LEFT JOIN n USING (doc_id))
-SELECT substr(sha1(CAST(doc_id AS VARCHAR) || '|' || text_sha256), 1, 16) AS check_id, text_sha256, CASE WHEN k + u > 0 THEN 'REFER' WHEN m > 0 THEN 'CLEAR' ELSE 'NO_QUOTES' END AS verdict, '{{"match":' || m || ',"near":' || k || ',"unattributed":' || u || '}}' AS payload FROM r""")
+@query(f"""{c._VERDICTS} SELECT substr(sha1(CAST(doc_id AS VARCHAR) || '|' || sha256(coalesce(text, ''))), 1, 16) AS check_id, sha256(coalesce(text, '')) AS text_sha256, verdict,
+'{{"match":' || match || ',"near":' || near || ',"unattributed":' || unattributed || '}}' AS payload FROM vd JOIN documents USING (doc_id)""")
 def check_records(s, d):
     docs = table(s, d, "documents")
-    return ld.check_records(docs, ps.verdicts(docs, c.attribute_rank_jaccard(s, d)))
+    return ld.check_records(docs, c.document_verdict(s, d))
 
 
 @query("""WITH r AS (SELECT user_id, min(event_id) AS e FROM events GROUP BY user_id), v AS (SELECT user_id, string_agg(CAST(event_id AS VARCHAR) || ':' || CASE event_type WHEN 'click' THEN 'approve' WHEN 'view' THEN 'replace' ELSE 'escalate' END, ',' ORDER BY event_id) AS review FROM events WHERE event_type IN ('click', 'view', 'error') GROUP BY user_id)
