@@ -84,7 +84,7 @@ def test_verbatim(spark):
 def test_longest_run_is_difflibs(spark):
     docs = spark.createDataFrame([(1, "x a b c d e y a b c d e f"), (2, "q r s t")], "doc_id long, text string")
     passages = spark.createDataFrame([(7, "a b c d e f g")], "item_id long, text string")
-    got = ps.longest_run(ps.word_pairs(docs, passages, 4)).collect()
+    got = ps.longest_run(docs, passages, 4).collect()
     m = SequenceMatcher(None, "x a b c d e y a b c d e f".split(), "a b c d e f g".split(), autojunk=False).find_longest_match()
     assert [(r["doc_id"], r["run"], r["doc_start"], r["passage_start"]) for r in got] == [(1, m.size, m.a, m.b)]
 

@@ -228,8 +228,10 @@ def attributed(ranked: DataFrame, keys: tuple[str, ...] = ("doc_id", "item_id"))
 
 
 def in_language(findings: DataFrame, docs: DataFrame, languages: tuple[str, ...] = ("en",)) -> DataFrame:
-    """Findings in documents of a language without renderings have the state NO_APPROVED_TRANSLATION and no edition. A null language
-    counts as the first."""
+    """Findings in documents of a language (column lang) without renderings have the state NO_APPROVED_TRANSLATION and no edition. A null
+    language counts as the first; without the column all documents do."""
+    if "lang" not in docs.columns:
+        return findings
     other = docs.where(~F.coalesce("lang", F.lit(languages[0])).isin(*languages)).select("doc_id").distinct().withColumn("_other", F.lit(True))
     rows = findings.join(other, "doc_id", "left")
     kept = lambda c: F.when(F.col("_other").isNull(), F.col(c))
