@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import gc
 import shutil
 import tempfile
 import uuid
@@ -52,7 +51,8 @@ def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, safe against lost executors."""
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    with shuffles_end(spark):
+        df.write.option("compression", codec).parquet(path)
     if _open:
         _open[-1].append(path)
     table = spark.read.schema(df.schema).parquet(path)
@@ -92,12 +92,6 @@ def drop_written(table: DataFrame) -> None:
         remove(table.sparkSession, table.textloom_path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of steps that have ended and that nothing refers to, so that they do not add up."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def small_batches(spark: SparkSession) -> None:
     """Let the session hand Python at most ARROW_BYTES a batch (results do not depend on it, and a lower bound stays)."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -143,6 +137,11 @@ def conf(spark: SparkSession, **settings: str):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def shuffles_end(spark: SparkSession):
+    """Within it, the shuffle files of an action go when the action has ended, so that those of many steps do not add up."""
+    return conf(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true")
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z only to lower case. Pure ASCII texts take the JVM's fast path, which does the same to them."""
     return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

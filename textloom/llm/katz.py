@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import conf, documents, release, remove, scratch, small_batches, text_of, work_path, written
+from .common import conf, documents, remove, scratch, shuffles_end, small_batches, text_of, work_path, written
 from .kernel import U, mix, text_batches, words
 
 #: Tokens a chunk holds at least, unless its task has no more, and keys a range is to hold, about.
@@ -307,10 +307,10 @@ def _evaluate(docs: DataFrame, table: DataFrame, told: DataFrame, model: Model,
         parts = keep(written(scored(table, told, model), "katz-parts"))
         if store:
             remove(spark, f"{store}/ngrams/answers=true")
-        release(spark)
         logs = weights(parts, ranges, contexts).withColumn("answers", F.col("chunk") != TABLE)
         if store:
-            logs.write.partitionBy("answers").parquet(f"{store}/contexts")
+            with shuffles_end(spark):
+                logs.write.partitionBy("answers").parquet(f"{store}/contexts")
             logs = spark.read.schema(logs.schema).parquet(f"{store}/contexts")
         logs = logs.where("answers").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("range", "weights"))).alias("logs"))
 
@@ -351,11 +351,10 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         table = written(chunks(docs, id_col, text_col, held), "katz-chunks")
     total, trained = table.agg(F.sum("n"), F.sum("trained")).first()
     ranges = max(1, ceil((total or 0) / RANGE))
-    with conf(spark, spark__sql__execution__arrow__maxRecordsPerBatch="1"):
+    with conf(spark, spark__sql__execution__arrow__maxRecordsPerBatch="1"), shuffles_end(spark):
         told = counts(table, ranges).withColumn("answers", F.col("chunk") != TABLE)
         told.write.partitionBy("answers", "kind").parquet(f"{store}/ngrams")
         told = spark.read.schema(told.schema).parquet(f"{store}/ngrams").where("answers")
-        release(spark)
     sizes = [F.sum(c).alias(c) for c in ("types", "n", *(f"r{r}" for r in range(1, K + 2)))]
     stats = told.groupBy("kind").agg(*sizes).withColumn("trained", F.lit(trained or 0).cast("long")).withColumn("ranges", F.lit(ranges).cast("long"))
     stats.coalesce(1).write.parquet(f"{store}/sizes")
