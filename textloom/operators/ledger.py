@@ -48,13 +48,16 @@ def enqueued(queue: DataFrame, findings: DataFrame, keys: list[str]) -> DataFram
     return findings.dropDuplicates(keys).join(queue.select(*keys), keys, "left_anti")
 
 
-def violations(events: DataFrame, key: str, order: str, time: str) -> DataFrame:
-    """What an append-only log cannot hold: repeated keys, and times that run back (by key order)."""
+def violations(events: DataFrame, key: str, order: str, time: str, block: int = 100_000) -> DataFrame:
+    """(event_id, fault): what an append-only log cannot hold: repeated keys, and times before that of an earlier row (by `order`, a
+    number). Rows are compared within blocks of the order, whose largest times are carried over."""
     repeated = events.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col(key).alias("event_id"), F.lit("repeated").alias("fault"))
-    day = F.to_date(time)
-    w = Window.partitionBy(day).orderBy(order)  # a day at a time
-    back = events.withColumn("_before", F.lag(time).over(w)).where(F.col(time) < F.col("_before")).select(F.col(key).alias("event_id"), F.lit("time runs back").alias("fault"))
-    return repeated.unionByName(back)
+    rows = events.withColumn("_block", F.floor(F.col(order) / block))
+    latest = rows.groupBy("_block").agg(F.max(time).alias("_last"))  # a row a block
+    carried = latest.select("_block", F.max("_last").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
+    earlier = Window.partitionBy("_block").orderBy(order).rangeBetween(Window.unboundedPreceding, -1)
+    told = rows.join(carried, "_block").withColumn("_before", F.greatest(F.max(time).over(earlier), F.col("_carried")))
+    return repeated.unionByName(told.where(F.col(time) < F.col("_before")).select(F.col(key).alias("event_id"), F.lit("time runs back").alias("fault")).distinct())
 
 
 def payload(df: DataFrame, *columns: str) -> DataFrame:

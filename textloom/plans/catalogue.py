@@ -508,10 +508,14 @@ def idempotent_enqueue(s, d):
     return ld.enqueued(e.where("event_id % 3 = 0"), e.where("event_type <> 'click'").select("user_id", "event_type"), ["user_id", "event_type"])
 
 
-@query("""SELECT event_id, 'repeated' AS fault FROM events GROUP BY event_id HAVING count(*) > 1
-UNION ALL SELECT event_id, 'time runs back' FROM (SELECT event_id, ts, lag(ts) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY event_id) AS b FROM events) WHERE ts < b""")
+@query("""WITH l AS (SELECT event_id, CASE WHEN event_id % 89 = 5 THEN ts - INTERVAL 2 DAY ELSE ts END AS ts FROM events UNION ALL SELECT event_id, ts FROM events WHERE event_id % 97 = 3)
+SELECT event_id, 'repeated' AS fault FROM l GROUP BY event_id HAVING count(*) > 1
+UNION ALL SELECT DISTINCT event_id, 'time runs back' FROM (SELECT event_id, ts, max(ts) OVER (ORDER BY event_id RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM l) WHERE ts < b""")
 def append_only_violations(s, d):
-    return ld.violations(table(s, d, "events"), "event_id", "event_id", "ts")
+    """A log of the events in which some are written twice and some have an earlier time."""
+    e = table(s, d, "events").select("event_id", "ts")
+    late = e.withColumn("ts", F.when(F.col("event_id") % 89 == 5, F.col("ts") - F.expr("INTERVAL 2 DAYS")).otherwise(F.col("ts")))
+    return ld.violations(late.unionByName(e.where("event_id % 97 = 3")), "event_id", "event_id", "ts", 1000)
 
 
 # --- vectors -------------------------------------------------------------------------------------------------------------
@@ -544,10 +548,18 @@ def vector_topk(s, d):
     return _top(s, d).withColumn("score", F.round("score", 5))
 
 
-@query(f"WITH {_TOP} SELECT q, key, round(greatest(0, least(1, 0.8 * score + 0.2 * score)), 4) AS score FROM top")
+_TOP_EVEN = """m2 AS (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM u WHERE vec_id % 2 = 0) GROUP BY label, i), c2 AS (SELECT label, list(m ORDER BY i) AS c FROM m2 GROUP BY label),
+e2 AS (SELECT label, list_transform(c, lambda x: x / sqrt(list_sum(list_transform(c, lambda y: y * y)))) AS v FROM c2),
+s2 AS (SELECT vec_id AS q, e2.label AS key, round(list_sum(list_transform(range(1, len(u.v) + 1), lambda i: u.v[i] * e2.v[i])), 6) AS score FROM u, e2 WHERE vec_id % 50 = 0), top2 AS (SELECT * FROM s2 QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, key) <= 5)"""
+
+
+@query(f"WITH {_TOP}, {_TOP_EVEN} SELECT q, key, round(greatest(0, least(1, sum(s))), 4) AS score FROM (SELECT q, key, score * 0.8::DOUBLE AS s FROM top UNION ALL SELECT q, key, score * 0.2::DOUBLE FROM top2) GROUP BY q, key")
 def fused_score(s, d):
-    top = _top(s, d)
-    return ev.fused([(top, 0.8), (top, 0.2)])
+    """Centroids of all vectors, and those of every second one, as two indices."""
+    e = table(s, d, "embeddings")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), sm.unit(F.col("embedding")).alias("qv"))
+    half = ev.centroids(e.where("vec_id % 2 = 0"), "label", "embedding").select(F.col("label").alias("key"), F.col("centroid").alias("v"))
+    return ev.fused([(_top(s, d), 0.8), (ev.vector_top(q, half, 5), 0.2)])
 
 
 @query(f"""WITH {_TOP}, l AS (SELECT *, round(score - coalesce(lead(score) OVER (PARTITION BY q ORDER BY place), 0), 6) AS margin FROM top)
