@@ -127,6 +127,46 @@ def test_a_run_of_five_words_is_found(spark):
     assert sorted((r["start"], r["end"]) for r in ps.run_spans(docs, passages).collect()) == [(2, 7), (8, 13)]
 
 
+def test_only_documents_with_a_run_are_read_on(spark):
+    docs = spark.createDataFrame([(1, "x y a b c d e z"), (2, None), (3, "a b c"), (None, "b c d e"), (5, "a b c x d e")], "doc_id long, text string")
+    passages = spark.createDataFrame([(7, "q a b c d e r")], "item_id long, text string")
+    assert {r["doc_id"] for r in ps.sharing(docs, passages, 4).collect()} == {1, None}
+
+
+def test_ladder_finds_what_single_sizes_find(spark):
+    import random
+
+    rng = random.Random(5)
+    text = lambda n: " ".join(rng.choice([f"w{i}" for i in range(60)]) for _ in range(n))
+    docs = spark.createDataFrame([(i, text(n)) for i, n in enumerate((0, 3, 8, 37, 90))], "doc_id long, text string")
+    post = spark.createDataFrame([(f"w{i}", j, (i * 7 + j) % 5 + 0.5) for i in range(60) for j in range(12) if (i + j) % 3 == 0], "token string, item_id long, weight double")
+    got = ps.lexical_ladder(ps.words_of(docs, "doc_id"), post, (5, 8, 2)).select("doc_id", "start.start", "start.size", "item_id", "score", "place").collect()
+    want = [(r["doc_id"], r["start"], n, r["item_id"], r["score"], r["place"]) for n in (5, 8, 2) for r in ps.lexical_top(ps.sliding_windows(docs, n, max(1, n // 3)), post).collect()]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_bounds_do_not_change_a_walk():
+    import random
+
+    from textloom.operators import detect as dt
+
+    rng = random.Random(3)
+    words = [rng.choice("alpha beta gamma delta eta theta iota kappa mu nu xi rho".split()) for _ in range(60)]
+    for n in (6, 12, 40):
+        approved = " ".join(words[10 : 10 + n])
+        like = dt.Likeness(words, approved)
+        for start in range(0, 40, 3):
+            at = (start, start + n)
+            while True:  # the walk without bounds
+                tried = [(at[0] + a, at[1] + b) for a, b in dt.MOVES]
+                inside = [t for t in tried if max(0, start - like.reach) <= t[0] and t[1] <= min(60, start + n + like.reach) and t[1] - t[0] >= 3]
+                score = lambda t: sm.similarity(" ".join(words[t[0] : t[1]]), approved)
+                at, last = next((t for t in inside if score(t) > score(at) + 1e-9), at), at
+                if at == last:
+                    break
+            assert dt.walk(words, start, start + n, approved, like) == (*at, score(at))
+
+
 def test_guard_fails_safe(spark):
     sents = spark.createDataFrame([(1, 0, "it is told that a b c d e f is so"), (1, 1, "plain words here")], "doc_id long, nth int, sentence string")
     rend = ps.renderings(spark.createDataFrame([(1, "a b c d e f g h i j k")], "item_id long, text string"))

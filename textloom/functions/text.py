@@ -81,12 +81,14 @@ def collapse(c: Column) -> Column:
 
 
 def normalize(c: Column) -> Column:
-    """The form in which texts are compared for ranking; null becomes empty."""
-    c = compatible(F.coalesce(c, F.lit("")))
+    """The form in which texts are compared for ranking; null becomes empty. Latin texts without brackets skip the steps that find nothing in them."""
+    raw = F.coalesce(c, F.lit(""))
+    words = lambda x: F.trim(F.lower(F.regexp_replace(x, r"[^\p{L}\p{N}_]+", " ")))
+    c = compatible(raw)
     for pattern in (FOOTNOTE, LEADING_NUMBER, PARENTHESES):
         c = F.regexp_replace(c, pattern, " ")
     c = F.translate(F.regexp_replace(c, DIACRITICS, ""), *LETTER_FORMS)
-    return collapse(F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}_\s]", " ")))
+    return F.when(raw.rlike(r"[\[(]|" + _BEYOND), words(c)).otherwise(words(F.regexp_replace(raw, LEADING_NUMBER, " ")))
 
 
 def tokens(c: Column) -> Column:

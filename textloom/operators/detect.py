@@ -8,41 +8,85 @@ that carry all it needs: the document's words around the seed and the two closes
 from __future__ import annotations
 
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity as sm
 from ..functions import text as tx
+from ..sources.store import written
 from . import passages as ps
 
 #: Least score of a seed and of a span, of a span of few words, and which spans have few; most steps of the walk,
 #: and words between a span and a fragment of it.
 SEED, SPAN, SHORT, LEAST_WORDS, FEW_WORDS, STEPS, SAME_GAP = 0.42, 0.55, 0.75, 6, 12, 400, 5
+#: Words of a document whose seeds are walked together.
+BLOCK = 256
+SPANS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
 MOVES = tuple((a * n, b * n) for n in (1, 2) for a, b in ((-1, 0), (1, 0), (0, -1), (0, 1)))
 
 
-def walk(words: list[str], start: int, end: int, approved: str) -> tuple[int, int, float]:
-    """Move the edges of words[start:end], one or two words at a time, as long as that makes it more like the approved text;
-    the first move of MOVES that helps is taken. At least three words stay."""
-    known: dict[tuple[int, int], float] = {}
+class Likeness:
+    """sm.similarity of stretches of words with one approved text, each told once. What the approved text needs is made once, and a
+    bound on the characters in common spares most comparisons whose result cannot reach what is asked for."""
+
+    def __init__(self, words: list[str], approved: str) -> None:
+        self.words, self.approved, self.set, self.reach = words, approved, set(approved.split()), max(4, len(approved.split()))
+        self.known: dict[tuple[int, int], float] = {}
+        self.bounds: dict[tuple[int, int], float] = {}
+        self.matcher = SequenceMatcher(None, "", approved)
+
+    def _sets(self, span: tuple[int, int]) -> tuple[str, float]:
+        text = " ".join(self.words[span[0] : span[1]])
+        x = set(text.split())
+        return text, sm.SETS * (len(x & self.set) / len(x | self.set) if x | self.set else 0.0)
+
+    def score(self, span: tuple[int, int]) -> float:
+        if span not in self.known:
+            text, sets = self._sets(span)
+            self.matcher.set_seq1(text)
+            self.known[span] = sm.SEQUENCE * self.matcher.ratio() + sets if text and self.approved else 0.0
+        return self.known[span]
+
+    def may_exceed(self, span: tuple[int, int], floor: float) -> bool:
+        if span in self.known:
+            return self.known[span] > floor
+        if span not in self.bounds:
+            text, sets = self._sets(span)
+            self.matcher.set_seq1(text)
+            self.bounds[span] = sm.SEQUENCE * self.matcher.quick_ratio() + sets
+        return self.bounds[span] > floor - 1e-12
 
-    def score(span: tuple[int, int]) -> float:
-        if span not in known:
-            known[span] = sm.similarity(" ".join(words[span[0] : span[1]]), approved)
-        return known[span]
 
-    reach = max(4, len(approved.split()))
-    low, high = max(0, start - reach), min(len(words), end + reach)
+def walk(words: list[str], start: int, end: int, approved: str, like: Likeness | None = None) -> tuple[int, int, float]:
+    """Move the edges of words[start:end], one or two words at a time, as long as that makes it more like the approved text;
+    the first move of MOVES that helps is taken. At least three words stay. Walks over the same words share `like`."""
+    like = like or Likeness(words, approved)
+    low, high = max(0, start - like.reach), min(len(words), end + like.reach)
     at = (start, end)
     for _ in range(STEPS):
+        floor = like.score(at) + 1e-9
         tried = ((at[0] + a, at[1] + b) for a, b in MOVES)
-        better = next((t for t in tried if low <= t[0] and t[1] <= high and t[1] - t[0] >= 3 and score(t) > score(at) + 1e-9), None)
+        better = next((t for t in tried if low <= t[0] and t[1] <= high and t[1] - t[0] >= 3 and like.may_exceed(t, floor) and like.score(t) > floor), None)
         if better is None:
             break
         at = better
-    return *at, score(at)
+    return *at, like.score(at)
+
+
+def refined(words: list[str], stretches: list[tuple[int, int]], approved: list[tuple[int, str]]) -> Iterator[tuple[int, int, float]]:
+    """Each stretch walked towards the two renderings (edition, text) whose words are most like its own, if it is like them at all."""
+    likes = [(edition, set(text.split(" ")), Likeness(words, text)) for edition, text in approved]
+    for start, end in stretches:
+        own = set(words[start:end])
+        # a stretch without words and a rendering without words have no word in common
+        near = sorted(likes, key=lambda x: (-(len(own & x[1]) / len(own | x[1])) if own | x[1] else 0.0, x[0]))[:2]
+        for _, _, like in near:
+            if like.may_exceed((start, end), SEED - 1e-9) and like.score((start, end)) >= SEED:
+                yield walk(words, start, end, like.approved, like)
 
 
 def seeds(docs: DataFrame, rend: DataFrame) -> DataFrame:
@@ -55,35 +99,38 @@ def seeds(docs: DataFrame, rend: DataFrame) -> DataFrame:
     found = ps.common_runs(docs, first).join(sizes, "item_id").select("doc_id", "item_id", begin.alias("start"), (begin + F.col("n")).alias("end"))
     near = found.select("doc_id", "item_id").distinct()
     met, post = docs.join(near.select("doc_id").distinct(), "doc_id", "left_semi"), ps.postings(rend)
-    w = ps.words_of(met, "doc_id").where(F.size("w") > 0)
-    starts = lambda size: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - size), F.lit(max(1, size // 3))), lambda a: F.struct(a.alias("start"), F.lit(size).alias("size")))
-    windows = w.select("doc_id", "w", F.explode(F.concat(*map(starts, ps.WINDOWS))).alias("x")).select("doc_id", F.struct("x.start", "x.size").alias("start"), F.slice("w", F.col("x.start") + 1, F.col("x.size")).alias("words"))
-    top = ps.lexical_top(windows, post).join(near, ["doc_id", "item_id"], "left_semi")
+    top = ps.lexical_ladder(ps.words_of(met, "doc_id"), post).join(near, ["doc_id", "item_id"], "left_semi")
     by_words = top.select("doc_id", "item_id", F.col("start.start").cast("long").alias("start"), (F.col("start.start") + F.col("start.size")).cast("long").alias("end"))
     return found.unionByName(by_words).distinct()
 
 
 def spans(docs: DataFrame, rend: DataFrame) -> DataFrame:
-    """(doc_id, item_id, start, end, score): refined spans that pass the gate, overlaps resolved."""
-    words = ps.words_of(docs, "doc_id")
-    approved = rend.select("item_id", "edition", tx.normalize(F.col("text")).alias("approved"))
-    rows = seeds(docs, rend).join(words, "doc_id").withColumn("end", F.least("end", F.size("w").cast("long")))
-    rows = rows.withColumn("cut", F.slice("w", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int"))).join(approved, "item_id")
-    alike = sm.jaccard(F.array_distinct("cut"), F.array_distinct(F.split("approved", " ")))
-    place = F.row_number().over(Window.partitionBy("doc_id", "item_id", "start", "end").orderBy(F.desc(alike), "edition"))
-    rows = rows.withColumn("_p", place).where("_p <= 2").select("doc_id", "item_id", "start", "end", "w", "approved")
-
-    def refine(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(doc_id, item_id, start, end, score): refined spans that pass the gate, overlaps resolved. Documents that share no run with a
+    passage go at once; the others are written. Seeds of a pair that begin in the same BLOCK of words are walked together, with
+    the words around them."""
+    met = written(ps.sharing(docs, rend.where("edition = 0").select("item_id", "text"), ps.SMALL_RUN).select("doc_id", "text"), "detect-documents")
+    words = ps.words_of(met, "doc_id")
+    text = tx.normalize(F.col("text"))
+    approved = rend.select("item_id", F.struct("edition", text.alias("text")).alias("x"), F.size(F.split(text, " ")).alias("n"))
+    approved = approved.groupBy("item_id").agg(F.collect_list("x").alias("approved"), F.greatest(F.lit(4), F.max("n")).alias("reach"))
+    blocks = seeds(met, rend).groupBy("doc_id", "item_id", F.floor(F.col("start") / BLOCK).alias("block")).agg(F.collect_list(F.struct("start", "end")).alias("stretches"), F.min("start").alias("first"), F.max("end").alias("last"))
+    low = F.greatest(F.lit(0), F.col("first") - F.col("reach")).cast("int")
+    rows = blocks.join(approved, "item_id").join(words, "doc_id").withColumn("low", low)
+    rows = rows.select("doc_id", "item_id", "low", F.array_join(F.slice("w", F.col("low") + 1, (F.col("last") + F.col("reach") - F.col("low")).cast("int")), " ").alias("words"), "stretches", "approved")
+
+    def refine(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             out = []
-            for r in part.itertuples(index=False):
-                w = list(r.w)
-                if sm.similarity(" ".join(w[r.start : r.end]), r.approved) >= SEED:
-                    a, b, s = walk(w, r.start, r.end, r.approved)
-                    out.append((r.doc_id, r.item_id, a, b, round(s, 6)))
-            yield pd.DataFrame(out, columns=["doc_id", "item_id", "start", "end", "score"])
-
-    found = rows.mapInPandas(refine, "doc_id bigint, item_id bigint, start bigint, end bigint, score double")
+            for r in part.to_pylist():
+                w, at = r["words"].split(" "), r["low"]
+                stretches = [(x["start"] - at, min(x["end"] - at, len(w))) for x in r["stretches"]]
+                found = set(refined(w, stretches, [(x["edition"], x["text"]) for x in r["approved"]]))
+                out += [{"doc_id": r["doc_id"], "item_id": r["item_id"], "start": a + at, "end": b + at, "score": round(s, 6)} for a, b, s in found]
+            yield pa.RecordBatch.from_pylist(out, SPANS)
+
+    # dealt anew: a pair's blocks are much work for few bytes
+    rows = rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "doc_id", "item_id", "low")
+    found = rows.mapInArrow(refine, "doc_id bigint, item_id bigint, start bigint, end bigint, score double")
     n = F.col("end") - F.col("start")
     gate = (F.col("score") >= SPAN) & (n >= LEAST_WORDS) & ((n >= FEW_WORDS) | (F.col("score") >= SHORT))
     return ps.resolve_overlaps(found.where(gate).distinct(), SAME_GAP)
@@ -94,7 +141,9 @@ def check(docs: DataFrame, rend: DataFrame) -> DataFrame:
     renderings. MATCH stands only if a rendering has exactly these words; else it is NEAR."""
     keys = ("doc_id", "item_id", "start", "end")
     cut = F.array_join(F.slice("w", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int")), " ")
-    quotes = spans(docs, rend).join(ps.words_of(docs, "doc_id"), "doc_id").select(*keys, cut.alias("quote"))
+    found = written(spans(docs, rend), "detect-spans")
+    met = docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi")
+    quotes = found.join(ps.words_of(met, "doc_id"), "doc_id").select(*keys, cut.alias("quote"))
     told = ps.attributed(ps.ranked_editions(quotes, rend, "sim", keys), keys)
     words = rend.select("item_id", tx.strict_tokens(F.col("text")).alias("a"), tx.strict_tokens(F.col("text"), True).alias("b"))
     same = quotes.join(words, "item_id").select(*keys, sm.verbatim(F.split("quote", " "), F.col("a"), F.col("b")).isNotNull().cast("int").alias("v")).groupBy(*keys).agg(F.max("v").alias("v"))

@@ -88,9 +88,19 @@ def plain_renderings(rend: DataFrame, most: float = 1.6) -> DataFrame:
 # --- pairs -----------------------------------------------------------------------------------------------------------
 
 
+def sharing(docs: DataFrame, passages: DataFrame, n: int) -> DataFrame:
+    """docs without those that surely share no run of n words with a passage: runs meet as hashes of 64 bits, so nothing else is made
+    or dealt of the texts that stay out. Hashes that clash let a document too many through."""
+    hashes = F.transform(F.sequence(F.lit(0), F.size("w") - n), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(n)]))
+    # a filter on w would make its words a second time
+    runs = lambda rows, key: words_of(rows, key).select(key, F.explode(F.when(F.size("w") >= n, hashes).otherwise(F.array().cast("array<long>"))).alias("g"))
+    met = runs(docs, "doc_id").join(runs(passages, "item_id").select("g").distinct(), "g", "left_semi").select(F.col("doc_id").alias("_met")).distinct()
+    return docs.join(met, F.col("doc_id").eqNullSafe(F.col("_met")), "left_semi")
+
+
 def shared_runs(docs: DataFrame, passages: DataFrame, n: int) -> DataFrame:
     """(doc_id, item_id, shared, of_passage): distinct runs of n words in common, and the passage's."""
-    d = words_of(docs, "doc_id").select("doc_id", F.explode(tx.shingles(F.col("w"), n)).alias("g"))
+    d = words_of(sharing(docs, passages, n), "doc_id").select("doc_id", F.explode(tx.shingles(F.col("w"), n)).alias("g"))
     p = words_of(passages, "item_id").select("item_id", tx.shingles(F.col("w"), n).alias("gs")).select("item_id", F.size("gs").alias("of_passage"), F.explode("gs").alias("g"))
     return d.join(p, "g").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("shared"), F.first("of_passage").cast("long").alias("of_passage"))
 
@@ -114,8 +124,9 @@ def common_runs(docs: DataFrame, passages: DataFrame, n: int = SMALL_RUN) -> Dat
     passage. Both sides are tokenised once; equal runs of n words meet with their places, lie on diagonals, and consecutive
     ones on a diagonal are one longer run."""
     runs = F.transform(F.sequence(F.lit(1), F.size("w") - (n - 1)), lambda i: F.array_join(F.slice("w", i, n), " "))
-    placed = lambda rows, key, at: words_of(rows, key).where(F.size("w") >= n).select(key, F.posexplode(runs).alias(at, "g"))
-    hits = placed(docs, "doc_id", "i").join(placed(passages, "item_id", "j"), "g").select("doc_id", "item_id", "i", "j", (F.col("i") - F.col("j")).alias("diag"))
+    runs = F.when(F.size("w") >= n, runs).otherwise(F.array().cast("array<string>"))
+    placed = lambda rows, key, at: words_of(rows, key).select(key, F.posexplode(runs).alias(at, "g"))
+    hits = placed(sharing(docs, passages, n), "doc_id", "i").join(placed(passages, "item_id", "j"), "g").select("doc_id", "item_id", "i", "j", (F.col("i") - F.col("j")).alias("diag"))
     w = Window.partitionBy("doc_id", "item_id", "diag").orderBy("i")
     islands = hits.withColumn("isl", F.col("i") - F.row_number().over(w)).groupBy("doc_id", "item_id", "diag", "isl")
     return islands.agg((F.count(F.lit(1)) + (n - 1)).alias("run"), F.min("i").alias("i"), F.min("j").alias("j")).select("doc_id", "item_id", "run", "i", "j")
@@ -156,7 +167,25 @@ def sliding_windows(docs: DataFrame, size: int, stride: int) -> DataFrame:
 def lexical_top(windows: DataFrame, post: DataFrame, k: int = TOP, keep: float = KEEP) -> DataFrame:
     """(doc_id, start, item_id, score, place): for each window the k passages with the largest sum of weights of words in
     common, as shares of the best, at least `keep`."""
-    hits = windows.select("doc_id", "start", F.explode(F.array_distinct("words")).alias("token")).join(post, "token")
+    return _top(windows.select("doc_id", "start", F.explode(F.array_distinct("words")).alias("token")).join(post, "token"), k, keep)
+
+
+def lexical_ladder(words: DataFrame, post: DataFrame, sizes: tuple[int, ...] = WINDOWS, k: int = TOP, keep: float = KEEP) -> DataFrame:
+    """lexical_top of windows of all sizes, each a third of its size apart, start being a struct (start, size). words: (doc_id, w). A
+    window counts a word where it first stands in it: at places whose last one before lies ahead of the window."""
+    placed = words.select("doc_id", F.size("w").alias("n"), F.posexplode("w").alias("pos", "token"))
+    indexed = placed.join(post.select("token").distinct(), "token", "left_semi")
+    last = F.coalesce(F.lag("pos").over(Window.partitionBy("doc_id", "token").orderBy("pos")), F.lit(-1))
+    size = F.explode(F.array(*[F.struct(F.lit(x).alias("size"), F.lit(max(1, x // 3)).alias("stride")) for x in sizes]))
+    rows = indexed.withColumn("last", last).select("*", size.alias("x")).select("doc_id", "token", "pos", "n", "last", "x.size", "x.stride")
+    first = F.floor((F.greatest(F.col("last"), F.col("pos") - F.col("size")) + F.col("stride")) / F.col("stride")).cast("int")
+    final = F.floor(F.least(F.col("pos"), F.greatest(F.lit(0), F.col("n") - F.col("size"))) / F.col("stride")).cast("int")
+    rows = rows.withColumn("a", F.greatest(F.lit(0), first)).withColumn("b", final).where("a <= b")
+    windows = rows.select("doc_id", "token", "size", "stride", F.explode(F.sequence("a", "b")).alias("nth"))
+    return _top(windows.select("doc_id", F.struct((F.col("nth") * F.col("stride")).alias("start"), "size").alias("start"), "token").join(post, "token"), k, keep)
+
+
+def _top(hits: DataFrame, k: int, keep: float) -> DataFrame:
     score = hits.groupBy("doc_id", "start", "item_id").agg(F.round(F.sum("weight"), 9).alias("s"))
     w = Window.partitionBy("doc_id", "start")
     ranked = score.withColumn("place", F.row_number().over(w.orderBy(F.desc("s"), "item_id"))).withColumn("top", F.max("s").over(w)).where(F.col("place") <= k)
@@ -168,9 +197,10 @@ def likeness(docs: DataFrame, rend: DataFrame) -> DataFrame:
     run of SMALL_RUN words."""
     n = rend.agg(F.count(F.lit(1)).alias("n_docs"))
     idf = document_frequency(rend).crossJoin(F.broadcast(n)).select("token", F.greatest(F.lit(0.0), F.log(F.col("n_docs") / (1 + F.col("df")))).alias("idf"))
-    tokens = words_of(docs, "doc_id").select("doc_id", F.explode(F.array_distinct("w")).alias("token"))
-    total = tokens.join(idf, "token").groupBy("doc_id").agg(F.sum("idf").alias("all_idf"))
     near = shared_runs(docs, rend.where("edition = 0"), SMALL_RUN).select("doc_id", "item_id")
+    met = docs.join(near.select("doc_id").distinct(), "doc_id", "left_semi")
+    tokens = words_of(met, "doc_id").select("doc_id", F.explode(F.array_distinct("w")).alias("token"))
+    total = tokens.join(idf, "token").groupBy("doc_id").agg(F.sum("idf").alias("all_idf"))
     have = rend.select("item_id", "edition", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("token"))
     common = near.join(tokens, "doc_id").join(have, ["item_id", "token"]).join(idf, "token").groupBy("doc_id", "item_id", "edition").agg(F.sum("idf").alias("s"))
     return common.join(total, "doc_id").groupBy("doc_id").agg(F.round(F.max(F.when(F.col("all_idf") > 0, F.col("s") / F.col("all_idf")).otherwise(0.0)), 6).alias("likeness"))
