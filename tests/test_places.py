@@ -174,6 +174,16 @@ def test_guard_fails_safe(spark):
     assert {r["guard"] for r in gt.guarded(sents, None).collect()} == {"SCRIPTURE_UNCHECKED"}
 
 
+def test_refused_is_any_reason(spark):
+    from textloom.plans.wider import EXAMPLES
+
+    more = ["The father prays in the town and the child was there", "May the peace and mercy of God be upon him today", "Der Mann geht in die Stadt", " "]
+    rows = spark.createDataFrame([(x, lang) for x in (*[e[0] for e in EXAMPLES], *more, None) for lang in ("en", "de", None)], "sentence string, lang string")
+    s, lang = F.col("sentence"), F.col("lang")
+    told = rows.select(gt.refused(s, lang).alias("refused"), (F.size(F.concat(gt.reasons(s), gt.language_reasons(s, lang))) > 0).alias("any")).collect()
+    assert all(r["refused"] == r["any"] for r in told) and len({r["any"] for r in told}) == 2
+
+
 def test_adaptation_keeps_words_and_refused_sentences(spark):
     long = "the market sold bread and olives to the people of the town near the river every day, and the carts came from the hills in the early morning"
     docs = spark.createDataFrame([(1, f"{long}. You must not go there today.", "en")], "doc_id long, text string, lang string")

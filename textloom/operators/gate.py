@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..sources.store import written
 from . import language as lg
 from . import passages as ps
 from . import rewrite as rw
@@ -76,6 +77,8 @@ HONORIFIC = (
     rf"\(?\s*(?:may\s+)?(?:the\s+)?{_BLESSING}(?:\s*,?\s*(?:and\s+)?(?:the\s+)?{_BLESSING})*\s+of\s+(?:god|allah)\s+be\s+(?:up)?on\s+(?:him|her|them|you)\s*\)?|"
     r"\(?\s*(?:may\s+)?(?:god|allah)\s+(?:bless\s+him\s+and\s+grant\s+him\s+peace|be\s+pleased\s+with\s+(?:him|her|them))\s*\)?|\(?\s*peace\s+be\s+upon\s+(?:him|her|them)\s*\)?"
 )
+#: Every form of an honorific has one of these.
+HONORIFIC_WORD = "(?i)peace|mercy|blessing|salutation|bless|pleased"
 DIVINE = r"He|Him|His|Himself|Fire|Garden|Gardens|Hour|Hereafter|Throne|Unseen"
 DIVINE_START = r"He|His|Fire|Garden|Gardens|Hour|Hereafter|Throne|Unseen"
 ARCHAIC = r"thee|thou|thy|thine|ye|hath|doth|unto|verily|saith|shalt|hast|dost|wouldst|couldst|shouldst|art\s+thou|lo"
@@ -129,18 +132,19 @@ def quoted(s: Column) -> Column:
 
 def implicit(s: Column) -> Column:
     """A role followed within REACH words by a habitual verb, and by no past auxiliary: an obligation told as a description."""
-    w = F.split(s, r"\s+")
-    near = lambda i: F.array_join(F.slice(w, i + 1, F.lit(REACH)), " ")
-    one = lambda i: F.element_at(w, i).rlike(word(SUBJECT)) & near(i).rlike(word(HABIT)) & ~near(i).rlike(word(PAST))
-    return F.exists(F.sequence(F.lit(1), F.size(w)), one)
+    near = lambda w, i: F.array_join(F.slice(w, i + 1, F.lit(REACH)), " ")
+    one = lambda w, i: F.element_at(w, i).rlike(word(SUBJECT)) & near(w, i).rlike(word(HABIT)) & ~near(w, i).rlike(word(PAST))
+    # the words are split once, as the item of an array, and only where a role and a verb stand at all
+    found = F.exists(F.array(F.split(s, r"\s+")), lambda w: F.exists(F.sequence(F.lit(1), F.size(w)), lambda i: one(w, i)))
+    return s.rlike(word(SUBJECT)) & s.rlike(word(HABIT)) & found
 
 
-def reasons(sentence: Column) -> Column:
-    """All lexical reasons to leave a sentence as it is, in the order of REASONS; none for null."""
+def tests(sentence: Column) -> dict[str, Column]:
+    """Whether each reason of REASONS holds, by its name."""
     s = F.trim(F.coalesce(sentence, F.lit("")))
-    topic = F.regexp_replace(s, "(?i)" + HONORIFIC, " ")
+    topic = F.when(s.rlike(HONORIFIC_WORD), F.regexp_replace(s, "(?i)" + HONORIFIC, " ")).otherwise(s)
     divine = F.regexp_replace(topic, _FIRST_WORD, " ")
-    tests = {
+    return {
         "SCRIPTURE": quoted(s),
         "REFERENCE": s.rlike(word(REFERENCE)) | s.rlike("(?i)" + REFERENCE_ANY) | s.rlike(word(FRAMED)),
         "NORMATIVE": s.rlike(word(NORMATIVE)) | s.rlike("(?i)" + NORMATIVE_START) | s.rlike(NORMATIVE_AR),
@@ -152,7 +156,22 @@ def reasons(sentence: Column) -> Column:
         "SCRIPTURE_LIKE": s.rlike(word(ARCHAIC)),
         "TOO_SHORT": F.size(F.filter(F.split(s, r"\s+"), lambda x: x != "")) < lg.TOO_SHORT,
     }
-    return F.array_compact(F.array(*[F.when(tests[r], F.lit(r)) for r in REASONS]))
+
+
+def reasons(sentence: Column) -> Column:
+    """All lexical reasons to leave a sentence as it is, in the order of REASONS; none for null."""
+    found = tests(sentence)
+    return F.array_compact(F.array(*[F.when(found[r], F.lit(r)) for r in REASONS]))
+
+
+def refused(sentence: Column, lang: Column) -> Column:
+    """Whether a sentence has any reason, of its words or its language: what is cheap to tell is told first, and the first ends it."""
+    found = tests(sentence)
+    last = ("NORMATIVE", "CREED", "IMPLICIT_OBLIGATION")
+    any_ = (F.size(language_reasons(sentence, lang)) > 0) | found["TOO_SHORT"]
+    for r in (*(r for r in REASONS if r not in (*last, "TOO_SHORT")), *last):
+        any_ = any_ | found[r]
+    return any_
 
 
 def language_reasons(sentence: Column, lang: Column) -> Column:
@@ -178,13 +197,20 @@ def guarded(sents: DataFrame, rend: DataFrame | None, run: int = GUARD_RUN, like
     cannot be checked is not let through."""
     if rend is None:
         return sents.select("doc_id", "nth", F.lit("SCRIPTURE_UNCHECKED").alias("guard"))
+    key = F.struct("doc_id", "nth").alias("key")  # a struct's nulls are equal
+    hits = guard_hits(sents, rend, run, likeness).select(key, F.lit(True).alias("hit"))
+    rows = sents.select("doc_id", "nth", key).join(hits, "key", "left")
+    return rows.select("doc_id", "nth", F.when(F.col("hit"), F.lit("SCRIPTURE_TEXT")).alias("guard"))
+
+
+def guard_hits(sents: DataFrame, rend: DataFrame, run: int = GUARD_RUN, likeness: float = GUARD_LIKENESS) -> DataFrame:
+    """(doc_id, nth) of the sentences that are SCRIPTURE_TEXT."""
     keyed = sents.select(F.struct("doc_id", "nth").alias("doc_id"), F.col("sentence").alias("text"))
-    first = rend.where("edition = 0").select("item_id", "text")
-    runs = ps.shared_runs(keyed, first, run).select("doc_id").distinct().withColumn("run", F.lit(True))
-    alike = ps.likeness(keyed, rend).where(F.col("likeness") >= likeness).select("doc_id", F.lit(True).alias("alike"))
-    rows = keyed.select("doc_id").join(runs, "doc_id", "left").join(alike, "doc_id", "left")
-    hit = F.coalesce("run", F.lit(False)) | F.coalesce("alike", F.lit(False))
-    return rows.select("doc_id.doc_id", "doc_id.nth", F.when(hit, F.lit("SCRIPTURE_TEXT")).alias("guard"))
+    # runs of both rules are runs of the shorter one's length
+    met = written(ps.sharing(keyed, rend.where("edition = 0").select("item_id", "text"), min(run, ps.SMALL_RUN)), "guard-sentences")
+    runs = ps.shared_runs(met, rend.where("edition = 0").select("item_id", "text"), run).select("doc_id")
+    alike = ps.likeness(met, rend).where(F.col("likeness") >= likeness).select("doc_id")
+    return runs.unionByName(alike).distinct().select("doc_id.doc_id", "doc_id.nth")
 
 
 def calibration(sents: DataFrame, rend: DataFrame, runs: tuple[int, ...] = (4, 6, 8, 10)) -> DataFrame:
@@ -202,9 +228,14 @@ def adapted(docs: DataFrame, rend: DataFrame | None, most_words: int = 22) -> Da
     """(doc_id, nth, sentence, status, adapted): sentences that no reason or guard refuses are split if longer than most_words, then
     checked again: a reason that comes up, or words that are not those of before, roll the sentence back. status: REFUSED, KEPT,
     ADAPTED or ROLLED_BACK; all but ADAPTED have the sentence as it was."""
-    rows = gated(docs)
-    rows = rows.join(guarded(rows.select("doc_id", "nth", "sentence"), rend).dropDuplicates(["doc_id", "nth"]), ["doc_id", "nth"])
-    free = (F.size("reasons") == 0) & F.col("guard").isNull()
+    rows = lg.sentences(docs, "doc_id", also=("lang",)).where("doc_id IS NOT NULL")
+    if rend is None:
+        rows = rows.withColumn("hit", F.lit(True))
+    else:
+        hits = guard_hits(rows, rend).groupBy("doc_id").agg(F.collect_set("nth").alias("hits"))
+        rows = rows.join(hits, "doc_id", "left").withColumn("hit", F.coalesce(F.array_contains("hits", F.col("nth")), F.lit(False)))
+    rows = rows.withColumn("free", ~(F.col("hit") | refused(F.col("sentence"), F.col("lang"))))
+    free = F.col("free")
     long = F.size(F.split("sentence", r"\s+")) > most_words
     rows = rows.withColumn("tried", F.when(free & long, rw.shorter_sentences(F.col("sentence"))).otherwise(F.col("sentence")))
     words = lambda c: F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]+", ""))
