@@ -198,3 +198,12 @@ def test_mixing_comes_near_with_few_documents(spark):
         assert r["copies"] <= 3
         by.setdefault((r["source_size"], r["target"]), []).append(r["copies"] * r["size"])
     assert len(by) == 3 and all(abs(sum(t) - target) <= 0.02 * target for (_, target), t in by.items())
+
+
+def test_license_texts_are_taken_apart_once(spark, monkeypatch):
+    """Order and filters work on a text's words of templates, and texts are read by one action."""
+    read = []
+    monkeypatch.setattr(license_scan, "lower_ascii", lambda c, f=license_scan.lower_ascii: read.append(1) or f(c))
+    rows = [(1, f"x\x01y É {license_scan.TEMPLATES['mit-short'].upper()}", None), (2, "rights of all are reserved", None), (3, None, None)]
+    got = {r["doc_id"]: (r["n_words"], [m["label"] for m in r["matches"]]) for r in license_scan.license_scan(frame(spark, rows)).collect()}
+    assert got == {1: (8, ["mit-short"]), 2: (5, ["all-rights-reserved"]), 3: (0, [])} and len(read) == 1

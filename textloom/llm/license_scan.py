@@ -3,8 +3,9 @@
 A block is any stretch of a text's words, WIDTH times as long as the template, wherever its lines break. It matches the template if
 it contains at least THRESHOLD of the template's distinct words. Tokens are put in one global order, rarest in the corpus first. A
 block that reaches `need` of a template's n tokens has one of the template's first n - need + 1 (prefix filter); so texts
-without a prefix token of any template go at once, and pairs of a text and a template without one. Texts must have `need`
-of the template's tokens at all (length filter). What is left are the places of the template's tokens: a block that starts at
+without a prefix token of any template go, and pairs of a text and a template without one. Texts must have `need` of the template's
+tokens at all (length filter). Each text is taken apart once; its distinct words of templates are kept for the order and both
+filters. What is left are the places of the template's tokens: a block that starts at
 one must have need - 1 others after it within its length (positional filter), which are counted on whole sets. The table of
 templates is a fixed parameter, so its side of the join is small by definition. All steps are DataFrame operations; texts are not
 shuffled, and copies of a text are searched once.
@@ -23,7 +24,8 @@ from .common import documents, lower_ascii, text_of, written
 THRESHOLD, WIDTH = 0.8, 1.5
 #: Words are runs of letters and digits of ASCII and of any other character.
 TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_TERM_ANY_CASE, _GAP = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: The same in lower-cased texts, as a set that Java tells sooner.
+_TERM_LOWER = r"[a-z0-9\x{80}-\x{10FFFF}]+"
 PHRASES = {"mit": ("mit", "license"), "apache": ("apache", "license"), "gpl": ("general", "public", "license")}
 #: Sentences of public licenses and usual short notices. What follows a hyphen after a label's name is a part or form
 #: of that license.
@@ -64,19 +66,13 @@ def template_sets(templates: dict[str, str]) -> dict[str, list[str]]:
     return {k: v for k, v in found.items() if v}
 
 
-def ranked(texts: DataFrame, vocabulary: list[str]) -> dict[str, int]:
-    """Word -> place in the global order: by the number of texts with it, then by the word. Only words of templates are
-    counted, as no other can be common to a block and a template; so the driver gets a row a word of the templates."""
-    words = F.array_intersect(F.regexp_extract_all("t", F.lit(TERM), F.lit(0)), F.array(*map(F.lit, vocabulary)))
-    counts = {r["w"]: r["n"] for r in texts.select(F.explode(words).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
+def ranked(rows: DataFrame, vocabulary: list[str]) -> dict[str, int]:
+    """Word -> place in the global order: by the number of texts with it, then by the word. rows: (words), a text's distinct words of
+    templates, as no other can be common to a block and a template; so the driver gets a row a word of the templates."""
+    counts = {r["w"]: r["n"] for r in rows.select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
     return {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
 
 
-def any_of(words: set[str]) -> str:
-    """A pattern that finds any of the words, as words."""
-    return rf"(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F])(?:{'|'.join(sorted(words))})(?![^\x00-\x2F\x3A-\x60\x7B-\x7F])"
-
-
 def prefix_index(templates: dict[str, str], order: dict[str, int], threshold: float = THRESHOLD) -> list[tuple]:
     """(w, label, n, need, width, prefix) for each distinct word of each template."""
     out = []
@@ -129,28 +125,31 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     templates = TEMPLATES if templates is None else templates
     vocabulary = sorted({w for s in template_sets(templates).values() for w in s})
-    texts = docs.select(lower_ascii(text_of(text_col)).alias("t"))
-    index = prefix_index(templates, ranked(texts, vocabulary), threshold) if vocabulary else []
     # hits belong to a text, and all rows with that text share them
-    text, phrase = F.col("t"), "|".join(_GAP.join(p) for p in PHRASES.values())
-    rare = text.rlike(any_of({x[0] for x in index if x[5]})) if index else F.lit(False)
     rows = docs.select(F.col(id_col).alias("doc_id"), lower_ascii(text_of(text_col)).alias("t"))
-    rows = rows.select("doc_id", F.regexp_count(text, F.lit(TERM)).cast("long").alias("n_words"), F.sha2("t", 256).alias("key"), rare.alias("rare"), F.when(text.rlike(phrase) | rare, F.regexp_extract_all(text, F.lit(TERM), F.lit(0))).alias("w"))
-    starts = F.create_map(*[x for label, p in PHRASES.items() for x in (F.lit(label), F.when(F.col("w").isNotNull() & (F.size("w") > 0), _at(F.col("w"), p)).otherwise(F.array().cast("array<int>")))])
-    of_templates = F.array(*map(F.lit, vocabulary)) if vocabulary else F.array().cast("array<string>")
-    hits = F.filter(F.transform("w", lambda x, i: F.struct(i.alias("pos"), x.alias("w"))), lambda h: F.array_contains(of_templates, h["w"]))
-    rows = rows.select("doc_id", "n_words", "key", starts.alias("starts"), F.when(F.col("rare"), hits).alias("hits"))
+    rows = rows.select("doc_id", F.sha2("t", 256).alias("key"), F.regexp_extract_all("t", F.lit(_TERM_LOWER), F.lit(0)).alias("w"))
+    has = lambda p: _all([F.array_contains("w", x) for x in (p[-1], p[0])])
+    starts = F.create_map(*[x for label, p in PHRASES.items() for x in (F.lit(label), F.when(has(p), _at(F.col("w"), p)).otherwise(F.array().cast("array<int>")))])
+    array = lambda ws: F.array(*map(F.lit, ws)) if ws else F.array().cast("array<string>")
+    rows = rows.select("doc_id", "key", "w", F.size("w").cast("long").alias("n_words"), starts.alias("starts"), F.array_intersect("w", array(vocabulary)).alias("words"))
+    enough = F.lit(False)
+    for words in sorted(map(tuple, template_sets(templates).values())):
+        enough = enough | (F.size(F.array_intersect("words", array(words))) >= ceil(threshold * len(words) - 1e-9))
+    hits = F.filter(F.transform("w", lambda x, i: F.struct(i.alias("pos"), x.alias("w"))), lambda h: F.array_contains(F.col("words"), h["w"]))
+    rows = rows.select("doc_id", "n_words", "key", "starts", "words", F.when(enough, hits).alias("hits"))
     none = "array<struct<label:string,containment:double,start:int>>"
-    if index:
+    if vocabulary:
         rows = written(rows, "license-rows")
-        found = license_join(rows.where("hits IS NOT NULL").dropDuplicates(["key"]).select("key", "hits"), index)
+        index = prefix_index(templates, ranked(rows, vocabulary), threshold)
+        prefix = F.arrays_overlap("words", array(sorted({x[0] for x in index if x[5]})))
+        found = license_join(rows.where(F.col("hits").isNotNull() & prefix).dropDuplicates(["key"]).select("key", "hits"), index)
         rank = lambda x: F.struct(x["containment"], x["n"], x["label"])
         over = lambda x, y: (x["start"] < y["start"] + y["width"]) & (y["start"] < x["start"] + x["width"])
         within = lambda x, y: (rank(y) > rank(x)) & over(x, y) & (F.size(F.array_except(x["same"], y["same"])) == 0)
         all_ = found.groupBy("key").agg(F.collect_list(F.struct("containment", "n", "label", "start", "width", "same")).alias("ms"))  # one a template at most
         best = F.filter("ms", lambda x: ~F.exists("ms", lambda y: within(x, y)))
         told = all_.select("key", F.array_sort(F.transform(best, lambda x: F.struct(x["label"].alias("label"), x["containment"].alias("containment"), x["start"].alias("start")))).alias("matches"))
-        rows = rows.drop("hits").join(written(told, "license-hits"), "key", "left")  # one row a text on the right; AQE splits a hot text's partition
+        rows = rows.drop("hits", "words").join(written(told, "license-hits"), "key", "left")  # one row a text on the right; AQE splits a hot text's partition
     else:
         rows = rows.withColumn("matches", F.lit(None).cast(none))
     rows = rows.withColumn("matches", F.coalesce("matches", F.array().cast(none)))
