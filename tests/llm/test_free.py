@@ -100,6 +100,39 @@ def test_both_searches_find_the_same(spark):
         assert one == two
 
 
+def test_neighbourhoods_hand_on_few_links(spark, monkeypatch):
+    """Near copies share many buckets: the links between them are fewer than they are, and the result is that of all pairs."""
+    rng, handed, inner = random.Random(5), [], minhash.components
+    monkeypatch.setattr(minhash, "components", lambda links: handed.append(links.count()) or inner(links))
+    words = [f"w{i}" for i in range(3000)]
+    base, docs = [rng.choice(words) for _ in range(150)], []
+    for k in range(120):
+        own = list(base)
+        for _ in range(rng.randint(1, 4)):
+            own[rng.randrange(150)] = rng.choice(words)
+        docs.append((k, " ".join(own)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_dedup(frame(spark, [(d, t, None) for d, t in docs])).collect()}
+    assert got == components(docs) and len(handed) == 1 and handed[0] < len(docs)
+
+
+def test_neighbourhoods_of_random_buckets(spark):
+    """Sparse and dense buckets, and a chain of them, against the least node that can be reached."""
+    rng = random.Random(6)
+    for nodes, keys in ((200, 150), (200, 60)):
+        met = {(rng.randrange(nodes), rng.randrange(keys)) for _ in range(260)} | {(1000 + i * 7919 % 101, 1000 + i + j) for i in range(100) for j in (0, 1)}
+        label = {n: n for n, _ in met}
+        while True:
+            least = {}
+            for n, k in met:
+                least[k] = min(least.get(k, n), label[n])
+            new = {n: min(least[k] for m, k in met if m == n) for n in label}
+            if new == label:
+                break
+            label = new
+        table = spark.createDataFrame(sorted(met), "node bigint, key bigint")
+        assert {r["node"]: r["label"] for r in minhash.neighbourhoods(table).collect()} == label
+
+
 def test_keep_one_takes_a_threshold(spark):
     """A Jaccard similarity between 0.80 and 0.85 is near at 80 per cent, and not for op4_minhash."""
     words = [f"w{i}" for i in range(104)]

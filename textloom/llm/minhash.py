@@ -4,9 +4,10 @@
    band keys, and into an odd sketch (a bitmap in which each sample flips a bit, so that the XOR of two sketches holds the
    samples on which they differ, and its population count estimates the similarity).
 2. Texts with equal sets become one node, so copies of any number cost a row each and nothing more.
-3. Nodes that share a band key meet in a bucket; nodes that buckets join, over any number of steps, are a neighbourhood. A
-   neighbourhood of bounded size is searched in one task: from a node to those of its buckets that were not reached yet, first
-   by odd sketches, then on full shingle sets.
+3. Nodes that share a band key meet in a bucket; nodes that buckets join, over any number of steps, are a neighbourhood. To
+   find them buckets stand for their nodes, and only links between buckets' least nodes are joined. A neighbourhood of
+   bounded size is searched in one task: from a node to those of its buckets that were not reached yet, first by odd
+   sketches, then on full shingle sets.
 4. A larger neighbourhood is searched by all tasks. Not all pairs of a bucket are made: a hub is chosen (the node that
    meets most others over all bands), and all others are compared with it only: odd sketches first, then full sets. Links
    are joined to components. Buckets in which nodes that were no hub yet lie in several components go into the next
@@ -199,6 +200,19 @@ def met_in_buckets(nodes: DataFrame) -> DataFrame:
     return written(buckets.join(sizes, "key").select("node", "key", "size"), "near-met")
 
 
+def neighbourhoods(met: DataFrame) -> DataFrame:
+    """(node, key) -> (node, label): the least node of those that buckets join, over any number of steps.
+
+    Buckets are known by their least nodes. A node belongs to the least of those it has, and links the others with that one, so
+    only links between least nodes, each once, go on to components(); a node's row is joined once, whatever its group's size."""
+    least = met.groupBy("key").agg(F.min("node").alias("hub"))
+    own = met.join(least, "key").groupBy("node").agg(F.collect_set("hub").alias("hubs"))  # as many as bands, at most
+    own = written(own.select("node", F.array_min("hubs").alias("hub"), "hubs"), "near-hubs-of")
+    links = own.select(F.explode(F.array_remove("hubs", F.col("hub"))).alias("a"), F.col("hub").alias("b")).distinct()
+    labels = components(links)
+    return own.select("node", "hub").join(labels.select(F.col("node").alias("hub"), "label"), "hub", "left").select("node", F.coalesce("label", "hub").alias("label"))
+
+
 def near_components(docs: DataFrame, nodes: DataFrame, text_col: str, percent: int, most_nodes: int = GROUP_NODES, most_shingles: int = GROUP_SHINGLES) -> DataFrame | None:
     """nodes: (node, fp, n, bands, sketch). Returns (node, label) of nodes that meet others in buckets, or None without any.
 
@@ -207,8 +221,7 @@ def near_components(docs: DataFrame, nodes: DataFrame, text_col: str, percent: i
     met = met_in_buckets(nodes)
     if met.isEmpty():
         return None
-    least = met.groupBy("key").agg(F.min("node").alias("hub"))
-    around = components(met.join(least, "key").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    around = neighbourhoods(met)
     own = written(nodes.join(around.withColumnRenamed("label", "around"), "node"), "near-around")
     sizes = written(own.groupBy("around").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("m")), "near-sizes")
     fits = (F.col("k") <= most_nodes) & (F.col("m") <= most_shingles)
