@@ -115,6 +115,21 @@ def test_neighbourhoods_hand_on_few_links(spark, monkeypatch):
     assert got == components(docs) and len(handed) == 1 and handed[0] < len(docs)
 
 
+def test_rounds_join_links_only_if_there_are_new_ones(spark, monkeypatch):
+    rng, handed, inner = random.Random(5), [], minhash.components
+    monkeypatch.setattr(minhash, "components", lambda links: handed.append(links.count()) or inner(links))
+    words = [f"w{i}" for i in range(3000)]
+    base, docs = [rng.choice(words) for _ in range(150)], []
+    for k in range(120):
+        own = list(base)
+        for _ in range(rng.randint(1, 4)):
+            own[rng.randrange(150)] = rng.choice(words)
+        docs.append((k, " ".join(own)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_dedup(frame(spark, [(d, t, None) for d, t in docs]), most_nodes=20).collect()}
+    by_rounds = handed[1:]
+    assert got == components(docs) and by_rounds and by_rounds == sorted(set(by_rounds))
+
+
 def test_neighbourhoods_of_random_buckets(spark):
     """Sparse and dense buckets, and a chain of them, against the least node that can be reached."""
     rng = random.Random(6)

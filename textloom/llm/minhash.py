@@ -175,22 +175,24 @@ class _Rounds:
         self.sets = written(full_sets(texts_of(docs, nodes, text_col)), "near-sets")
         self.tested = self.links = None
 
-    def compare(self, pairs: DataFrame) -> DataFrame | None:
-        """pairs (a, b), repeats allowed. Returns all links so far, or None if there was nothing new to compare."""
+    def compare(self, pairs: DataFrame) -> bool:
+        """pairs (a, b), repeats allowed. Adds to the links; tells whether there are new ones."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "near-pairs")
         if pairs.isEmpty():
-            return None
+            return False
         self.tested = pairs if self.tested is None else self.tested.union(pairs)
         one, two = (self.nodes.select(F.col("node").alias(k), F.col("sketch").alias(f"s{k}"), F.col("n").alias(f"n{k}")) for k in "ab")
         lengths = 100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")
         close = pairs.join(one, "a").join(two, "b").where(lengths & (_xor_bits(F.col("sa"), F.col("sb")) <= widest_xor(self.percent)))
         x, y = (self.sets.select(F.col("node").alias(k), F.col("hashes").alias(h)) for k, h in (("b", "x"), ("a", "y")))
         found = written(linked(close.select("a", "b").join(x, "b").join(y, "a"), self.percent), "near-links")
+        if found.isEmpty():
+            return False
         self.links = found if self.links is None else self.links.union(found)
-        return self.links
+        return True
 
 
 def met_in_buckets(nodes: DataFrame) -> DataFrame:
@@ -315,9 +317,8 @@ def by_rounds(docs: DataFrame, nodes: DataFrame, met: DataFrame, text_col: str,
         pairs = rows.join(hubs if labels is None else hubs.withColumnRenamed("label", "hub_label"), "key").where("node <> hub")
         if labels is not None:
             pairs = pairs.where("label <> hub_label")
-        links = rounds.compare(pairs.select(F.col("hub").alias("a"), F.col("node").alias("b")))
-        if links is not None:
-            labels = None if links.isEmpty() else components(links)
+        if rounds.compare(pairs.select(F.col("hub").alias("a"), F.col("node").alias("b"))):
+            labels = components(rounds.links)
         none = docs.sparkSession.createDataFrame([], "node bigint, label bigint")
         known = none if labels is None else labels
         # hubs of a bucket are done there: they met all others. What is left counts if it lies in several components
