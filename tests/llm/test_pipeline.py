@@ -1,13 +1,14 @@
 """The pipeline, stage by stage, against brute force."""
 
 import collections
+import random
 import re
 
 import tiktoken
 
 import corpus_pipeline
 from tests.llm.test_free import components
-from textloom.llm import bpe, mixing, toxicity
+from textloom.llm import bpe, minhash, mixing, toxicity
 from textloom.llm.common import documents, written
 
 
@@ -50,3 +51,44 @@ def test_stages_on_odd_and_empty_tables(spark, sf, odd, empty):
             if len(seen) < 5:
                 assert docs.columns == names
         assert tuple(seen[:3]) == want and seen[3] == seen[4]
+
+
+def jobs(spark, run):
+    """What run() returns, and how many Spark jobs it started."""
+    group = f"count-{random.random()}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        out = run()
+        return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_the_driver_has_few_jobs(spark, sf):
+    """Each job's tasks are the driver's to keep: classes of the mix are one aggregation each, few links are joined in one task."""
+    copies, n = jobs(spark, lambda: mixing.mix(documents(spark, sf)).collect())
+    assert copies and n <= 34
+    chain = [(i, i + 1) for i in range(300)]  # labels went along it round by round
+    found, n = jobs(spark, lambda: minhash.components(spark.createDataFrame(chain, "a bigint, b bigint")).collect())
+    assert {tuple(r) for r in found} == {(i, 0) for i in range(301)} and n <= 8
+
+
+def test_components_either_way(spark):
+    rng = random.Random(3)
+    links = [(a, b) for a, b in ((rng.randrange(-200, 200), rng.randrange(-200, 200)) for _ in range(150)) if a != b]
+    links += [(x + 1000 * k, y + 1000 * k) for k in (1, 2) for x, y in ((9, 8), (8, 2), (2, 5), (5, 9), (1, 5))]
+    least = {x: x for pair in links for x in pair}
+    for _ in least:
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    for few in (len(links), 0):
+        found = minhash.components(spark.createDataFrame(links, "a bigint, b bigint"), few).collect()
+        assert len(found) == len(least) and {r["node"]: r["label"] for r in found} == least
+    assert minhash.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_the_fit_gives_memory_back(spark, sf, monkeypatch):
+    done = []
+    monkeypatch.setattr(toxicity, "give_back", lambda: done.append(1))
+    toxicity.train(documents(spark, sf), toxicity.labels(spark, sf))
+    assert done

@@ -45,6 +45,8 @@ MISS = 1e-6
 #: A neighbourhood up to these sizes is the work of one task (8 bytes a shingle); beyond, buckets get so many hubs in each
 #: round after the first. Both ways compare the same pairs: those that share a bucket.
 GROUP_NODES, GROUP_SHINGLES, HUBS = 4000, 4_000_000, 64
+#: So many links (16 bytes each) are joined to components in one task; more, round by round over all tasks.
+FEW_LINKS = 1_000_000
 
 
 def bands_for(percent: int) -> int:
@@ -146,10 +148,33 @@ def linked(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(a, b) -> (node, label): for every node in a link, the least node of its component. Labels pass along links, and each
-    round also takes the label of one's label, so that long chains take few rounds."""
-    both = written(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).distinct(), "near-both")
+def _joined(links: DataFrame) -> DataFrame:
+    """(a, b) -> (node, label), all links in one task: roots hook on to smaller ones until no link joins two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = [np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)]) for batch in batches]
+        if not ends:
+            return
+        nodes, at = np.unique(np.concatenate(ends, axis=1).ravel(), return_inverse=True)
+        (x, y), label = at.reshape(2, -1), np.arange(len(nodes))
+        while (label[x] != label[y]).any():
+            np.minimum.at(label, np.maximum(label[x], label[y]), np.minimum(label[x], label[y]))
+            while (label[label] != label).any():
+                label = label[label]
+        for i in range(0, len(nodes), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[i : i + 100_000]), pa.array(nodes[label[i : i + 100_000]])], names=["node", "label"])
+
+    return links.select("a", "b").coalesce(1).mapInArrow(run, "node bigint, label bigint")
+
+
+def components(links: DataFrame, few: int = FEW_LINKS) -> DataFrame:
+    """(a, b) -> (node, label): for every node in a link, the least node of its component. Up to `few` links are joined in one task.
+    More go round by round: labels pass along links, and each round also takes the label of one's label, so that long chains
+    take few rounds."""
+    links = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-both")
+    if links.count() <= few:
+        return written(_joined(links), "near-labels")
+    both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a"))
     labels = written(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("label")), "near-labels")
     while True:
         heard = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("label").alias("m"))

@@ -73,11 +73,16 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return written(found.select("id", "source", "size", "loc", "z", "target", "u", "class", (F.col("before") + F.col("seq") - F.col("least")).alias("k")), "mix-places")
 
 
+def _crossed() -> Column:
+    """Copies of a row beside its class's e and rate: the integers that its part of the sum crosses."""
+    crossed = F.floor(F.col("e") + (F.col("k") + 1) * F.col("rate")) - F.floor(F.col("e") + F.col("k") * F.col("rate"))
+    return F.least(crossed, F.ceil("rate")).cast("int")
+
+
 def _copies(rows: DataFrame, state: DataFrame) -> DataFrame:
     """rows with copies. state: (s, c, e, rate): sums and expected copies for each source and class."""
     at = rows.join(state, F.col("source").eqNullSafe(F.col("s")) & (F.col("class") == F.col("c")))
-    crossed = F.floor(F.col("e") + (F.col("k") + 1) * F.col("rate")) - F.floor(F.col("e") + F.col("k") * F.col("rate"))
-    return at.withColumn("copies", F.least(crossed, F.ceil("rate")).cast("int"))
+    return at.withColumn("copies", _crossed())
 
 
 def _mix(rows: DataFrame) -> DataFrame:
@@ -87,25 +92,27 @@ def _mix(rows: DataFrame) -> DataFrame:
 
 
 def _classes(rows: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """rows: of _dealt(). Class by class, from large documents to small ones."""
-    sizes = written(rows.groupBy("source", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("z")), "mix-classes")  # a row for each source and class
-    state = rows.groupBy("source").agg(F.first("target").alias("target"), F.first("z").alias("z"), F.first("u").alias("e"))
-    state = state.select(F.col("source").alias("s"), "target", "z", "e", F.lit(0).cast("long").alias("taken"), F.col("z").alias("rest"))
+    """rows: of _dealt(). Class by class, from large documents to small ones. A source's row carries all it needs from class to class
+    (n and own: rows and words of each class), so that a class is one aggregation and the driver has few tasks to keep."""
+    in_class = lambda c, x: F.sum(F.when(F.col("class") == c, x).otherwise(F.lit(0).cast("long")))
+    classes = [x for c in range(CLASSES) for x in (in_class(c, F.lit(1)).alias(f"n{c}"), in_class(c, F.col("size")).alias(f"own{c}"))]
+    carried = [f"{x}{c}" for c in range(CLASSES) for x in ("n", "own")]
+    state = rows.groupBy(F.col("source").alias("s")).agg(F.first("target").alias("target"), F.first("z").alias("z"), F.first("u").alias("e"), *classes)
+    state = state.withColumns({"taken": F.lit(0).cast("long"), "rest": F.col("z")})
     steps = []
     for c in range(CLASSES):
-        own = sizes.where(F.col("class") == c).select(F.col("source").alias("o"), "n", F.col("z").alias("own"))
-        now = state.join(own, F.col("s").eqNullSafe(F.col("o")), "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("own", F.coalesce("own", F.lit(0)))
+        n, own = F.col(f"n{c}"), F.col(f"own{c}")
         if c == 0:  # z - own: the words of smaller documents
-            least = F.when(F.col("own") > 0, (F.col("target") - CAP * (F.col("z") - F.col("own"))) / F.col("own")).otherwise(0.0)
+            least = F.when(own > 0, (F.col("target") - CAP * (F.col("z") - own)) / own).otherwise(0.0)
             rate = F.when(F.col("z") > 0, F.greatest(F.floor(F.col("target") / F.col("z")).cast("double"), least)).otherwise(0.0)
         else:
             rate = F.when(F.col("rest") > 0, F.least(F.lit(float(CAP)), F.greatest(F.lit(0.0), (F.col("target") - F.col("taken")) / F.col("rest")))).otherwise(0.0)
-        now = written(now.select("s", "target", "z", "e", "taken", "rest", "n", "own", rate.alias("rate")), "mix-state")
+        now = written(state.withColumn("rate", rate), "mix-state")
         steps.append(now.select("s", F.lit(c).alias("c"), "e", "rate"))
         if c < CLASSES - 1:
-            took = _copies(rows.where(F.col("class") == c), steps[-1]).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("took")).withColumnRenamed("source", "o")
-            after = now.join(took, F.col("s").eqNullSafe(F.col("o")), "left")
-            state = after.select("s", "target", "z", (F.col("e") + F.col("n") * F.col("rate")).alias("e"), (F.col("taken") + F.coalesce("took", F.lit(0))).alias("taken"), (F.col("rest") - F.col("own")).alias("rest"))
+            met = rows.select("source", "size", "class", "k").join(now, F.col("source").eqNullSafe(F.col("s")))
+            sums = met.groupBy("s").agg(in_class(c, F.col("size") * _crossed()).alias("took"), *(F.first(x).alias(x) for x in now.columns if x != "s"))
+            state = sums.select("s", "target", "z", (F.col("e") + n * F.col("rate")).alias("e"), (F.col("taken") + F.col("took")).alias("taken"), (F.col("rest") - own).alias("rest"), *carried)
     plan = steps[0]
     for s in steps[1:]:
         plan = plan.unionByName(s)

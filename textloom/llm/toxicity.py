@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from .common import column, documents, small_batches, text_of
+from .common import column, documents, give_back, small_batches, text_of
 
 #: Largest sample for the fit, a class: labelled rows, and characters of their texts. Rows come whole, in the order of a hash of the
 #: identifier, until the next one would not fit.
@@ -265,10 +265,7 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = MAX_LABELLED, most_chars: int = MAX_CHARS) -> Tagger:
-    """Fit on labelled documents that are not held out: at most `most` rows and `most_chars` characters of each class, those with
-    the least hash of the identifier. Rows of labels with a null in either column are left out; of two labels of a document
-    the larger counts, and of several texts the longest. With just one class there is nothing to learn, and each text scores near 0."""
+def _train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int, most_chars: int) -> Tagger:
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_y"))
     totals = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     taken = None
@@ -296,6 +293,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return tagger
 
 
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = MAX_LABELLED, most_chars: int = MAX_CHARS) -> Tagger:
+    """Fit on labelled documents that are not held out: at most `most` rows and `most_chars` characters of each class, those with
+    the least hash of the identifier. Rows of labels with a null in either column are left out; of two labels of a document
+    the larger counts, and of several texts the longest. With just one class there is nothing to learn, and each text scores near 0.
+    The sample's memory goes back to the system when the fit ends."""
+    try:
+        return _train(docs, labels, id_col, text_col, label_col, most, most_chars)
+    finally:
+        give_back()
+
+
 def _scored(rows: DataFrame, tagger: Tagger, text: str | None, spans: bool) -> DataFrame:
     """rows: (carried, t), or (carried) with the text in its field of that name. (carried, toxic_score, toxic_spans)."""
     small_batches(rows.sparkSession)
